@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -359,3 +359,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         named = ids.select("node", F.col("id").alias("component_id"))
     out = made.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all columns: that whose id is the component's.
+
+    Rows with one id are one document, of which the row with the least text stays. Rows without id stay."""
+    ids = written(jaccard_components(docs).where("doc_id is not null").select("doc_id", "component_id"), "components")
+    each = ids.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
+    each = written(each.where(~F.col("first") | (F.col("rows") > 1)), "not-alone")
+    left = docs.join(small(written(each.where(~F.col("first")).select("doc_id"), "copies")), "doc_id", "left_anti")
+    again = written(each.where("first").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    order = Window.partitionBy("doc_id").orderBy("text")
+    once = left.join(small(again), "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return left.join(small(again), "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))

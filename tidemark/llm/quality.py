@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,3 +102,13 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, model).select(
         "doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
+
+
+def filtered(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([model.score(t) >= THRESHOLD for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

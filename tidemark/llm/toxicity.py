@@ -232,3 +232,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, model).select(
         "doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
     )
+
+
+def filtered(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose score is under 0.5, with all their columns."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([model.score(t)[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
