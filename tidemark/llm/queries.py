@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, table
 from .jaccard import jaccard_components
+from .lm import scores
 from .packing import pack
 from .pii import personal_data
 from .pieces import round_trip
@@ -29,6 +30,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(documents(spark, sf_dir))
+
+
 def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_pii": op4_pii,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_extendible_sharding": op6_extendible_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
