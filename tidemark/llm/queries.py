@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, table
 from .jaccard import jaccard_components
 from .lm import scores
+from .media import media_columns
 from .packing import pack
 from .pii import personal_data
 from .pieces import round_trip
@@ -26,6 +27,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_media_columns": op3_media_columns,
     "op4_pii": op4_pii,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_extendible_sharding": op6_extendible_sharding,
