@@ -69,11 +69,11 @@ select doc_id, case when doc_id % 10 = 0 then text || char(10) || 'x' || {rlo} |
 _spark = _CONTROLLED.format(rlo="'\u202e'", zwj="'\u200d'", shy="'\u00ad'")
 relation("ev_text_controls", _spark, "documents")
 _FOUND = """
-select doc_id, at, cast(length(before) - length(replace(before, char(10), '')) + 1 as bigint) as line,
+select doc_id, pos, cast(length(before) - length(replace(before, char(10), '')) + 1 as bigint) as line,
   cast(length(before) - (case when instr(before, char(10)) = 0 then 0 else length(before) - instr(reverse(before), char(10)) + 1 end) + 1 as bigint) as col,
   case c when '\u202e' then 'unicode.bidi-control' when '\u00ad' then 'unicode.soft-hyphen' else 'unicode.unexpected-joiner' end as rule,
   case c when '\u202e' then 'high' when '\u00ad' then 'info' else 'low' end as severity
-from (select doc_id, c, cast(instr(t, c) as bigint) as at, substring(t, 1, instr(t, c) - 1) as before, substring(t, instr(t, c) - 1, 1) as left_c, substring(t, instr(t, c) + 1, 1) as right_c from (
+from (select doc_id, c, cast(instr(t, c) as bigint) as pos, substring(t, 1, instr(t, c) - 1) as before, substring(t, instr(t, c) - 1, 1) as left_c, substring(t, instr(t, c) + 1, 1) as right_c from (
   select doc_id, t, case when instr(t, '\u202e') > 0 then '\u202e' when instr(t, '\u200d') > 0 then '\u200d' when instr(t, '\u00ad') > 0 then '\u00ad' end as c from {ev_text_controls}) s where c is not null) u
 where c <> '\u200d' or left_c <= '\u007f' or right_c <= '\u007f' or not regexp_like(left_c || right_c, r'^[\\p{{L}}\\p{{M}}][\\p{{L}}\\p{{M}}]$')
 """
