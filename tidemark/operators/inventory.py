@@ -148,7 +148,7 @@ def tree_changes(base: DataFrame, head: DataFrame) -> DataFrame:
 def greedy_budget(files: DataFrame, limit: int = MAX_TREE_BYTES) -> DataFrame:
     """W-3, second variant: in path order an entry that would overflow is skipped and later smaller ones still fit.
 
-    The fold is order-dependent, so it is one group for each snapshot, as the reference's cap of 20 000 files bounds it."""
+    The fold is order-dependent, so it is one group for each snapshot, as a cap of 20 000 files bounds it."""
 
     def fold(group):
         group = group.sort_values(["relative_path", "size_bytes"], kind="stable").reset_index(drop=True)
