@@ -12,7 +12,8 @@ than CELL documents are divided into CELL x CELL blocks that cover all their pai
 
 Groups of copies. Equal sets are one node. Nodes with one of KEYS equal minimum hashes are first verified against the
 least node with that hash, which costs one pair for each node. Buckets whose nodes are then all in one component are
-done, and in others only pairs across components count. So a large group of copies is not expanded into its pairs.
+done. In TURNS turns FIRSTS nodes of each other bucket are verified with those it often meets, and in the end only pairs
+across components count. So a large group of copies is not expanded into its pairs.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D, after A-Z are lowered. A text of one to four words has one shingle, the
 whole sequence; null and empty texts, and texts of white space, have none, and stand alone. Repeated rows, ids that are
@@ -34,8 +35,11 @@ from .components import connected
 from .textvec import U, mix, shingle_sets
 
 WORDS = 5
+#: Groups of the tree's points; larger sets have finer counts, which fold into these, for the last bound before a pair is verified.
 GROUPS = 128
+FINER = ((1000, 512), (4000, 2048), (16_000, 8192))
 KEYS = 3
+TURNS, FIRSTS = 2, 3
 SAMPLE, FREQUENT, FREQUENT_MOST = 2048, 4, 100_000
 CELL = 1024
 LEAF, FANOUT = 32, 8
@@ -96,7 +100,8 @@ def features(docs: DataFrame) -> DataFrame:
                 else:
                     first = s[:k]
                 prefix.append(first.tobytes())
-                counts.append(np.minimum(np.bincount((mix(s + U(7)) % U(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes() if n < 65536 else b"")
+                groups = max([GROUPS, *(g for least, g in FINER if n > least)])
+                counts.append(np.bincount((mix(s + U(7)) % U(groups)).astype(np.int64), minlength=groups).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())],
                 ["doc_id", "node", "n", "keys", "prefix", "counts"],
@@ -246,8 +251,17 @@ def bounded(p, low, high, q, low_q, high_q, x, y) -> np.ndarray:
     return keep
 
 
-def bucket_pairs(side: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one block: within it (all rows have side 0), or between its rows of side 0 and of side 1."""
+def finer(x: np.ndarray, y: np.ndarray, sizes: int) -> bool:
+    """The bound in as many groups as both sets have; the larger one's counts are folded."""
+    if len(x) == len(y) == GROUPS:
+        return True
+    if len(x) != len(y):
+        x, y = (z.reshape(-1, min(len(x), len(y))).sum(0) for z in (x, y))
+    return 9 * int(np.minimum(x, y).sum()) >= 4 * sizes
+
+
+def bucket_pairs(side: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of candidate pairs of one block: within it (all rows have side 0), or between its rows of side 0 and 1."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(right):
         right = left
@@ -259,47 +273,88 @@ def bucket_pairs(side: np.ndarray, node: np.ndarray, component: np.ndarray, n: n
         tree = RTree(points[left], n[left])
         i, j = tree.pairs(tree if right is left else RTree(points[right], n[right]))
         i, j = left[i], right[j]
-    apart = component[i] != component[j]
-    a, b = np.minimum(node[i], node[j])[apart], np.maximum(node[i], node[j])[apart]
-    return a, b
+    # similar sets share a shingle among the first (size - overlap + 1) of each, for the overlap that 80 % asks of both
+    overlap = -(-4 * (n[i] + n[j]) // 9)
+    keep = (component[i] != component[j]) & (place[i] <= n[i] - overlap) & (place[j] <= n[j] - overlap)
+    if right is left:  # each pair once
+        keep &= i < j
+    return i[keep], j[keep]
 
 
-def candidates(made: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Pairs of nodes (a < b) of different components that share a bucket and pass the R-tree's bound."""
+def members(made: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(key, node, component, n, place): the nodes in the mixed buckets, and at which place of its prefix a node is there."""
     parts = mixed.select("parts").first()["parts"]
     keys = mixed.select("key")
-    if (n := keys.count()) <= BROADCAST_ROWS:
-        wanted = made.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in keys.collect()], np.int64)))
-    else:
-        wanted = None
+    few = keys.count() <= BROADCAST_ROWS
+    wanted = made.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()) if few else None)
 
-    def members(batches):
+    def run(batches):
+        w = wanted.value
         for b in batches:
-            at, key = [], []
+            at, key, place = ([np.zeros(0, np.int64)] for _ in range(3))
             for i, raw in enumerate(b.column("prefix").to_pylist()):
-                k = bucket_keys(np.frombuffer(raw, np.uint64), parts).view(np.int64)
-                if wanted is not None:
-                    w = wanted.value
-                    k = k[w[np.minimum(np.searchsorted(w, k), len(w) - 1)] == k]
-                k = np.unique(k)
+                k, first = np.unique(bucket_keys(np.frombuffer(raw, np.uint64), parts).view(np.int64), return_index=True)
+                if w is not None:
+                    here = w[np.minimum(np.searchsorted(w, k), len(w) - 1)] == k
+                    k, first = k[here], first[here]
                 at.append(np.full(len(k), i))
                 key.append(k)
-            at = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
-            columns = [pa.array(np.concatenate(key) if key else np.zeros(0, np.int64)), *(b.column(c).take(at) for c in ("node", "component", "n", "counts"))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "component", "n", "counts"])
-
-    rows = made.select("prefix", "node", "component", "n", "counts").mapInArrow(members, "key long, node long, component long, n long, counts binary")
-    if wanted is None:
-        rows = rows.join(keys, "key")
-    rows = written(rows, "members")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CELL).withColumn("cells", F.ceil(F.col("size") / CELL).cast("int"))
-    sizes = written(sizes.select("key", "cells"), "large")
-    rows = rows.join(small(sizes), "key", "left") if not sizes.isEmpty() else rows.withColumn("cells", F.lit(None).cast("int"))
+                place.append(first)
+            at = pa.array(np.concatenate(at))
+            columns = [pa.array(np.concatenate(key)), *(b.column(c).take(at) for c in ("node", "component", "n")), pa.array(np.concatenate(place))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "component", "n", "place"])
+
+    rows = made.select("prefix", "node", "component", "n").mapInArrow(run, "key long, node long, component long, n long, place long")
+    return written((rows if few else rows.join(keys, "key", "left_semi")).distinct(), "members")
+
+
+def moved(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the components of a later grouping (node, component)."""
+    now = groups.select("node", F.col("component").alias("_now"))
+    return rows.join(small(now), "node", "left").withColumn("component", F.coalesce("_now", "component")).drop("_now")
+
+
+def likely(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) that would join large groups of copies: a bucket's first node, in FIRSTS orders of each turn's own,
+    with others of its buckets, if they share a third of a prefix. At most FIRSTS pairs for each row, and only a short
+    cut: what is left out here is found by candidates()."""
+    order = lambda k: F.struct(F.xxhash64("node", F.lit(FIRSTS * turn + k)), "node", "component", "n")
+    first = rows.groupBy("key").agg(F.array_distinct(F.array(*(F.min(order(k)).dropFields("col1") for k in range(FIRSTS)))).alias("f"))
+    met = rows.join(first, "key").select("node", "component", "n", F.explode("f").alias("x"))
+    met = met.where((F.col("component") != F.col("x.component")) & (5 * F.col("n") >= 4 * F.col("x.n")) & (5 * F.col("x.n") >= 4 * F.col("n")))
+    often = met.groupBy(F.col("x.node").alias("x"), "node").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(15 * F.col("c") >= F.col("n"))
+    return often.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def candidates(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of nodes (a < b) of different components that share a bucket and pass the R-tree's bound."""
+    of_key = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    of_key = written(of_key.where("c0 <> c1").select("key", "size"), "buckets")
+    rows = rows.join(small(of_key), "key")
+    # the smaller of two similar sets meets the other within its first n - ceil(8/9 n) + 1 shingles. In a bucket sorted
+    # by size, a node needs such a smaller one, or, being such a one, a larger one; large buckets go to the trees as they are
+    rows = rows.withColumn("early", 9 * (F.col("n") - F.col("place")) >= 8 * F.col("n"))
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    before, after = by_size.rowsBetween(Window.unboundedPreceding, -1), by_size.rowsBetween(1, Window.unboundedFollowing)
+    early = F.when(F.col("early"), F.col("n"))
+    smaller = (5 * F.last(early, True).over(before) >= 4 * F.col("n")) | (F.first(early, True).over(after) == F.col("n"))
+    larger = F.col("early") & ((5 * F.col("n") >= 4 * F.lead("n").over(by_size)) | (F.lag("n").over(by_size) == F.col("n")))
+    near = F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))
+    rows = rows.where(F.col("size") <= CELL).withColumn("near", near).where("near").drop("near").union(rows.where(F.col("size") > CELL))
+    rows = written(rows.select("key", "node", "place"), "near")
+    # buckets with the same members are one, in which each node has its first place: a shared passage makes many such
+    same = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("least"), F.max("node").alias("most")
+    )
+    kept = written(same.withColumn("kept", F.min("key").over(Window.partitionBy("size", "sum", "least", "most"))).select("key", "kept", "size"), "kept")
+    rows = rows.join(small(kept), "key").groupBy(F.col("kept").alias("key"), "node").agg(F.min("place").alias("place"), F.max("size").alias("size"))
+    rows = rows.withColumn("cells", F.when(F.col("size") > CELL, F.ceil(F.col("size") / CELL).cast("int"))).drop("size")
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     block = lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own > other, 1).otherwise(0).alias("side"))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
     blocks = F.when(F.col("cells").isNull(), one).otherwise(F.transform(F.sequence(F.lit(0), F.col("cells") - 1), block))
-    rows = rows.withColumn("block", F.explode(blocks)).select("key", F.col("block.i").alias("i"), F.col("block.j").alias("j"), F.col("block.side").alias("side"), "node", "component", "n", "counts")
+    points = made.select("node", "component", "n", "counts").dropDuplicates(["node"])
+    rows = rows.withColumn("block", F.explode(blocks)).select("key", F.col("block.i").alias("i"), F.col("block.j").alias("j"), F.col("block.side").alias("side"), "node", "place").join(points, "node")
 
     def join(batches):
         held = None
@@ -315,20 +370,21 @@ def candidates(made: DataFrame, mixed: DataFrame) -> DataFrame:
             yield blocks_of(held, np.array([0, len(held)]))
 
     def blocks_of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        side, node, component, n = (table.column(c).to_numpy() for c in ("side", "node", "component", "n"))
-        # very large sets have no counts; their bound is the largest possible
-        raw = [x or b"\xff" * (2 * GROUPS) for x in table.column("counts").to_pylist()]
-        points = np.frombuffer(b"".join(raw), "<u2").reshape(-1, GROUPS)
+        side, node, component, n, place = (table.column(c).to_numpy() for c in ("side", "node", "component", "n", "place"))
+        fine = [np.frombuffer(x, "<u2").astype(np.uint32) for x in table.column("counts").to_pylist()]
+        points = np.array([x.reshape(-1, GROUPS).sum(0) for x in fine], np.uint32)
         out_a, out_b = [], []
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if e - s > 1:
-                a, b = bucket_pairs(side[s:e], node[s:e], component[s:e], n[s:e], points[s:e])
-                out_a.append(a)
-                out_b.append(b)
+                i, j = bucket_pairs(side[s:e], component[s:e], n[s:e], place[s:e], points[s:e])
+                keep = [finer(fine[s + x], fine[s + y], n[s + x] + n[s + y]) for x, y in zip(i.tolist(), j.tolist())]
+                i, j = i[keep] + s, j[keep] + s
+                out_a.append(np.minimum(node[i], node[j]))
+                out_b.append(np.maximum(node[i], node[j]))
         empty = [np.zeros(0, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a or empty)), pa.array(np.concatenate(out_b or empty))], ["a", "b"])
 
-    shuffled = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    shuffled = rows.select("key", "i", "j", "side", "node", "component", "n", "place", "counts").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return shuffled.mapInArrow(join, "a long, b long").distinct()
 
 
@@ -345,9 +401,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     located = located.withColumn("component", F.coalesce("component", "node"))
     mixed = mixed_buckets(located)
     if not mixed.isEmpty():
-        second = verified(docs, full, candidates(located, mixed))
-        if not second.isEmpty():
-            groups = written(connected(first.union(second)), "groups")
+        links, rows = first, members(located, mixed)
+        for turn in range(TURNS):
+            more = verified(docs, full, likely(rows, turn))
+            if not more.isEmpty():
+                links = links.union(more)
+                groups = written(connected(links), "groups")
+                rows = written(moved(rows, groups), "members")
+        located = moved(located, groups) if groups is not None else located
+        more = verified(docs, full, candidates(located, rows))
+        if not more.isEmpty():
+            groups = written(connected(links.union(more)), "groups")
     # every node's component, and the least id of each
     ids = full.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     if groups is not None:
