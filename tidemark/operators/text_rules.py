@@ -129,8 +129,8 @@ _HIDDEN = frozenset([0x180E, 0x200B, *range(0x2060, 0x2065)])
 CANDIDATES = r"[\u00AD\u061C\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF\uFE00-\uFE0F\x{E0001}-\x{E007F}\x{E0100}-\x{E01EF}]"
 
 
-def unicode_controls(texts: DataFrame) -> DataFrame:
-    """Every suspicious control of texts (doc_id, text) with rule, severity, line and column.
+def unicode_controls(texts: DataFrame, key: str = "long") -> DataFrame:
+    """Every suspicious control of texts (doc_id of type key, text) with rule, severity, line and column.
 
     A native filter drops texts without a candidate; the rest, few, are classified by character context in Arrow batches."""
     import re
@@ -169,4 +169,4 @@ def unicode_controls(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "rule", "severity", "line", "col", "symbol"])
 
     some = texts.select("doc_id", "text").where(F.col("text").rlike(CANDIDATES))
-    return some.mapInPandas(run, "doc_id long, rule string, severity string, line long, col long, symbol string")
+    return some.mapInPandas(run, f"doc_id {key}, rule string, severity string, line long, col long, symbol string")
