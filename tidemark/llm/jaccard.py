@@ -12,8 +12,8 @@ than CELL documents are divided into CELL x CELL blocks that cover all their pai
 
 Groups of copies. Equal sets are one node. Nodes with one of KEYS equal minimum hashes are first verified against the
 least node with that hash, which costs one pair for each node. Buckets whose nodes are then all in one component are
-done. In TURNS turns FIRSTS nodes of each other bucket are verified with those it often meets, and in the end only pairs
-across components count. So a large group of copies is not expanded into its pairs.
+done. In the others FIRSTS nodes are verified with those they often meet, and in the end only pairs across components
+count. So a large group of copies is not expanded into its pairs.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D, after A-Z are lowered. A text of one to four words has one shingle, the
 whole sequence; null and empty texts, and texts of white space, have none, and stand alone. Repeated rows, ids that are
@@ -39,7 +39,7 @@ WORDS = 5
 GROUPS = 128
 FINER = ((1000, 512), (4000, 2048), (16_000, 8192))
 KEYS = 3
-TURNS, FIRSTS = 2, 3
+FIRSTS = 4
 SAMPLE, FREQUENT, FREQUENT_MOST = 2048, 4, 100_000
 CELL = 1024
 LEAF, FANOUT = 32, 8
@@ -52,9 +52,9 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, with a broadcast hint if it has at most that many rows; it must be a written table."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of a few columns, with a broadcast hint if it has at most a quarter of BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS // 4 else df
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -314,11 +314,11 @@ def moved(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(small(now), "node", "left").withColumn("component", F.coalesce("_now", "component")).drop("_now")
 
 
-def likely(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) that would join large groups of copies: a bucket's first node, in FIRSTS orders of each turn's own,
-    with others of its buckets, if they share a third of a prefix. At most FIRSTS pairs for each row, and only a short
+def likely(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that would join large groups of copies: a bucket's first node, in FIRSTS orders of all nodes, with
+    others of its buckets, if they share a third of a prefix. At most FIRSTS pairs for each row, and only a short
     cut: what is left out here is found by candidates()."""
-    order = lambda k: F.struct(F.xxhash64("node", F.lit(FIRSTS * turn + k)), "node", "component", "n")
+    order = lambda k: F.struct(F.xxhash64("node", F.lit(k)), "node", "component", "n")
     first = rows.groupBy("key").agg(F.array_distinct(F.array(*(F.min(order(k)).dropFields("col1") for k in range(FIRSTS)))).alias("f"))
     met = rows.join(first, "key").select("node", "component", "n", F.explode("f").alias("x"))
     met = met.where((F.col("component") != F.col("x.component")) & (5 * F.col("n") >= 4 * F.col("x.n")) & (5 * F.col("x.n") >= 4 * F.col("n")))
@@ -396,22 +396,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keyed = full.select("node", F.posexplode("keys").alias("k", "key")).distinct()
     leaders = keyed.groupBy("k", "key").agg(F.min("node").alias("a"))
     first = verified(docs, full, keyed.join(leaders, ["k", "key"]).where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    groups = written(connected(first), "groups") if not first.isEmpty() else None
-    located = full.join(small(groups), "node", "left") if groups is not None else full.withColumn("component", F.lit(None).cast("long"))
-    located = located.withColumn("component", F.coalesce("component", "node"))
-    mixed = mixed_buckets(located)
+    # their own leader's leader, where there is one: part of a component is enough here
+    leader = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("a"))
+    above = leader.select(F.col("node").alias("a"), F.col("a").alias("up"))
+    groups = written(leader.join(above, "a", "left").select("node", F.coalesce("up", "a").alias("component")), "groups")
+    located = moved(full.withColumn("component", F.col("node")), groups)
+    links, mixed = first, mixed_buckets(located)
     if not mixed.isEmpty():
-        links, rows = first, members(located, mixed)
-        for turn in range(TURNS):
-            more = verified(docs, full, likely(rows, turn))
-            if not more.isEmpty():
-                links = links.union(more)
-                groups = written(connected(links), "groups")
-                rows = written(moved(rows, groups), "members")
-        located = moved(located, groups) if groups is not None else located
-        more = verified(docs, full, candidates(located, rows))
+        rows = members(located, mixed)
+        more = verified(docs, full, likely(rows))
         if not more.isEmpty():
-            groups = written(connected(links.union(more)), "groups")
+            links = written(links.union(more), "links")
+            groups = written(connected(links), "groups")
+            rows = written(moved(rows, groups), "members")
+            located = moved(located, groups)
+        links = links.union(verified(docs, full, candidates(located, rows)))
+    links = written(links, "links")
+    groups = written(connected(links), "groups") if not links.isEmpty() else None
     # every node's component, and the least id of each
     ids = full.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     if groups is not None:
