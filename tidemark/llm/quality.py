@@ -3,7 +3,8 @@
 A bounded sample of labelled rows (PER_CLASS of each class) is cut into pieces of PIECE bytes; half of the documents
 train one dictionary for each class, the other half calibrates. Each text is compressed piece by piece with both
 dictionaries, over its whole length, so that the dictionaries count throughout. The normalised size difference
-(bad - good) / (bad + good) and the compressed share of the text go through a logistic curve.
+(bad - good) / (bad + good) and the compressed share of the text go through a logistic curve; both weigh by size / (size
++ SHORT), since a few bytes say little.
 
 The dictionaries are bounded (DICTIONARY bytes each) and are sent to all workers; scoring is one pass without shuffle.
 
@@ -30,6 +31,8 @@ DICTIONARY = 32768
 #: Bytes of training text for each dictionary, spread evenly over the documents.
 TRAINING = 6 << 20
 LEVEL = 1
+SHORT = 400
+FEATURES = 6
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 
@@ -53,10 +56,11 @@ class Model:
         cut = pieces(text)
         size = sum(map(len, cut))
         if not size:
-            return [1.0, 0.0, 0.0, 0.0, 0.0]
+            return [1.0] + [0.0] * (FEATURES - 1)
         g, b = (sum(len(c.compress(x)) for x in cut) for c in self.ready)
         d, share = (b - g) / (b + g), np.log((g + b) / (2 * size))
-        return [1.0, 20 * d, 20 * abs(d), share, max(0.0, -1.2 - share) * 4]
+        known = size / (size + SHORT)
+        return [1.0, *(known * x for x in (20 * d, 20 * abs(d), share, max(0.0, -1.2 - share) * 4)), known * known * 20 * d]
 
     def score(self, text: str | None) -> float:
         if not self.good:
@@ -82,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, left_out: int
     if len(of[0]) < 2 or len(of[1]) < 2:
         n = sum(stands_for[y] * len(of[y]) for y in (0, 1))
         return Model(b"", b"", np.array([stands_for[1] * len(of[1]) / n if n else 1.0]))
-    model = Model(dictionary(of[1][::2]), dictionary(of[0][::2]), np.zeros(5))
+    model = Model(dictionary(of[1][::2]), dictionary(of[0][::2]), np.zeros(FEATURES))
     held = [(model.features(t), y) for y in (0, 1) for t in of[y][1::2]]
     x, y = np.array([f for f, _ in held]), np.array([float(y) for _, y in held])
     model.beta = logistic(x, y, np.array([stands_for[int(v)] for v in y]), ridge=1e-2)
