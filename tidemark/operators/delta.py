@@ -41,7 +41,7 @@ relation("identity_outcomes", f"""
 select stage_id, identity, max(rule) as rule, max(base_rows) > 1 or max(head_rows) > 1 as duplicate, count_if(in_base and in_head) as unchanged,
   count_if(in_base and not in_head) as base_left, count_if(in_head and not in_base) as head_left, max(identity_kind) as identity_kind, {_ONE}
 from {{bag_join}} group by stage_id, identity
-""", "bag_join")
+""", "bag_join", keep=True)
 
 # F-37
 _DIFFERENCE = "(case when base_metric <> '' and base_metric = head_metric then head_value - base_value end)"
@@ -72,7 +72,7 @@ select coalesce(b.stage_id, h.stage_id) as stage_id, coalesce(b.status, 'absent'
     when b.tool <> h.tool or b.version <> h.version then 'Resolution requires observations from the same tool and version.'
     when b.scope <> h.scope or b.category <> h.category then 'Resolution requires observations of the same analysis scope and category.' else '' end as note
 from {ev_base_stages} b full outer join {ev_head_stages} h on b.stage_id = h.stage_id
-""", "ev_base_stages", "ev_head_stages")
+""", "ev_base_stages", "ev_head_stages", keep=True)
 
 # J-5
 _METRICS = ("issue_count", "error_count", "warning_count", "max_cc", "duplication_percent")
@@ -83,7 +83,7 @@ select b.stage_id, b.metric, b.value as base, h.value as head, bround(h.value -
 from {base_metrics} b join {head_metrics} h on b.stage_id = h.stage_id and b.metric = h.metric
 join {stage_pairs} p on p.stage_id = b.stage_id and p.note = ''
 where b.value is not null and h.value is not null
-""", "base_metrics", "head_metrics", "stage_pairs")
+""", "base_metrics", "head_metrics", "stage_pairs", keep=True)
 
 # J-14: on what is added and resolved before the limit
 relation("uncertain_identities", """
@@ -92,7 +92,7 @@ join (select stage_id, rule, coalesce(head_path, base_path) as path, coalesce(he
   where identity_kind = 'body' group by 1, 2, 3, 4 having count_if(head_left > 0 and base_left = 0) > 0 and count_if(base_left > 0 and head_left = 0 and not duplicate) > 0) y
   on x.stage_id = y.stage_id and x.rule = y.rule and coalesce(x.head_path, x.base_path) = y.path and coalesce(x.head_metric, x.base_metric) = y.metric
 where x.identity_kind = 'body' and ((x.head_left > 0 and x.base_left = 0) or (x.base_left > 0 and x.head_left = 0 and not x.duplicate))
-""", "identity_outcomes")
+""", "identity_outcomes", keep=True)
 
 # J-12: descending ranks of blocking values, the first rank at which the head is larger
 for _side in ("base", "head"):
@@ -142,7 +142,7 @@ select d.stage_id, case when p.note = '' then sum(d.added) else sum(d.added) + s
   case when p.note = '' then sum(d.changed) else 0 end as changed, sum(d.unchanged) as unchanged, count_if(d.ambiguous) as ambiguous,
   case when p.note = '' then count_if(d.direction = 'worsened') else 0 end as worsened, case when p.note = '' then count_if(d.direction = 'improved') else 0 end as improved
 from {delta_match} d join {stage_pairs} p on d.stage_id = p.stage_id group by d.stage_id, p.note
-""", "delta_match", "stage_pairs")
+""", "delta_match", "stage_pairs", keep=True)
 
 # A-20: message rows, then one row
 relation("delta_messages", f"""

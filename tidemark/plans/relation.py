@@ -29,11 +29,14 @@ class Relation:
     inputs: tuple[str, ...] = field(default=())
     #: The check's own wording, where functions differ by more than their names; None: derived; "": not expressible.
     check: str | None = None
+    #: Kept in executors' memory or disk, because relations above use it several times; a lost block is made again.
+    keep: bool = False
 
     def over(self, **inputs: DataFrame) -> DataFrame:
         """The relation over the caller's DataFrames."""
         spark = next(iter(inputs.values())).sparkSession
-        return spark.sql(self.sql, **{k: inputs[k] for k in self.inputs})
+        made = spark.sql(self.sql, **{k: inputs[k] for k in self.inputs})
+        return made.persist() if self.keep else made
 
     def frame(self, spark: SparkSession, sf_dir: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
         """The relation over the tables of a folder; each relation below is made once."""
@@ -67,6 +70,6 @@ class Relation:
         return (f"WITH {', '.join(parts)} " if parts else "") + f"SELECT * FROM ({self.own_check()}) AS result"
 
 
-def relation(name: str, sql: str, *inputs: str, check: str | None = None) -> Relation:
-    RELATIONS[name] = made = Relation(name, sql.strip(), inputs, check)
+def relation(name: str, sql: str, *inputs: str, check: str | None = None, keep: bool = False) -> Relation:
+    RELATIONS[name] = made = Relation(name, sql.strip(), inputs, check, keep)
     return made

@@ -25,7 +25,7 @@ from (
     row_number() over (partition by o_custkey % 100, o_orderkey % 6 order by o_orderkey) as rn
   from {orders}) t
 where rn <= 2
-""".replace("-1.0D", "cast(-1 as double)"), "orders")
+""".replace("-1.0D", "cast(-1 as double)"), "orders", keep=True)
 
 relation("ev_findings", """
 select 'snap' || cast(l_orderkey % 100 as string) as snapshot_id,
