@@ -16,6 +16,7 @@ depend on other columns.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from pathlib import Path
 
@@ -55,12 +56,18 @@ class Ids(dict):
     """The ids of a text as little-endian unsigned 32-bit integers.
 
     A single space between two other characters always begins a new piece of the tokenizer's pattern, so the words
-    between such spaces are encoded once and remembered. Parts for which this doesn't hold are kept together.
+    between such spaces are encoded once and remembered. Parts for which this doesn't hold are kept together. The
+    vocabulary file's added tokens cut a text before all else, and each is one id, as in `tokenizers` by default.
     """
 
     def __init__(self, model: dict, pattern: str):
         super().__init__()
-        alphabet, special = byte_alphabet(), {t["content"] for t in model.get("added_tokens", [])}
+        added = model.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        alphabet, special = byte_alphabet(), set(self.added)
         ranks = {bytes(alphabet[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -76,7 +83,17 @@ class Ids(dict):
         return found
 
     def of(self, text: str | None) -> bytes:
-        parts = (text or "").split(" ")
+        text = text or ""
+        if self.cut is None or not self.cut.search(text):
+            return self.plain(text)
+        out, done = [], 0
+        for m in self.cut.finditer(text):
+            out += [self.plain(text[done : m.start()]), self.added[m.group()]]
+            done = m.end()
+        return b"".join([*out, self.plain(text[done:])])
+
+    def plain(self, text: str) -> bytes:
+        parts = text.split(" ")
         try:
             if len(parts) == 1 or not parts[0] or parts[0][-1].isspace():
                 raise NotAlone
@@ -85,7 +102,7 @@ class Ids(dict):
             return self.joined(parts)
 
     def joined(self, parts: list[str]) -> bytes:
-        """As of(), with the parts between unsafe spaces put together again."""
+        """As plain(), with the parts between unsafe spaces put together again."""
         out, held = [], [parts[0]]
         alone = lambda left, right: left and right and not left[-1].isspace() and not right[0].isspace()
         first = True
