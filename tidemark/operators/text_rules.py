@@ -64,20 +64,40 @@ from (select p_partkey, p_name || ' v' || cast(p_size as string) || case when p_
 
 # F-16, F-17, W-6, E-4. The context crosses lines, so characters are indexed over the whole text.
 _CONTROLLED = """
-select doc_id, case when doc_id % 10 = 0 then text || char(10) || 'x' || {rlo} || 'y' when doc_id % 7 = 0 then substring(text, 1, 50) || {zwj} || substring(text, 51, 100000) when doc_id % 13 = 0 then 'a' || {shy} || text else text end as t from {{documents}}
+select doc_id, case when doc_id % 10 = 0 then text || char(10) || 'x' || {rlo} || 'y' when doc_id % 7 = 0 then substring(text, 1, 50) || {zwj} || substring(text, 51) when doc_id % 13 = 0 then 'a' || {shy} || text else text end as t from {{documents}}
 """
 _spark = _CONTROLLED.format(rlo="'\u202e'", zwj="'\u200d'", shy="'\u00ad'")
 relation("ev_text_controls", _spark, "documents")
-_FOUND = """
-select doc_id, pos, cast(length(before) - length(replace(before, char(10), '')) + 1 as bigint) as line,
-  cast(length(before) - (case when instr(before, char(10)) = 0 then 0 else length(before) - instr(reverse(before), char(10)) + 1 end) + 1 as bigint) as col,
-  case c when '\u202e' then 'unicode.bidi-control' when '\u00ad' then 'unicode.soft-hyphen' else 'unicode.unexpected-joiner' end as rule,
-  case c when '\u202e' then 'high' when '\u00ad' then 'info' else 'low' end as severity
-from (select doc_id, c, cast(instr(t, c) as bigint) as pos, substring(t, 1, instr(t, c) - 1) as before, substring(t, instr(t, c) - 1, 1) as left_c, substring(t, instr(t, c) + 1, 1) as right_c from (
-  select doc_id, t, case when instr(t, '\u202e') > 0 then '\u202e' when instr(t, '\u200d') > 0 then '\u200d' when instr(t, '\u00ad') > 0 then '\u00ad' end as c from {ev_text_controls}) s where c is not null) u
-where c <> '\u200d' or left_c <= '\u007f' or right_c <= '\u007f' or not regexp_like(left_c || right_c, r'^[\\p{{L}}\\p{{M}}][\\p{{L}}\\p{{M}}]$')
+_EVERY = r"""
+select doc_id, rule, case rule when 'unicode.bidi-control' then case when code in (8237, 8238) then 'high' else 'medium' end when 'unicode.soft-hyphen' then 'info' else 'low' end as severity,
+  line, col, 'U+' || case when code < 65536 then lpad(upper(to_hex(code)), 4, '0') else upper(to_hex(code)) end as symbol
+from (
+  select doc_id, line, col, code, case
+    when code = 1564 or code in (8206, 8207) or code between 8234 and 8238 or code between 8294 and 8297 then 'unicode.bidi-control'
+    when code = 173 then 'unicode.soft-hyphen'
+    when code = 6158 or code = 8203 or code between 8288 and 8292 then 'unicode.invisible-control'
+    when code between 917505 and 917631 then case when not after_emoji then 'unicode.unexpected-tag' end
+    when code in (8204, 8205) then case when coalesce((left_emoji and right_emoji) or (left_letter and right_letter), false) then null else 'unicode.unexpected-joiner' end
+    when code = 65279 then case when pos > 1 then 'unicode.misplaced-bom' end
+    when code between 65024 and 65039 or code between 917760 and 917999 then case when coalesce(left_code, 0) < 128 then 'unicode.unexpected-variation-selector' end end as rule
+  from (
+    select doc_id, pos, code, left_code, line, pos - last_break as col, after_emoji,
+      left_code >= 126976 or left_code in (65039, 10084) as left_emoji, right_code >= 126976 or right_code in (65039, 10084) as right_emoji,
+      left_code > 127 and regexp_matches(chr(left_code), '^[\p{{L}}\p{{M}}]$') as left_letter, right_code > 127 and regexp_matches(chr(right_code), '^[\p{{L}}\p{{M}}]$') as right_letter
+    from (
+      select doc_id, pos, code, lag(code) over w as left_code, lead(code) over w as right_code,
+        coalesce(bool_or(code between 126976 and 917503) over (partition by doc_id order by pos rows between 12 preceding and 1 preceding), false) as after_emoji,
+        cast(1 + coalesce(sum(case when code = 10 then 1 else 0 end) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as line,
+        coalesce(max(case when code = 10 then pos end) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as last_break
+      from (select doc_id, pos, unicode(c) as code from (
+        select doc_id, unnest(range(1, len(string_split(t, '')) + 1)) as pos, unnest(string_split(t, '')) as c from {ev_text_controls}
+        where t <> '' and regexp_matches(t, '[\x{{AD}}\x{{61C}}\x{{180E}}\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{2069}}\x{{FEFF}}\x{{FE00}}-\x{{FE0F}}\x{{E0001}}-\x{{E007F}}\x{{E0100}}-\x{{E01EF}}]')) e) p
+      window w as (partition by doc_id order by pos)) x
+    where code = 173 or code >= 1564) y) z
+where rule is not null
 """
-relation("unicode_controls", _FOUND, "ev_text_controls")
+# the check statement: every position of every text; the query itself is unicode_controls() below
+relation("unicode_controls", _EVERY, "ev_text_controls")
 
 # E-12, built-in patterns: assembled here, published without the match
 SECRET_PATTERNS = {

@@ -36,4 +36,5 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f"q_{name}": query(name) for name in KEYS}
 QUERIES["q_greedy_budget"] = lambda spark, sf_dir: inventory.greedy_budget(_files(spark, sf_dir), 200_000)
 QUERIES["q_batch_packing"] = lambda spark, sf_dir: inventory.batch_packing(_files(spark, sf_dir), BATCH_FILES, BATCH_BYTES)
+QUERIES["q_unicode_controls"] = lambda spark, sf_dir: text_rules.unicode_controls(RELATIONS["ev_text_controls"].frame(spark, sf_dir).withColumnRenamed("t", "text"))
 ORACLE_SQL = {f"q_{name}": s for name in KEYS if (s := RELATIONS[name].statement())}
