@@ -158,13 +158,14 @@ def test_nearest_examples_are_exact(spark):
     v = rng.random((400, 30)) * (rng.random((400, 30)) < 0.2)
     v = v[v.any(1)]
     v /= np.sqrt((v * v).sum(1))[:, None]
-    index = toxicity.BlockMaxIndex(v, np.zeros(len(v)), np.ones(len(v)), np.arange(len(v)))
+    row, term = np.nonzero(v)
+    index = toxicity.BlockMaxIndex(row, term, v[row, term], len(v), v.shape[1])
     for q in v[:50]:
         at = np.flatnonzero(q)
         rows, cosine = index.nearest(at, q[at], k=10)
-        brute = np.sort(index.vectors @ q)[::-1]
+        brute = np.sort(v @ q)[::-1]
         assert np.allclose(cosine, brute[brute > 0][:10])
-        assert np.allclose(index.vectors[rows] @ q, cosine)
+        assert np.allclose(v[rows] @ q, cosine)
 
 
 def test_cutting_stock_holds_the_demand_near_the_bound():

@@ -13,9 +13,12 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets
+    a new folder of this machine; on a cluster each executor would write to its own disk, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_tidemark_shared", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark._tidemark_shared = folder
     return folder.rstrip("/")
@@ -73,9 +76,20 @@ def label_sample(labels: DataFrame, label: str, modulus: int, left_out: int, per
     return parts[0].unionByName(parts[1]), {y: count.get(y, 0) / max(1, min(per_class, count.get(y, 0))) for y in (0, 1)}
 
 
-def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """The texts of a bounded sample of ids, one row for each id; the ids are few, so they are broadcast."""
-    return (
+def sampled_texts(docs: DataFrame, sample: DataFrame, most_bytes: int) -> DataFrame:
+    """The texts of a bounded sample of ids (doc_id, label, text), one row for each id; the ids are few, so they are
+    broadcast. Of an id's rows the largest text counts. In the order of the ids' hash, texts that still fit most_bytes
+    are taken whole; the bound is the documented one for fitting a classifier."""
+    rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
         .groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
     )
+    rows = written(rows.repartition(8, "doc_id"), "sample")
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # as many as the sample
+    left, out = most_bytes, []
+    for r in sizes:
+        if r["n"] > left:
+            out.append(r["doc_id"])
+        else:
+            left -= r["n"]
+    return rows.where(~F.col("doc_id").isin(out)) if out else rows

@@ -26,6 +26,8 @@ from .common import fold, label_sample, sampled_texts
 from .toxicity import logistic
 
 PER_CLASS = 2000
+#: Text of all sampled rows together.
+SAMPLE_BYTES = 32 << 20
 PIECE = 1024
 DICTIONARY = 32768
 #: Bytes of training text for each dictionary, spread evenly over the documents.
@@ -81,7 +83,7 @@ def dictionary(texts: list[str]) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, left_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Model:
     sample, stands_for = label_sample(labels, "quality", modulus, left_out, per_class)
-    rows = sorted(sampled_texts(docs, sample).collect(), key=lambda r: r["doc_id"])  # at most 2 * per_class
+    rows = sorted(sampled_texts(docs, sample, SAMPLE_BYTES).collect(), key=lambda r: r["doc_id"])  # at most 2 * per_class
     of = {y: [r["text"] for r in rows if r["label"] == y] for y in (0, 1)}
     if len(of[0]) < 2 or len(of[1]) < 2:
         n = sum(stands_for[y] * len(of[y]) for y in (0, 1))

@@ -1,20 +1,25 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-A bounded sample of labelled rows (PER_CLASS of each class) gives the examples. Terms are lower-case words without
-ASCII punctuation; the vocabulary is the at most TERMS words whose chi-square with the label in the sample exceeds
-MIN_CHI2 and which at least MIN_SHARE of the toxic examples have (a word that says nothing about the label, or that is
-known from copies of one text only, just adds noise to the cosine). Document frequencies are counted
-over all documents. The index keeps the examples in blocks of BLOCK; a query adds, for its terms, the largest weight in
-each block, opens blocks in falling order of that bound, and stops when no bound can reach the K-th best cosine, so the
-neighbours are exact. Votes are weighted by cosine and calibrated by a logistic curve on leave-one-out votes.
-
-Index and vocabulary are bounded by these parameters, so they are sent to all workers. Everything else is one pass
-over the documents without a shuffle of texts.
-
-Defined results: null and empty texts, and texts without a vocabulary term, get the share of toxic rows among the
-labelled texts without such terms and no evidence. Equal texts get equal scores. Equal example vectors form one
-example that votes with its share of toxic rows; ties in cosine go to the earlier example. Without labels of both
-classes the score is the share of toxic labels, 0 if there are no labels. Extra columns are not read.
+A bounded sample of labelled rows (PER_CLASS of each class, and EXAMPLE_BYTES of their text) gives the examples. Every
+term of the examples is indexed. A term's weight is its logarithmic frequency in the text, its inverse document
+frequency over all documents, and a relevance factor (tf.rf: how much more often it occurs in toxic than in clean
+examples), so that ordinary words, which most of a text consists of, hardly move the cosine; none is left out.
+
+The index keeps the examples in blocks of BLOCK and, for each term and block, the largest weight. A query adds these up
+to a bound for each block. The FIRST blocks with the largest bounds are scored; what they give for the K-th best cosine
+rules out every block whose bound is lower, and the others are scored. So the neighbours are exact. Their votes,
+weighted by squared cosine, are calibrated by a logistic curve on votes for examples that are left out themselves.
+
+The index is bounded by these parameters, so it is sent to all workers. Everything else is one pass over the documents;
+document frequencies are summed by a shuffle of one count for each run of terms and task.
+
+Defined results: null and empty texts, and texts without a term of the examples, get the share of toxic rows among the
+labelled texts without terms, or among all labelled ones, and no evidence. Very long texts are read whole; their cost
+is linear in their length. Equal texts get equal scores, and rows with one id are scored each by its own text. If a
+labelled id has several rows, the largest text is its example. Equal example vectors form one example that votes with
+its share of toxic rows; ties in cosine go to the earlier example. Without labels of both classes the score is the
+share of toxic labels, 0 if there are no labels. Extra columns are not read, whatever their names; filtered() keeps
+them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +35,14 @@ from pyspark.sql import functions as F
 from .common import fold, label_sample, sampled_texts
 
 PER_CLASS = 3000
-TERMS = 512
-MIN_CHI2 = 30.0
-MIN_SHARE = 0.02
-BLOCK = 64
+#: Text of all examples together; beyond it, examples are taken in the order of their ids' hash as long as they fit.
+EXAMPLE_BYTES = 48 << 20
+BLOCK, FIRST = 64, 4
 K = 15
+#: Relevance of a term that no toxic example has.
+LEAST_RELEVANCE = 0.01
+#: Terms in one count array that a task sends.
+RUN = 4096
 FOLDS, HELD_OUT = 5, 0
 EVIDENCE = 3
 _PLAIN = bytes(ord(" ") if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or b < 33 or b == 127 else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
@@ -44,74 +52,92 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_PLAIN).split()
 
 
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges start:end, one range after another, and the lengths of the ranges."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 class BlockMaxIndex:
-    """Example vectors in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, np.argmax(vectors, 1))) if len(vectors) else np.zeros(0, int)
-        self.vectors, self.toxic, self.weight, self.ids = vectors[order], toxic[order], weight[order], ids[order]
-        starts = range(0, len(order), BLOCK)
-        self.most = np.stack([self.vectors[i : i + BLOCK].max(0) for i in starts], 1) if len(order) else np.zeros((vectors.shape[1], 0))
-        # postings by term and block: which rows of the block have the term
-        self.postings = {}
-        for b in range(self.most.shape[1]):
-            block = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            for t in np.flatnonzero(self.most[:, b]):
-                rows = np.flatnonzero(block[:, t])
-                self.postings[int(t), b] = (rows, block[rows, t])
+    """Postings of the examples by term, in blocks of rows, with the largest weight of each term in each block."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, terms_: int):
+        """Of size examples: weight of a term in a row. Rows are in the order in which blocks are cut."""
+        order = np.lexsort((row, term))
+        self.size, self.row, self.weight = size, row[order].astype(np.int32), weight[order].astype(np.float64)
+        term, block = term[order], row[order] // BLOCK
+        self.of_term = np.searchsorted(term, np.arange(terms_ + 1))
+        #: segments: the postings of one term in one block
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.start, self.end = new, np.append(new, len(term))[1:]
+        self.block = block[new].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.segments_of_term = np.searchsorted(term[new], np.arange(terms_ + 1))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a positive cosine."""
-        bound = w @ self.most[at]
-        best_rows, best = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[-1]:
-                break
-            score = np.zeros(min(BLOCK, len(self.vectors) - b * BLOCK))
-            for t, x in zip(at.tolist(), w.tolist()):
-                if (found := self.postings.get((t, b))) is not None:
-                    score[found[0]] += x * found[1]
-            rows = np.flatnonzero(score > 0)
-            rows, score = rows + b * BLOCK, score[rows]
-            if skip >= 0:
-                score, rows = score[rows != skip], rows[rows != skip]
-            best_rows, best = np.concatenate([best_rows, rows]), np.concatenate([best, score])
-            order = np.lexsort((best_rows, -np.round(best, 12)))[:k]
-            best_rows, best = best_rows[order], best[order]
-        return best_rows, best
+        if not len(at) or not self.size:
+            return np.zeros(0, np.int64), np.zeros(0)
+        segment, n = spread(self.segments_of_term[at], self.segments_of_term[at + 1])
+        block, weight = self.block[segment], np.repeat(w, n)
+        bound = np.bincount(block, weight * self.most[segment], -(-self.size // BLOCK))
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        score = self.scored(segment, weight, first[block], skip)
+        best = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        others = ~first & (bound > 0) & (bound >= best - 1e-9)
+        if 2 * others.sum() > len(bound):  # most blocks are left: whole postings cost less than picked segments
+            score = self.added(*spread(self.of_term[at], self.of_term[at + 1]), w, skip)
+        elif others.any():
+            score = score + self.scored(segment, weight, others[block], skip)
+        best = np.partition(score, -k)[-k] if self.size > k else 0.0
+        rows = np.flatnonzero((score > 0) & (score >= best - 1e-12))
+        rows = rows[np.lexsort((rows, -np.round(score[rows], 12)))[:k]]
+        return rows, score[rows]
+
+    def scored(self, segment: np.ndarray, weight: np.ndarray, here: np.ndarray, skip: int) -> np.ndarray:
+        """Cosines from the segments here."""
+        s = segment[here]
+        return self.added(*spread(self.start[s], self.end[s]), weight[here], skip)
+
+    def added(self, posting: np.ndarray, n: np.ndarray, weight: np.ndarray, skip: int) -> np.ndarray:
+        out = np.bincount(self.row[posting], np.repeat(weight, n) * self.weight[posting], self.size)
+        if skip >= 0:
+            out[skip] = 0
+        return out
 
 
 class Model:
-    """Vocabulary, index and calibration; small and bounded."""
-
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, index: BlockMaxIndex, curve: tuple[float, float], empty: float):
-        self.vocabulary, self.idf, self.index, self.curve, self.empty, self.seen = vocabulary, idf, index, curve, empty, {}
+    """Vocabulary, index and calibration; bounded by the sample's parameters."""
 
-    def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+    def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray, index: BlockMaxIndex | None, toxic: np.ndarray, ids: np.ndarray, empty: float):
+        self.vocabulary, self.weight, self.index, self.toxic, self.ids = vocabulary, weight, index, toxic, ids
+        self.curve, self.empty = (0.0, 0.0), empty
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray, tuple]:
-        tf = Counter(filter(self.vocabulary.__contains__, terms(text)))
-        key = tuple(sorted((self.vocabulary[t], n) for t, n in tf.items()))
-        at = np.array([t for t, _ in key], int)
-        w = (1 + np.log([n for _, n in key])) * self.idf[at] if key else np.zeros(0)
-        return at, w / (np.sqrt((w * w).sum()) or 1), key
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text, with length 1 over the indexed terms."""
+        known = self.vocabulary.get
+        found = [(i, n) for t, n in Counter(terms(text)).items() if (i := known(t)) is not None]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, n = np.array(sorted(found), np.int64).T
+        return at, unit((1 + np.log(n)) * self.weight[at])
 
     def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine * cosine
-        return float((w * self.index.toxic[rows]).sum() / w.sum()) if len(rows) else -1.0
+        return float((w * self.toxic[rows]).sum() / w.sum()) if len(rows) else -1.0
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        at, w, key = self.vector(text)
-        if not key:
+        if self.index is None:
             return self.empty, []
-        if key not in self.seen:
-            rows, cosine = self.index.nearest(at, w)
-            v = self.vote(rows, cosine)
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            self.seen[key] = (self.empty if v < 0 else float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * v)))), self.index.ids[rows[:EVIDENCE]].tolist())
-        return self.seen[key]
+        rows, cosine = self.index.nearest(*self.vector(text))
+        if not len(rows):
+            return self.empty, []
+        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * self.vote(rows, cosine))))), self.ids[rows[:EVIDENCE]].tolist()
+
+
+def unit(w: np.ndarray) -> np.ndarray:
+    return w / (np.sqrt((w * w).sum()) or 1.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -127,101 +153,124 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
     return beta
 
 
-def distinct_terms(batches):
-    """(term, label) for each distinct term of each text."""
-    for b in batches:
-        t, y = [], []
-        for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-            found = set(terms(text))
-            t.extend(found)
-            y.extend([label] * len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(y, pa.int32())], ["term", "label"])
-
-
 def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """Documents, and for each term the documents that have it, over all documents; each task sends one row."""
+    """Documents, and for each term the documents that have it, over all documents. A task sends its counts in runs of
+    RUN terms, and each run is summed in one group."""
+    shipped, size = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
+    schema = pa.schema([("run", pa.int32()), ("counts", pa.binary())])
 
     def count(batches):
-        n, df = 0, np.zeros(len(vocabulary), np.int64)
+        known, n, df = shipped.value, 0, np.zeros(size, "<i8")
         for b in batches:
             for text in b.column("text").to_pylist():
                 n += 1
-                df[[vocabulary[t] for t in set(filter(vocabulary.__contains__, terms(text)))]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "df"])
+                found = set(filter(known.__contains__, terms(text)))
+                df[np.fromiter(map(known.__getitem__, found), np.int64, len(found))] += 1
+        runs = [r for r in range(-(-size // RUN)) if df[r * RUN : (r + 1) * RUN].any()]
+        counts = [np.array([n], "<i8").tobytes(), *(df[r * RUN : (r + 1) * RUN].tobytes() for r in runs)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *runs], pa.int32()), pa.array(counts, pa.binary())], schema=schema)
+
+    def add(key: tuple, frame: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x, "<i8") for x in frame.column("counts").to_pylist())
+        return pa.table({"run": [key[0].as_py()], "counts": [counts.tobytes()]}, schema)
+
+    sent = docs.select("text").mapInArrow(count, "run int, counts binary")
+    df, n = np.zeros(size, np.int64), 0
+    for r in sent.groupBy("run").applyInArrow(add, "run int, counts binary").collect():  # one number for each term
+        counts = np.frombuffer(r["counts"], "<i8")
+        if r["run"] < 0:
+            n = int(counts[0])
+        else:
+            df[r["run"] * RUN : r["run"] * RUN + len(counts)] = counts
+    return n, df
+
+
+def example_counts(texts: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarray]]:
+    """(doc_id, label, terms, counts) of each example, by id; as bounded as EXAMPLE_BYTES of text are."""
+
+    def count(batches):
+        for b in batches:
+            found = [Counter(terms(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("label"), pa.array([b" ".join(f) for f in found], pa.binary()), pa.array([np.fromiter(f.values(), "<i8", len(f)).tobytes() for f in found], pa.binary())],
+                ["doc_id", "label", "terms", "counts"],
+            )
+
+    rows = texts.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, terms binary, counts binary").collect()
+    return [(r["doc_id"], r["label"], bytes(r["terms"]).split(), np.frombuffer(r["counts"], "<i8")) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
-    rows = docs.select("text").mapInArrow(count, "n long, df array<long>")
-    total = rows.agg(F.sum("n").alias("n")).first()["n"] if not vocabulary else None
-    if total is not None or not vocabulary:
-        return total or 0, np.zeros(0, np.int64)
-    sums = rows.select("n", F.posexplode("df")).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("df")).collect()
-    df = np.zeros(len(vocabulary), np.int64)
-    for r in sums:
-        df[r["pos"]] = r["df"]
-    return (sums[0]["n"] if sums else 0), df
+
+def relevance(found: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
+    """tf.rf over (label, terms) of the examples: least for a term without toxic examples, growing with the ratio of
+    toxic and clean examples that have it."""
+    have = [np.bincount(np.concatenate([at for y, at in found if y == label] or [np.zeros(0, np.int64)]), minlength=size) for label in (0, 1)]
+    n = [sum(y == label for y, _ in found) for label in (0, 1)]
+    return np.log2(2 + have[1] / np.maximum(1, have[0] * (n[1] / max(1, n[0])))) - 1 + LEAST_RELEVANCE
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, left_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Model:
     sample, stands_for = label_sample(labels, "toxic", modulus, left_out, per_class)
-    texts = sampled_texts(docs, sample)
-    n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    share = n1 * stands_for[1] / max(1e-9, n0 * stands_for[0] + n1 * stands_for[1])
-    nothing = Model({}, np.zeros(0), BlockMaxIndex(np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros(0, int)), (0.0, 0.0), share)
-    if not n0 or not n1:
-        return nothing
-    seen = (
-        texts.select("text", "label").mapInArrow(distinct_terms, "term binary, label int")
-        .groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("t"))
-    )
-    total = float(n0 + n1)
-    chi2 = F.pow(F.col("t") * total - F.col("n") * n1, 2) * total / (F.col("n") * (total - F.col("n")) * float(n1 * n0))
-    chosen = seen.where((F.col("n") >= 3) & (F.greatest(F.col("t"), (F.col("n") - F.col("t")) * (n1 / n0)) >= MIN_SHARE * n1) & (F.col("n") < total)).withColumn("chi2", chi2).where(F.col("chi2") > min(MIN_CHI2, total / 10))
-    vocabulary = {bytes(r["term"]): i for i, r in enumerate(chosen.orderBy(F.desc("chi2"), "term").limit(TERMS).collect())}
-    if not vocabulary:
+    rows = example_counts(sampled_texts(docs, sample, EXAMPLE_BYTES))
+    n = Counter(y for _, y, _, _ in rows)
+    share = n[1] * stands_for[1] / max(1e-9, n[0] * stands_for[0] + n[1] * stands_for[1])
+    nothing = Model({}, np.zeros(0), None, np.zeros(0), np.zeros(0, np.int64), share)
+    vocabulary = {t: i for i, t in enumerate(sorted({t for _, _, found, _ in rows for t in found}))}
+    if not n[0] or not n[1] or not vocabulary:
         return nothing
     documents, df = document_frequency(docs, vocabulary)
-    model = Model(vocabulary, np.log((1 + documents) / (1 + df)) + 1e-3, nothing.index, (0.0, 0.0), share)
-
-    def vectors(batches):
-        for b in batches:
-            keys = [list(map(list, model.vector(t)[2])) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(keys, pa.list_(pa.list_(pa.int32())))], ["doc_id", "label", "key"])
-
-    rows = texts.mapInArrow(vectors, "doc_id long, label int, key array<array<int>>").collect()  # at most 2 * per_class
+    weight = np.log((1 + documents) / (1 + np.minimum(df, documents))) + 1e-3
+    ids = [np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)) for _, _, found, _ in rows]
+    weight *= relevance([(r[1], at) for r, at in zip(rows, ids)], len(vocabulary))
     groups: dict[tuple, list] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        groups.setdefault(tuple(map(tuple, r["key"])), []).append((r["doc_id"], r["label"]))
+    for (doc_id, label, _, counts), at in zip(rows, ids):
+        order = np.argsort(at)
+        groups.setdefault((at[order].tobytes(), counts[order].tobytes()), []).append((doc_id, label))
     weigh = lambda g: sum(stands_for[y] for _, y in g)
-    bare = groups.pop((), [])
-    model.empty = sum(stands_for[1] for _, y in bare if y) / weigh(bare) if bare else share
-    keys = list(groups)
-    dense = np.zeros((len(keys), len(vocabulary)))
-    for i, key in enumerate(keys):
-        at = [t for t, _ in key]
-        w = (1 + np.log([x for _, x in key])) * model.idf[at]
-        dense[i, at] = w / np.sqrt((w * w).sum())
-    toxic = np.array([sum(stands_for[1] for _, y in groups[k] if y) / weigh(groups[k]) for k in keys])
-    weight = np.array([weigh(groups[k]) for k in keys])
-    model.index = BlockMaxIndex(dense, toxic, weight, np.array([groups[k][0][0] for k in keys], np.int64))
-    votes = []
-    for i in range(len(keys)):
-        at = np.flatnonzero(model.index.vectors[i])
-        votes.append(model.vote(*model.index.nearest(at, model.index.vectors[i, at], skip=i)))
-    votes, y, w = np.array(votes), model.index.toxic, model.index.weight
+    bare = groups.pop((b"", b""), [])
+    vectors = []
+    for (at, counts), members in groups.items():
+        at = np.frombuffer(at, np.int64)
+        w = unit((1 + np.log(np.frombuffer(counts, np.int64))) * weight[at])
+        vectors.append((int(at[w.argmax()]), members[0][0], at, w, members))
+    vectors.sort(key=lambda v: v[:2])  # examples with the same foremost term stand in one block
+    sizes = [len(v[2]) for v in vectors]
+    index = BlockMaxIndex(np.repeat(np.arange(len(vectors)), sizes), np.concatenate([v[2] for v in vectors]), np.concatenate([v[3] for v in vectors]), len(vectors), len(vocabulary))
+    toxic = np.array([sum(stands_for[1] for _, y in v[4] if y) / weigh(v[4]) for v in vectors])
+    empty = sum(stands_for[1] for _, y in bare if y) / weigh(bare) if bare else share
+    model = Model(vocabulary, weight, index, toxic, np.array([v[1] for v in vectors], np.int64), empty)
+    votes = left_out_votes(docs, model, [(v[2], v[3]) for v in vectors])
     known = votes >= 0
     if known.any():
-        x = np.stack([np.ones(known.sum()), votes[known]], 1)
-        a, b = logistic(np.concatenate([x, x]), np.repeat([1.0, 0.0], known.sum()), np.concatenate([w[known] * y[known], w[known] * (1 - y[known])]) + 1e-9)
+        x, w = np.stack([np.ones(known.sum()), votes[known]], 1), np.array([weigh(v[4]) for v in vectors])[known]
+        a, b = logistic(np.concatenate([x, x]), np.repeat([1.0, 0.0], known.sum()), np.concatenate([w * toxic[known], w * (1 - toxic[known])]) + 1e-9)
         model.curve = (float(a), float(b))
     return model
 
 
+def left_out_votes(docs: DataFrame, model: Model, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The vote for each example without itself; tasks share the examples."""
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast((model, vectors))
+
+    def run(batches):
+        m, v = shipped.value
+        for b in batches:
+            i = b.column("id").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.vote(*m.index.nearest(*v[k], skip=k)) for k in i], pa.float64())], ["id", "vote"])
+
+    out = np.zeros(len(vectors))
+    for r in spark.range(len(vectors)).mapInArrow(run, "id long, vote double").collect():  # one for each example
+        out[r["id"]] = r["vote"]
+    return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and evidence (ids of the nearest examples) of every document."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
         for f in frames:
-            out = [model.score(t) for t in f["text"]]
+            out = [shipped.value.score(t) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": [s for s, _ in out], "evidence": [e for _, e in out]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, evidence array<long>")
@@ -236,9 +285,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score is under 0.5, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([model.score(t)[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([shipped.value.score(t)[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
