@@ -29,7 +29,8 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, label_sample, sampled_texts
@@ -54,7 +55,7 @@ def terms(text: str | None) -> list[bytes]:
 
 def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions of the ranges start:end, one range after another, and the lengths of the ranges."""
-    n = end - start
+    n = (end - start).astype(np.int64)
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
@@ -64,15 +65,15 @@ class BlockMaxIndex:
     def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, terms_: int):
         """Of size examples: weight of a term in a row. Rows are in the order in which blocks are cut."""
         order = np.lexsort((row, term))
-        self.size, self.row, self.weight = size, row[order].astype(np.int32), weight[order].astype(np.float64)
+        self.size, self.row, self.weight = size, row[order].astype(np.int32), weight[order].astype(np.float32)
         term, block = term[order], row[order] // BLOCK
-        self.of_term = np.searchsorted(term, np.arange(terms_ + 1))
+        self.of_term = np.searchsorted(term, np.arange(terms_ + 1)).astype(np.int32)
         #: segments: the postings of one term in one block
         new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
-        self.start, self.end = new, np.append(new, len(term))[1:]
+        self.start = np.append(new, len(term)).astype(np.int32)
         self.block = block[new].astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.segments_of_term = np.searchsorted(term[new], np.arange(terms_ + 1))
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0, np.float32)
+        self.segments_of_term = np.searchsorted(term[new], np.arange(terms_ + 1)).astype(np.int32)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a positive cosine."""
@@ -95,10 +96,17 @@ class BlockMaxIndex:
         rows = rows[np.lexsort((rows, -np.round(score[rows], 12)))[:k]]
         return rows, score[rows]
 
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms and weights of each row."""
+        order = np.argsort(self.row, kind="stable")
+        term = np.repeat(np.arange(len(self.of_term) - 1), np.diff(self.of_term))[order]
+        cuts = np.searchsorted(self.row[order], np.arange(1, self.size))
+        return list(zip(np.split(term, cuts), np.split(self.weight[order].astype(float), cuts)))
+
     def scored(self, segment: np.ndarray, weight: np.ndarray, here: np.ndarray, skip: int) -> np.ndarray:
         """Cosines from the segments here."""
         s = segment[here]
-        return self.added(*spread(self.start[s], self.end[s]), weight[here], skip)
+        return self.added(*spread(self.start[s], self.start[s + 1]), weight[here], skip)
 
     def added(self, posting: np.ndarray, n: np.ndarray, weight: np.ndarray, skip: int) -> np.ndarray:
         out = np.bincount(self.row[posting], np.repeat(weight, n) * self.weight[posting], self.size)
@@ -108,11 +116,19 @@ class BlockMaxIndex:
 
 
 class Model:
-    """Vocabulary, index and calibration; bounded by the sample's parameters."""
+    """Vocabulary, index and calibration; bounded by the sample's parameters. It goes to the workers once."""
 
     def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray, index: BlockMaxIndex | None, toxic: np.ndarray, ids: np.ndarray, empty: float):
         self.vocabulary, self.weight, self.index, self.toxic, self.ids = vocabulary, weight, index, toxic, ids
-        self.curve, self.empty = (0.0, 0.0), empty
+        self.curve, self.empty, self.shipped = (0.0, 0.0), empty, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"shipped": None}
+
+    def ship(self, spark: SparkSession) -> Broadcast:
+        if self.shipped is None:
+            self.shipped = spark.sparkContext.broadcast(self)
+        return self.shipped
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, with length 1 over the indexed terms."""
@@ -127,13 +143,14 @@ class Model:
         w = cosine * cosine
         return float((w * self.toxic[rows]).sum() / w.sum()) if len(rows) else -1.0
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
+    def score(self, text: str | None, curve: tuple[float, float] | None = None) -> tuple[float, list[int]]:
+        a, b = curve or self.curve
         if self.index is None:
             return self.empty, []
         rows, cosine = self.index.nearest(*self.vector(text))
         if not len(rows):
             return self.empty, []
-        return float(1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * self.vote(rows, cosine))))), self.ids[rows[:EVIDENCE]].tolist()
+        return float(1 / (1 + np.exp(-(a + b * self.vote(rows, cosine))))), self.ids[rows[:EVIDENCE]].tolist()
 
 
 def unit(w: np.ndarray) -> np.ndarray:
@@ -182,6 +199,7 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[i
             n = int(counts[0])
         else:
             df[r["run"] * RUN : r["run"] * RUN + len(counts)] = counts
+    shipped.destroy()
     return n, df
 
 
@@ -238,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, left_out: int
     toxic = np.array([sum(stands_for[1] for _, y in v[4] if y) / weigh(v[4]) for v in vectors])
     empty = sum(stands_for[1] for _, y in bare if y) / weigh(bare) if bare else share
     model = Model(vocabulary, weight, index, toxic, np.array([v[1] for v in vectors], np.int64), empty)
-    votes = left_out_votes(docs, model, [(v[2], v[3]) for v in vectors])
+    votes = left_out_votes(docs, model)
     known = votes >= 0
     if known.any():
         x, w = np.stack([np.ones(known.sum()), votes[known]], 1), np.array([weigh(v[4]) for v in vectors])[known]
@@ -247,30 +265,32 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, left_out: int
     return model
 
 
-def left_out_votes(docs: DataFrame, model: Model, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def left_out_votes(docs: DataFrame, model: Model) -> np.ndarray:
     """The vote for each example without itself; tasks share the examples."""
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((model, vectors))
+    spark, size = docs.sparkSession, model.index.size
+    shipped = model.ship(spark)
 
     def run(batches):
-        m, v = shipped.value
+        m = shipped.value
+        v = m.index.vectors()
         for b in batches:
             i = b.column("id").to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.vote(*m.index.nearest(*v[k], skip=k)) for k in i], pa.float64())], ["id", "vote"])
 
-    out = np.zeros(len(vectors))
-    for r in spark.range(len(vectors)).mapInArrow(run, "id long, vote double").collect():  # one for each example
+    out = np.zeros(size)
+    for r in spark.range(size).mapInArrow(run, "id long, vote double").collect():  # one for each example
         out[r["id"]] = r["vote"]
     return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and evidence (ids of the nearest examples) of every document."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, curve = model.ship(docs.sparkSession), model.curve
 
     def run(frames):
+        m = shipped.value
         for f in frames:
-            out = [shipped.value.score(t) for t in f["text"]]
+            out = [m.score(t, curve) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": [s for s, _ in out], "evidence": [e for _, e in out]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, evidence array<long>")
@@ -285,10 +305,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score is under 0.5, with all their columns."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, curve = model.ship(docs.sparkSession), model.curve
 
     def run(batches):
+        m = shipped.value
         for b in batches:
-            yield b.filter(pa.array([shipped.value.score(t)[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([m.score(t, curve)[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
