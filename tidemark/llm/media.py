@@ -3,12 +3,15 @@
 A payload becomes a PNG image of WIDTH pixels a row, one byte a pixel, which is lossless. Tasks write the images into
 zip archives (members stored as they are) of about ARCHIVE bytes in a shared folder; an archive has the attempt's id in
 its name, and the archives that count are those in the written manifest of the attempts that ended well, so a task
-that runs again leaves no doubles. The data source plans byte ranges of SPLIT bytes over the archives; each task reads
-an archive's directory from its end, takes the members that begin in its range, and reads each member on its own by
-offset, RETRIES times at most, checking its length and CRC-32. Payloads are handed on in Arrow batches of BATCH bytes.
+that runs again leaves no doubles. The data source plans byte ranges over the archives: of SPLIT bytes, or larger if
+there would be more than PARTITIONS, and a partition holds the ranges of several small archives, so the driver's plan
+stays small however large the archives are together. A task opens an archive once, reads its directory from the end,
+takes the members that begin in its range, and reads each on its own by offset; only a member whose length or CRC-32 is
+wrong is read again, from a newly opened file, RETRIES times at most. Payloads go on in Arrow batches of BATCH bytes.
 
 Defined results: a null or empty text is 64 zero bytes. Equal texts give equal payloads, images and features. Repeated
-rows and null ids are members of their own. Other columns are not read.
+rows and null ids are members of their own. A very long text is one image of as many rows as it needs, held in one
+task's memory. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from .common import scratch
 
 WIDTH = 64
 ARCHIVE = 64 << 20
-SPLIT = 8 << 20
+SPLIT, PARTITIONS = 8 << 20, 50_000
 BATCH = 4 << 20
 RETRIES = 4
 LEVEL = 6
@@ -142,40 +145,56 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema("archive string, members long, n_bytes long").parquet(f"{folder}/manifest")
 
 
-class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+class ByteRanges(InputPartition):
+    """(archive, first byte, last byte) of one task."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def planned(archives: list[tuple[str, int]], split: int, most: int = PARTITIONS) -> list[list[tuple[str, int, int]]]:
+    """Ranges of archives (name, size) in partitions of about split bytes each, or larger ones if there were too many."""
+    split = max(split, -(-sum(size for _, size in archives) // most))
+    out: list[list[tuple[str, int, int]]] = []
+    room = 0
+    for archive, size in archives:
+        at = 0
+        while at < size:
+            if room <= 0:
+                out.append([])
+                room = split
+            end = min(size, at + room)
+            out[-1].append((archive, at, end))
+            room, at = room - (end - at), end
+    return out
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, folder: str, split: int):
         self.folder, self.split = folder, split
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         fs, root = filesystem(self.folder)
         manifest = pyarrow.dataset.dataset(f"{root}/manifest", filesystem=fs, format="parquet", exclude_invalid_files=False)
-        out = []
-        for b in manifest.to_batches(columns=["archive", "n_bytes"]):
-            for archive, size in zip(b.column("archive").to_pylist(), b.column("n_bytes").to_pylist()):
-                out.extend(ByteRange(archive, s, s + self.split) for s in range(0, size, self.split))
-        return out or [ByteRange("", 0, 0)]
-
-    def read(self, partition: ByteRange):
-        if not partition.archive:
-            return
+        archives = [x for b in manifest.to_batches(columns=["archive", "n_bytes"]) for x in zip(b.column("archive").to_pylist(), b.column("n_bytes").to_pylist())]
+        return [ByteRanges(r) for r in planned(archives, self.split)] or [ByteRanges([])]
+
+    def read(self, partition: ByteRanges):
         fs, root = filesystem(self.folder)
-        path = f"{root}/{partition.archive}"
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.end]
         rows: list[tuple] = []
         size = 0
-        for m in members:
-            _, doc_id, n = m.filename.removesuffix(".png").split("/")
-            rows.append((int(doc_id) if doc_id else None, int(n), partition.archive, m.header_offset, member(fs, path, m)))
-            size += m.file_size
-            if size >= BATCH:
-                yield to_batch(rows)
-                rows, size = [], 0
+        for archive, start, end in partition.ranges:
+            path = f"{root}/{archive}"
+            with fs.open_input_file(path) as f:
+                with zipfile.ZipFile(f) as z:
+                    members = [m for m in z.infolist() if start <= m.header_offset < end]
+                for m in members:
+                    _, doc_id, n = m.filename.removesuffix(".png").split("/")
+                    rows.append((int(doc_id) if doc_id else None, int(n), archive, m.header_offset, member(fs, path, m, f)))
+                    size += m.file_size
+                    if size >= BATCH:
+                        yield to_batch(rows)
+                        rows, size = [], 0
         if rows:
             yield to_batch(rows)
 
@@ -185,21 +204,15 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "archive", "offset", "media"])
 
 
-def member(fs: pyarrow.fs.FileSystem, path: str, m: zipfile.ZipInfo) -> bytes:
-    """One member by its offset. A failed read of it is tried again with a newly opened file; others aren't touched."""
+def member(fs: pyarrow.fs.FileSystem, path: str, m: zipfile.ZipInfo, opened: pa.NativeFile | None = None) -> bytes:
+    """One member by its offset, from the opened file. A failed read is tried again with a newly opened file, and
+    other members aren't touched."""
     for attempt in range(RETRIES):
         try:
+            if attempt == 0 and opened is not None:
+                return checked(opened, m)
             with fs.open_input_file(path) as f:
-                f.seek(m.header_offset)
-                head = f.read(30)
-                if head[:4] != b"PK\x03\x04":
-                    raise OSError("no member begins here")
-                name, extra = struct.unpack("<HH", head[26:30])
-                f.seek(m.header_offset + 30 + name + extra)
-                raw = f.read(m.compress_size)
-            if len(raw) != m.file_size or zlib.crc32(raw) != m.CRC:
-                raise OSError("short or damaged")
-            return raw
+                return checked(f, m)
         except OSError as e:
             if attempt == RETRIES - 1:
                 raise OSError(f"{path}, member {m.filename} at {m.header_offset}: {e}") from e
@@ -207,6 +220,19 @@ def member(fs: pyarrow.fs.FileSystem, path: str, m: zipfile.ZipInfo) -> bytes:
     raise AssertionError
 
 
+def checked(f: pa.NativeFile, m: zipfile.ZipInfo) -> bytes:
+    f.seek(m.header_offset)
+    head = f.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise OSError("no member begins here")
+    name, extra = struct.unpack("<HH", head[26:30])
+    f.seek(m.header_offset + 30 + name + extra)
+    raw = f.read(m.compress_size)
+    if len(raw) != m.file_size or zlib.crc32(raw) != m.CRC:
+        raise OSError("short or damaged")
+    return raw
+
+
 class MediaArchives(DataSource):
     """Format "tidemark_archives": the members of the archives below a folder. Option split: bytes of a partition."""
 
