@@ -89,6 +89,12 @@ def test_one_of_each_group_stays(docs):
     assert ids[5] == 1 and ids[6] == ids[7] == 0 and ids[1] == ids[2] == ids[3] == 1
 
 
+def test_a_kept_id_that_repeats_stays_once(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "z"), (3, "other text here", "w")]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string, _row string")).collect()
+    assert Counter(r.doc_id for r in kept) == {1: 1, 3: 1}
+
+
 def test_redaction_replaces_every_base_span(docs):
     text = {r.doc_id: r for r in pii.redact(docs).collect()}[11]
     assert text.text == "mail [EMAIL] now [PHONE], then [CARD], or [IP]" and text.n_chars == len(text.text)
@@ -102,6 +108,13 @@ def test_a_damaged_member_is_found_and_a_whole_one_read(docs, tmp_path):
         media.pixels(png[:-20] + b"x" + png[-19:])
 
 
+def test_ranges_cover_each_byte_once_in_few_partitions():
+    archives = [("a", 2500), ("b", 10), ("c", 0), ("d", 990), ("e", 5000)]
+    for split, most in ((1000, 100), (1, 3), (10**9, 100)):
+        plan = media.planned(archives, split, most)
+        assert len(plan) <= max(most, 1) and sorted((x, i) for p in plan for x, s, e in p for i in range(s, e)) == sorted((x, i) for x, n in archives for i in range(n))
+
+
 def test_members_are_read_by_range(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/media"
     media.store(docs, folder)

@@ -6,11 +6,12 @@ their boxes' upper corners; pairs below the overlap that 80 % asks for are never
 on their full sets. The points of all documents don't go into one tree: a tree is built for each bucket.
 
 Buckets. In any fixed order of shingles, two documents that reach 80 % share one of their n - ceil(0.8 n) + 1 first
-shingles, so that documents meet in the buckets of these. The order is by hash, with shingles last that are frequent in
-a sample of SAMPLE documents (the order decides how many documents meet, not which pairs are found). Buckets of more
-than CELL documents are divided into CELL x CELL blocks that cover all their pairs.
+shingles, so that documents meet in the buckets of these. The order is by hash, with the shingles last that most
+documents of the whole table have (the order decides how many documents meet, not which pairs are found). Buckets of
+more than CELL documents are divided into CELL x CELL blocks that cover all their pairs.
 
-Groups of copies. Equal sets are one node. Nodes with one of KEYS equal minimum hashes are first verified against the
+Groups of copies. Equal sets are one node; a node has a 64-bit name, or a second one where two different sets (by a
+128-bit hash) have the first in common. Nodes with one of KEYS equal minimum hashes are first verified against the
 least node with that hash, which costs one pair for each node. Buckets whose nodes are then all in one component are
 done. In the others FIRSTS nodes are verified with those they often meet, and in the end only pairs across components
 count. So a large group of copies is not expanded into its pairs.
@@ -18,7 +19,7 @@ count. So a large group of copies is not expanded into its pairs.
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D, after A-Z are lowered. A text of one to four words has one shingle, the
 whole sequence; null and empty texts, and texts of white space, have none, and stand alone. Repeated rows, ids that are
 null or occur with several texts: sets link, rows follow their sets; a component's id is its least id that isn't null.
-Extra columns are not read.
+Very long texts are compared whole. Extra columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ GROUPS = 128
 FINER = ((1000, 512), (4000, 2048), (16_000, 8192))
 KEYS = 3
 FIRSTS = 4
-SAMPLE, FREQUENT, FREQUENT_MOST = 2048, 4, 100_000
+#: A shingle is frequent if FREQUENT documents have it, of those that meet REPEATED others in their task's run of RUN
+#: shingles; the FREQUENT_MOST most frequent come last in the order.
+FREQUENT, REPEATED, RUN, FREQUENT_MOST = 64, 3, 2_000_000, 100_000
 CELL = 1024
 LEAF, FANOUT = 32, 8
 #: Records of one bucket partition, and rows up to which a table of ids or keys is broadcast (8 bytes each).
@@ -58,37 +61,63 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles in FREQUENT or more of a bounded sample of documents, sorted; at most FREQUENT_MOST."""
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    """The shingles that most documents of the table have, sorted; at most FREQUENT_MOST. Tasks send what repeats in a
+    run of documents, with its number, and the numbers are summed."""
+
+    def repeated(batches):
+        held, size = [], 0
+
+        def flush():
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([signed(s[n >= REPEATED]), pa.array(n[n >= REPEATED])], ["s", "n"])
 
-    def explode(batches):
         for b in batches:
-            found = list(shingle_sets(b.column("text"), WORDS))
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(found) if found else np.zeros(0, np.uint64))], ["s"])
+            for s in shingle_sets(b.column("text"), WORDS):
+                held.append(s)
+                size += len(s)
+            if size > RUN:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
-    seen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(explode, "s long").groupBy("s").count()
-    most = seen.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(FREQUENT_MOST).collect()
-    return np.sort(np.array([r["s"] for r in most], np.int64).view(np.uint64))
+    seen = docs.select("text").mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    most = seen.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(FREQUENT_MOST).select("s").toArrow()
+    return np.sort(most.column("s").to_numpy().view(np.uint64))
 
 
-def node_of(s: np.ndarray) -> int:
-    """A 64-bit name of a set, from its sorted hashes."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, from its sorted hashes, in two halves."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """features(), with each set's node under one name of 64 bits; and the first halves that several sets share, whose
+    sets have their second half as name. Among n sets about n * n / 2 ** 65 halves are shared: 3 of ten billion."""
+    made = written(features(docs), "features")
+    twice = made.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node")
+    shared = frozenset(r["node"] for r in twice.collect())
+    if shared:
+        made = made.withColumn("node", F.when(F.col("node").isin(list(shared)), F.col("check")).otherwise(F.col("node")))
+    return made.drop("check"), shared
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n (set size), keys (minimum hashes), prefix and counts of every document."""
+    """doc_id, node and check (halves of the set's name), n (set size), keys (minimum hashes), prefix and counts of every
+    document."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
     salts = [U((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64) for k in range(KEYS)]
 
     def run(batches):
         last = frequent.value
         for b in batches:
-            node, size, keys, prefix, counts = [], [], [], [], []
+            node, check, size, keys, prefix, counts = [], [], [], [], [], []
             for s in shingle_sets(b.column("text"), WORDS):
                 n = len(s)
                 size.append(n)
-                node.append(node_of(s))
+                for half, x in zip((node, check), node_of(s)):
+                    half.append(x)
                 keys.append([int(mix(s ^ k).min().view(np.int64)) for k in salts] if n else [])
                 k = n - -(-4 * n // 5) + 1 if n else 0
                 if len(last) and n:
@@ -103,14 +132,14 @@ def features(docs: DataFrame) -> DataFrame:
                 groups = max([GROUPS, *(g for least, g in FINER if n > least)])
                 counts.append(np.bincount((mix(s + U(7)) % U(groups)).astype(np.int64), minlength=groups).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())],
-                ["doc_id", "node", "n", "keys", "prefix", "counts"],
+                [b.column("doc_id"), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())],
+                ["doc_id", "node", "check", "n", "keys", "prefix", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>, prefix binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, check long, n long, keys array<long>, prefix binary, counts binary")
 
 
-def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, shared: frozenset[int] = frozenset()) -> DataFrame:
     """Of the pairs of nodes (a, b), those that reach 80 %. The sets of these nodes are made again from the texts."""
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
@@ -124,7 +153,8 @@ def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame) -> DataFrame:
     def sets(batches):
         for b in batches:
             found = list(shingle_sets(b.column("text"), WORDS))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
+            names = [check if node in shared else node for node, check in map(node_of, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
 
     def compare(batches):
         for b in batches:
@@ -146,29 +176,29 @@ def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame) -> DataFrame:
 def mixed_buckets(made: DataFrame) -> DataFrame:
     """Keys of the buckets that hold nodes of two components or more. made: node, component, prefix.
 
-    Each task sends, for each of P bucket partitions, the distinct (bucket, component) of a run of documents, so that a
-    bucket that many copies share costs one record for each run."""
+    Each task sends, for each bucket of a run of documents, the least and the largest component there, so that a bucket
+    of many documents costs one record for each run."""
     total = made.agg(F.sum(F.octet_length("prefix")).alias("b")).first()["b"] or 0
     parts = max(8, -(-total // (8 * PART)))
 
+    def ends(key, least, most):
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        if not len(new):
+            return key, least, most
+        return key[new], np.minimum.reduceat(least[order], new), np.maximum.reduceat(most[order], new)
+
     def send(batches):
         held, rows = [], 0
 
         def flush():
-            key = np.concatenate([k for k, _ in held])
             component = np.concatenate([c for _, c in held])
-            order = np.lexsort((component, key))
-            key, component = key[order], component[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (component[1:] != component[:-1])))
-            key, component = key[new], component[new]
-            part = (key >> U(32)).astype(np.int64)
-            at = np.searchsorted(part, np.arange(parts + 1))
+            key, least, most = ends(np.concatenate([k for k, _ in held]), component, component)
+            at = np.searchsorted((key >> U(32)).astype(np.int64), np.arange(parts + 1))
             here = [p for p in range(parts) if at[p] < at[p + 1]]
-            low = (key & U(0xFFFFFFFF)).astype("<u4")
-            return pa.RecordBatch.from_arrays(
-                [pa.array(here, pa.int32()), pa.array([low[at[p] : at[p + 1]].tobytes() for p in here], pa.binary()), pa.array([component[at[p] : at[p + 1]].tobytes() for p in here], pa.binary())],
-                ["part", "keys", "components"],
-            )
+            cut = lambda x: pa.array([x[at[p] : at[p + 1]].tobytes() for p in here], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), cut((key & U(0xFFFFFFFF)).astype("<u4")), cut(least), cut(most)], ["part", "keys", "least", "most"])
 
         for b in batches:
             for raw, component in zip(b.column("prefix").to_pylist(), b.column("component").to_pylist()):
@@ -182,14 +212,11 @@ def mixed_buckets(made: DataFrame) -> DataFrame:
             yield flush()
 
     def meet(key: tuple, frame: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x, "<u4") for x in frame.column("keys").to_pylist()])
-        component = np.concatenate([np.frombuffer(x, np.int64) for x in frame.column("components").to_pylist()])
-        order = np.lexsort((component, low))
-        low, component = low[order], component[order]
-        two = np.unique(low[1:][(low[1:] == low[:-1]) & (component[1:] != component[:-1])])
-        return pa.table({"key": pa.array((int(key[0].as_py()) << 32) | two.astype(np.int64), pa.int64())})
-
-    sent = made.select("prefix", "component").mapInArrow(send, "part int, keys binary, components binary")
+        low, least, most = (np.concatenate([np.frombuffer(x, t) for x in frame.column(c).to_pylist()]) for c, t in (("keys", "<u4"), ("least", np.int64), ("most", np.int64)))
+        low, least, most = ends(low, least, most)
+        return pa.table({"key": pa.array((int(key[0].as_py()) << 32) | low[least != most].astype(np.int64), pa.int64())})
+
+    sent = made.select("prefix", "component").mapInArrow(send, "part int, keys binary, least binary, most binary")
     return written(sent.groupBy("part").applyInArrow(meet, "key long"), "mixed").withColumn("parts", F.lit(parts))
 
 
@@ -390,12 +417,12 @@ def candidates(made: DataFrame, rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    made = written(features(docs), "features")
+    made, shared = named(docs)
     full = made.where("n > 0")
     # nodes with an equal minimum hash, against the least of them
     keyed = full.select("node", F.posexplode("keys").alias("k", "key")).distinct()
     leaders = keyed.groupBy("k", "key").agg(F.min("node").alias("a"))
-    first = verified(docs, full, keyed.join(leaders, ["k", "key"]).where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    first = verified(docs, full, keyed.join(leaders, ["k", "key"]).where("node <> a").select("a", F.col("node").alias("b")).distinct(), shared)
     # their own leader's leader, where there is one: part of a component is enough here
     leader = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("a"))
     above = leader.select(F.col("node").alias("a"), F.col("a").alias("up"))
@@ -404,13 +431,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links, mixed = first, mixed_buckets(located)
     if not mixed.isEmpty():
         rows = members(located, mixed)
-        more = verified(docs, full, likely(rows))
+        more = verified(docs, full, likely(rows), shared)
         if not more.isEmpty():
             links = written(links.union(more), "links")
             groups = written(connected(links), "groups")
             rows = written(moved(rows, groups), "members")
             located = moved(located, groups)
-        links = links.union(verified(docs, full, candidates(located, rows)))
+        links = links.union(verified(docs, full, candidates(located, rows), shared))
     links = written(links, "links")
     groups = written(connected(links), "groups") if not links.isEmpty() else None
     # every node's component, and the least id of each
@@ -437,6 +464,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     again = written(each.where("first").select("doc_id"), "repeated")
     if again.isEmpty():
         return left.select(docs.columns)
-    order = Window.partitionBy("doc_id").orderBy("text")
-    once = left.join(small(again), "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    order, number = Window.partitionBy("doc_id").orderBy("text"), "_row"
+    while number in {c.lower() for c in docs.columns}:  # a name that documents don't have
+        number += "_"
+    once = left.join(small(again), "doc_id", "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
     return left.join(small(again), "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
