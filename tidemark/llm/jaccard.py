@@ -92,7 +92,7 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def named(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+def with_names(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     """features(), with each set's node under one name of 64 bits; and the first halves that several sets share, whose
     sets have their second half as name. Among n sets about n * n / 2 ** 65 halves are shared: 3 of ten billion."""
     made = written(features(docs), "features")
@@ -417,7 +417,7 @@ def candidates(made: DataFrame, rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    made, shared = named(docs)
+    made, shared = with_names(docs)
     full = made.where("n > 0")
     # nodes with an equal minimum hash, against the least of them
     keyed = full.select("node", F.posexplode("keys").alias("k", "key")).distinct()
