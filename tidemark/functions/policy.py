@@ -10,6 +10,10 @@ def number(x: str) -> str:
     return f"(case when not isnan({x}) and {x} >= 0 and {x} < cast('Infinity' as double) then {x} end)"
 
 
+def finite(x: str) -> str:
+    return f"coalesce(not isnan({x}) and {x} > cast('-Infinity' as double) and {x} < cast('Infinity' as double), false)"
+
+
 def band(x: str, bands: tuple[tuple[int, int], ...]) -> str:
     """The score of the first inclusive ceiling; 0 beyond the last; NULL stays NULL."""
     steps = " ".join(f"when {x} <= {ceiling} then {score}" for ceiling, score in bands)

@@ -125,6 +125,14 @@ left join (select snapshot_id, count(*) as findings from {ev_findings} group by
 """, "assessment", "ev_stages", "ev_findings")
 
 
+# The head's report of a comparison is assessed by the same relations under names of their own.
+_NAMES = ("stage_penalties", "scored_stages", "category_scores", "blockers", "strict_score", "assessment", "exit_code")
+for _name in _NAMES:
+    _r = RELATIONS[_name]
+    _of = {n: f"head_{n}" for n in _NAMES} | {"ev_stages": "ev_head_stages", "ev_findings": "ev_head"}
+    relation(f"head_{_name}", _r.sql.format(**{n: f"{{{_of[n]}}}" for n in _r.inputs}), *(_of[n] for n in _r.inputs))
+
+
 def assess(stages: DataFrame, findings: DataFrame) -> DataFrame:
     """One row for each snapshot: strict score, grade, coverage, number of blockers and decision."""
     return _with(stages, findings, "assessment")

@@ -1,217 +1,273 @@
-"""Delta of two evidence sets: a bag join on identity and observation, with location left out.
+"""Delta of two evidence sets: a bag comparison on identity and observation, with location left out.
 
-Equal observations of an identity cancel by multiplicity, earliest first on each side: the k-th equal row of one side
-meets the k-th of the other (row_number, then a null-safe full outer join). What is left of an identity that occurs once
-on each side is a change; of a duplicated identity it is ambiguous, added at the head and never resolved.
+Rows of both sides are counted together by snapshot, stage, identity and observation (severity, metric, value and, without
+a metric, the message), with partial sums and null-safe. Equal observations cancel by multiplicity. What is left of an
+identity that occurs once on each side is a change; of a duplicated identity it is ambiguous, added at the head and never
+resolved. One more grouping gives a row for each stage with everything the roll-up says, so that each message is made
+once and no evidence is read again for it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.policy import blocking_value, identity, number, severity_rank
+from ..functions.policy import blocking_value, finite, identity, number, severity_rank, stage_score
 from ..plans.relation import RELATIONS, relation
+from ..schema import COMPLEXITY_LIMIT, COMPLEXITY_MEASURES, DUPLICATION_LIMIT, WEIGHTS
 
 relation("identities", f"select *, {identity()} as identity from {{ev_findings}}", "ev_findings")
 relation("identity", "select identity, count(*) as observations from {identities} group by identity", "identities")
 
-for _side in ("base", "head"):
-    # W-1 with the size of the identity before cancelling
-    relation(f"{_side}_occurrences", f"""
-select *, row_number() over (partition by stage_id, identity, severity, metric, value, said order by ord) as occ, count(*) over (partition by stage_id, identity) as of_identity
-from (select *, {identity()} as identity, case when metric = '' then message else '' end as said from {{ev_{_side}}}) t
-""", f"ev_{_side}")
-
-_KEYS = ("stage_id", "identity", "severity", "metric", "value", "said", "occ")
-
-# J-1: the bag join
-relation("bag_join", f"""
-select coalesce(b.stage_id, h.stage_id) as stage_id, coalesce(b.identity, h.identity) as identity, b.identity is not null as in_base, h.identity is not null as in_head,
-  coalesce(b.of_identity, 0) as base_rows, coalesce(h.of_identity, 0) as head_rows, b.ord as base_ord, h.ord as head_ord, b.severity as base_severity, h.severity as head_severity,
-  b.metric as base_metric, h.metric as head_metric, b.value as base_value, h.value as head_value, b.path as base_path, h.path as head_path, b.line as base_line, h.line as head_line,
-  coalesce(h.rule, b.rule) as rule, coalesce(h.identity_kind, b.identity_kind) as identity_kind
-from {{base_occurrences}} b full outer join {{head_occurrences}} h on {" and ".join(f"b.{k} is not distinct from h.{k}" for k in _KEYS)}
-""", "base_occurrences", "head_occurrences")
-
-# one row for each identity: what was left on either side; for a change the single rows are the aggregates
-_ONE = ", ".join(
-    f"max(case when {'in_base and not in_head' if s == 'base' else 'in_head and not in_base'} then {s}_{c} end) as {s}_{c}" for s in ("base", "head") for c in ("ord", "severity", "metric", "value", "path", "line")
-)
-relation("identity_outcomes", f"""
-select stage_id, identity, max(rule) as rule, max(base_rows) > 1 or max(head_rows) > 1 as duplicate, count_if(in_base and in_head) as unchanged,
-  count_if(in_base and not in_head) as base_left, count_if(in_head and not in_base) as head_left, max(identity_kind) as identity_kind, {_ONE}
-from {{bag_join}} group by stage_id, identity
-""", "bag_join", keep=True)
+_SIDED = f"""
+select snapshot_id, stage_id, {identity()} as identity, severity, metric, value, case when metric = '' then message else '' end as said, rule, path, line, ord, identity_kind, {{b}} as b, {{h}} as h from {{source}}"""
+relation("observed_rows", f"{_SIDED.format(b=1, h=0, source='{ev_base}')} union all {_SIDED.format(b=0, h=1, source='{ev_head}')}", "ev_base", "ev_head")
+
+# J-1, W-1: how often each observation occurs on either side; rule and path are those of its last row
+_KEYS = "snapshot_id, stage_id, identity, severity, metric, value, said"
+_BAG = f"""
+select {_KEYS}, sum(b) as b, sum(h) as h, max_by(rule, ord) as rule, max_by(path, ord) as path, max(identity_kind) as identity_kind
+from {{observed_rows}} {{where}} group by {_KEYS}"""
+relation("bag", _BAG.replace("{where}", ""), "observed_rows")
+relation("body_bag", _BAG.replace("{where}", "where identity_kind = 'body'"), "observed_rows")
+
+# One row for each identity. For a change the rows left on either side are single, so that the maxima are their values.
+_BLOCKS = f"(severity = 'critical' or {blocking_value('metric', 'value')})"
+_MEASURES = ", ".join(f"max(case when h > 0 and metric = '{m}' and {blocking_value('metric', 'value')} then value end) as head_most_{i}" for i, m in enumerate(COMPLEXITY_MEASURES))
+_LEFT = ", ".join(f"max(case when {'b > h' if s == 'base' else 'h > b'} then {c} end) as {s}_{c}" for s in ("base", "head") for c in ("severity", "metric", "value", "path"))
+_OUTCOMES = f"""
+select snapshot_id, stage_id, identity, max(rule) as rule, sum(b) as base_rows, sum(h) as head_rows, sum(least(b, h)) as unchanged, sum(greatest(b - h, 0)) as base_left, sum(greatest(h - b, 0)) as head_left,
+  max(identity_kind) as identity_kind, {_LEFT}, bool_or(h > b and {_BLOCKS}) as head_left_blocks, bool_or(h > 0 and severity = 'critical') as head_critical, {_MEASURES},
+  max(case when b > 0 then severity end) as one_severity, max(case when b > 0 then metric end) as one_metric, max(case when b > 0 then value end) as one_value
+from {{bag}} group by snapshot_id, stage_id, identity"""
+relation("identity_outcomes", _OUTCOMES, "bag")
+relation("body_outcomes", _OUTCOMES.replace("{bag}", "{body_bag}"), "body_bag")
 
 # F-37
+_DUPLICATE = "(base_rows > 1 or head_rows > 1)"
+_CHANGE = f"(not {_DUPLICATE} and base_left > 0 and head_left > 0)"
 _DIFFERENCE = "(case when base_metric <> '' and base_metric = head_metric then head_value - base_value end)"
-relation("delta_match", f"""
-select stage_id, identity, rule, unchanged, duplicate and base_left + head_left > 0 as ambiguous,
-  case when not duplicate and base_left > 0 and head_left > 0 then 0 else head_left end as added,
-  case when duplicate or (base_left > 0 and head_left > 0) then 0 else base_left end as resolved,
-  case when not duplicate and base_left > 0 and head_left > 0 then 1 else 0 end as changed,
-  case when not duplicate and base_left > 0 and head_left > 0 then bround({_DIFFERENCE}, 4) end as delta,
-  case when not duplicate and base_left > 0 and head_left > 0 then
-    case when base_severity <> head_severity then case when {severity_rank("head_severity")} > {severity_rank("base_severity")} then 'worsened' else 'improved' end
-      when {_DIFFERENCE} > 0 then 'worsened' when {_DIFFERENCE} < 0 then 'improved' else 'changed' end end as direction
-from {{identity_outcomes}}
-""", "identity_outcomes")
-
-# J-3: NULL without a map or a location, else whether any interval holds the line
+_DIRECTION = f"""case when base_severity <> head_severity then case when {severity_rank("head_severity")} > {severity_rank("base_severity")} then 'worsened' else 'improved' end
+      when {_DIFFERENCE} > 0 then 'worsened' when {_DIFFERENCE} < 0 then 'improved' else 'changed' end"""
+_MATCH = f"""
+select snapshot_id, stage_id, identity, rule, unchanged, {_DUPLICATE} and base_left + head_left > 0 as ambiguous, case when {_CHANGE} then 0 else head_left end as added,
+  case when {_DUPLICATE} or {_CHANGE} then 0 else base_left end as resolved, case when {_CHANGE} then 1 else 0 end as changed,
+  case when {_CHANGE} then bround({_DIFFERENCE}, 4) end as delta, case when {_CHANGE} then {_DIRECTION} end as direction{{more}}
+from {{outcomes}}"""
+relation("delta_match", _MATCH.replace("{more}", "").replace("{outcomes}", "{identity_outcomes}"), "identity_outcomes")
+
+# J-3: NULL without a map or a location; else whether an interval of the path's array holds the line
+relation("path_intervals", "select path, array_agg(struct(start_line, end_line)) as intervals from {ev_changed_lines} group by path", "ev_changed_lines", check="")
 relation("changed_line_join", """
-select f.stage_id, f.ord, f.path, f.line, case when f.path = '' or f.line < 1 then null else coalesce(max(case when c.start_line is not null then 1 else 0 end), 0) = 1 end as in_changed_lines
-from {ev_head} f left join {ev_changed_lines} c on f.path = c.path and f.line between c.start_line and c.end_line
-group by f.stage_id, f.ord, f.path, f.line
-""", "ev_head", "ev_changed_lines")
+select f.snapshot_id, f.stage_id, f.ord, f.path, f.line,
+  case when f.path = '' or f.line < 1 then null else coalesce(exists(c.intervals, x -> f.line between x.start_line and x.end_line), false) end as in_changed_lines
+from {ev_head} f left join {path_intervals} c on f.path = c.path
+""", "ev_head", "path_intervals")
 
-# J-4 and the comparability limit
-relation("stage_pairs", """
-select coalesce(b.stage_id, h.stage_id) as stage_id, coalesce(b.status, 'absent') as base_status, coalesce(h.status, 'absent') as head_status,
-  coalesce(b.required, false) or coalesce(h.required, false) as required,
-  case when b.stage_id is null or h.stage_id is null or b.status <> 'ok' or h.status <> 'ok' then 'Resolution requires complete observations on both sides.'
+# J-4: both reports of a stage, why they can't be compared, and what is known of the stage's own measurements
+_GAP = f"(required and (status <> 'ok' or (category in ({', '.join(repr(c) for c in WEIGHTS)}) and stage_id <> 'inventory' and {stage_score('0')} is null)))"
+_PLAIN = ("status", "required", "category", "profile", "tool", "version", "scope", "license_file")
+_METRICS = ("issue_count", "error_count", "warning_count", "max_cc", "duplication_percent")
+for _side in ("base", "head"):
+    relation(f"{_side}_reports", f"""
+select snapshot_id, stage_id, {", ".join(_PLAIN)}, {_GAP} as gap, {", ".join(f"{number(m)} as {m}" for m in _METRICS)} from {{ev_{_side}_stages}}
+""", f"ev_{_side}_stages")
+relation("report_pairs", f"""
+select coalesce(b.snapshot_id, h.snapshot_id) as snapshot_id, coalesce(b.stage_id, h.stage_id) as stage_id, b.stage_id is not null as in_base, h.stage_id is not null as in_head,
+  {", ".join(f"{s[0]}.{c} as {s}_{c}" for s in ("base", "head") for c in (*_PLAIN, "gap", *_METRICS))},
+  case when b.profile <> h.profile then 'Comparison requires the same analysis profile.'
+    when b.stage_id is null or h.stage_id is null or b.status <> 'ok' or h.status <> 'ok' then 'Resolution requires complete observations on both sides.'
     when b.tool <> h.tool or b.version <> h.version then 'Resolution requires observations from the same tool and version.'
-    when b.scope <> h.scope or b.category <> h.category then 'Resolution requires observations of the same analysis scope and category.' else '' end as note
-from {ev_base_stages} b full outer join {ev_head_stages} h on b.stage_id = h.stage_id
-""", "ev_base_stages", "ev_head_stages", keep=True)
+    when b.scope <> h.scope or b.category <> h.category then 'Resolution requires observations of the same analysis scope and category.' else '' end as note,
+  coalesce(b.profile = h.profile and b.status in ('ok', 'limited') and h.status in ('ok', 'limited') and b.tool = h.tool and b.version = h.version and b.scope = h.scope and b.category = h.category, false) as alike
+from {{base_reports}} b full outer join {{head_reports}} h on b.snapshot_id = h.snapshot_id and b.stage_id = h.stage_id
+""", "base_reports", "head_reports")
+relation("stage_pairs", """
+select snapshot_id, stage_id, coalesce(base_status, 'absent') as base_status, coalesce(head_status, 'absent') as head_status, coalesce(base_required, false) or coalesce(head_required, false) as required, note
+from {report_pairs}
+""", "report_pairs")
 
 # J-5
-_METRICS = ("issue_count", "error_count", "warning_count", "max_cc", "duplication_percent")
-for _side in ("base", "head"):
-    relation(f"{_side}_metrics", " union all ".join(f"select stage_id, '{m}' as metric, {number(m)} as value from {{ev_{_side}_stages}}" for m in _METRICS), f"ev_{_side}_stages")
-relation("metric_deltas", """
-select b.stage_id, b.metric, b.value as base, h.value as head, bround(h.value - b.value, 4) as delta
-from {base_metrics} b join {head_metrics} h on b.stage_id = h.stage_id and b.metric = h.metric
-join {stage_pairs} p on p.stage_id = b.stage_id and p.note = ''
-where b.value is not null and h.value is not null
-""", "base_metrics", "head_metrics", "stage_pairs", keep=True)
-
-# J-14: on what is added and resolved before the limit
-relation("uncertain_identities", """
-select distinct x.stage_id, x.identity from {identity_outcomes} x
-join (select stage_id, rule, coalesce(head_path, base_path) as path, coalesce(head_metric, base_metric) as metric from {identity_outcomes}
-  where identity_kind = 'body' group by 1, 2, 3, 4 having count_if(head_left > 0 and base_left = 0) > 0 and count_if(base_left > 0 and head_left = 0 and not duplicate) > 0) y
-  on x.stage_id = y.stage_id and x.rule = y.rule and coalesce(x.head_path, x.base_path) = y.path and coalesce(x.head_metric, x.base_metric) = y.metric
-where x.identity_kind = 'body' and ((x.head_left > 0 and x.base_left = 0) or (x.base_left > 0 and x.head_left = 0 and not x.duplicate))
-""", "identity_outcomes", keep=True)
-
-# J-12: descending ranks of blocking values, the first rank at which the head is larger
-for _side in ("base", "head"):
-    relation(f"{_side}_blocking", f"""
-select stage_id, metric, value, row_number() over (partition by stage_id, metric order by value desc) as place from {{ev_{_side}}} where {blocking_value("metric", "value")}
-""", f"ev_{_side}")
+relation("metric_deltas", f"""
+select snapshot_id, stage_id, m.metric as metric, m.base as base, m.head as head, bround(m.head - m.base, 4) as delta
+from (select snapshot_id, stage_id, explode(array({", ".join(f"named_struct('metric', '{m}', 'base', base_{m}, 'head', head_{m})" for m in _METRICS)})) as m from {{report_pairs}} where note = '') t
+where m.base is not null and m.head is not null
+""", "report_pairs")
+
+# J-14: bodies that replace others of the same rule, path and metric
+relation("uncertain_identities", f"""
+select distinct x.snapshot_id, x.stage_id, x.identity from {{body_outcomes}} x
+join (select distinct snapshot_id, stage_id, rule, base_path as path, base_metric as metric from {{body_outcomes}} where base_left > 0 and not {_DUPLICATE} and not {_CHANGE}) y
+  on x.snapshot_id = y.snapshot_id and x.stage_id = y.stage_id and x.rule = y.rule and x.head_path = y.path and x.head_metric = y.metric
+where x.head_left > 0 and not ((x.base_rows <= 1 and x.head_rows <= 1) and x.base_left > 0 and x.head_left > 0)
+""", "body_outcomes")
+
+# J-12: the head has more blocking values, or at some rank in falling order a larger one. Values are counted first, so
+# that the window orders distinct values only: the rank is that of the largest value which the head reaches more often.
+relation("blocking_counts", f"""
+select snapshot_id, stage_id, metric, value, sum(b) as b, sum(h) as h from {{bag}} where {blocking_value("metric", "value")} group by snapshot_id, stage_id, metric, value
+""", "bag")
 relation("rank_dominance", """
-select h.stage_id, h.metric, max(h.place) as head_blocking, coalesce(max(n.n), 0) as base_blocking,
-  case when max(h.place) > coalesce(max(n.n), 0) then 'more' when min(case when h.value > b.value then h.place end) is not null then 'larger' else 'none' end as outcome,
-  case when max(h.place) > coalesce(max(n.n), 0) then null else min(case when h.value > b.value then h.place end) end as first_rank
-from {head_blocking} h left join {base_blocking} b on h.stage_id = b.stage_id and h.metric = b.metric and h.place = b.place
-left join (select stage_id, metric, count(*) as n from {base_blocking} group by stage_id, metric) n on n.stage_id = h.stage_id and n.metric = h.metric
-group by h.stage_id, h.metric
-""", "base_blocking", "head_blocking")
-
-# J-13
-relation("limited_regressions", f"""
-select h.stage_id, h.identity, h.rule, h.value as head_value, b.value as base_value
-from (select *, count(*) over (partition by stage_id, identity) as n from {{head_occurrences}}) h
-left join (select stage_id, identity, count(*) as n, max(value) as value, max(severity) as severity, max(metric) as metric from {{base_occurrences}} group by stage_id, identity) b
-  on h.stage_id = b.stage_id and h.identity = b.identity
-left join {{delta_match}} d on d.stage_id = h.stage_id and d.identity = h.identity
-left join {{uncertain_identities}} u on u.stage_id = h.stage_id and u.identity = h.identity
-where not coalesce(d.ambiguous, false) and u.identity is null and (
-  (b.n = 1 and ((h.metric = b.metric and {blocking_value("h.metric", "h.value")} and h.value > b.value) or (h.severity = 'critical' and b.severity <> 'critical')))
-  or (b.n is null and (h.severity = 'critical' or {blocking_value("h.metric", "h.value")})))
-""", "head_occurrences", "base_occurrences", "delta_match", "uncertain_identities")
+select snapshot_id, stage_id, metric, sum(h) as head_blocking, sum(b) as base_blocking, case when sum(h) > sum(b) then 'more' when bool_or(upto_h > upto_b) then 'larger' else 'none' end as outcome,
+  case when sum(h) <= sum(b) then min(case when upto_h > upto_b then upto_b + 1 end) end as first_rank
+from (select *, sum(b) over w as upto_b, sum(h) over w as upto_h from {blocking_counts} window w as (partition by snapshot_id, stage_id, metric order by value desc)) t
+group by snapshot_id, stage_id, metric having sum(h) > 0
+""", "blocking_counts")
+
+# J-13: which head rows prove a worsening although coverage is partial
+_WORSE = " or ".join(f"(one_metric = '{m}' and head_most_{i} > one_value and {finite('one_value')})" for i, m in enumerate(COMPLEXITY_MEASURES))
+_UNIQUE = f"(base_rows = 1 and ({_WORSE} or (head_critical and one_severity <> 'critical')))"
+_NEW = f"(base_rows = 0 and (head_critical or {' or '.join(f'head_most_{i} is not null' for i in range(len(COMPLEXITY_MEASURES)))}))"
+relation("known_outcomes", f"""
+select d.*, u.identity is not null as uncertain, not d.ambiguous and u.identity is null as certain
+from ({_MATCH.replace("{more}", f", head_left_blocks, {_UNIQUE} as unique_worse, {_NEW} as new_blocks, coalesce(({blocking_value('head_metric', 'head_value')} and {_DIFFERENCE} > 0) or (head_severity = 'critical' and base_severity <> 'critical'), false) as change_blocks, coalesce(head_severity, base_severity) as shown_severity").replace("{outcomes}", "{identity_outcomes}")}) d
+left join {{uncertain_identities}} u on u.snapshot_id = d.snapshot_id and u.stage_id = d.stage_id and u.identity = d.identity
+""", "identity_outcomes", "uncertain_identities")
+relation("limited_regressions", """
+select k.snapshot_id, k.stage_id, k.identity, k.rule, k.new_blocks from {known_outcomes} k join {report_pairs} p on p.snapshot_id = k.snapshot_id and p.stage_id = k.stage_id
+where p.note <> '' and p.alike and k.certain and (k.unique_worse or (k.new_blocks and p.base_status = 'ok'))
+""", "known_outcomes", "report_pairs")
 
 # A-22
-relation("metric_regressions", """
-select m.stage_id, m.metric, m.base, m.head from {metric_deltas} m
-where m.head > m.base and ((m.metric = 'max_cc' and m.head > 50) or (m.metric = 'duplication_percent' and m.head > 60))
-union all
-select b.stage_id, 'license_file', 1.0, 0.0 from {ev_base_stages} b join {ev_head_stages} h on b.stage_id = h.stage_id
-join {stage_pairs} p on p.stage_id = b.stage_id and p.note = '' where b.license_file and not h.license_file
-""", "metric_deltas", "ev_base_stages", "ev_head_stages", "stage_pairs", check="""
-select m.stage_id, m.metric, m.base, m.head from {metric_deltas} m
-where m.head > m.base and ((m.metric = 'max_cc' and m.head > 50) or (m.metric = 'duplication_percent' and m.head > 60))
-union all
-select b.stage_id, 'license_file', 1.0::double, 0.0::double from {ev_base_stages} b join {ev_head_stages} h on b.stage_id = h.stage_id
-join {stage_pairs} p on p.stage_id = b.stage_id and p.note = '' where b.license_file and not h.license_file
-""")
+_HIGHER = f"((head_category = 'complexity' and head_max_cc > base_max_cc and head_max_cc > {COMPLEXITY_LIMIT}) or (head_category = 'duplication' and head_duplication_percent > base_duplication_percent and head_duplication_percent > {DUPLICATION_LIMIT}))"
+relation("metric_regressions", f"""
+select snapshot_id, stage_id, case head_category when 'complexity' then 'max_cc' when 'duplication' then 'duplication_percent' else 'license_file' end as metric,
+  case head_category when 'complexity' then base_max_cc when 'duplication' then base_duplication_percent else cast(1 as double) end as base,
+  case head_category when 'complexity' then head_max_cc when 'duplication' then head_duplication_percent else cast(0 as double) end as head
+from {{report_pairs}} where note = '' and ({_HIGHER} or (head_category = 'hygiene' and base_license_file and not head_license_file))
+""", "report_pairs")
+
+# Everything that findings say of a stage, one row each; rules are few
+_RULES = {
+    "new_rules": "added > 0 and certain and head_left_blocks", "worse_rules": "changed = 1 and change_blocks", "unique_rules": "certain and unique_worse", "open_rules": "certain and new_blocks",
+    "worsened_rules": "direction = 'worsened'", "improved_rules": "direction = 'improved'",
+}
+relation("stage_outcomes", f"""
+select snapshot_id, stage_id, sum(added) as added, sum(resolved) as resolved, sum(changed) as changed, sum(unchanged) as unchanged, count_if(ambiguous) as ambiguous, count_if(uncertain) as uncertain,
+  count_if(direction = 'worsened') as worsened, count_if(direction = 'improved') as improved, {", ".join(f"collect_set(case when {c} then rule end) as {k}" for k, c in _RULES.items())}
+from {{known_outcomes}} group by snapshot_id, stage_id
+""", "known_outcomes")
+relation("critical_counts", "select snapshot_id, stage_id, sum(b) as base_critical, sum(h) as head_critical from {bag} where severity = 'critical' group by snapshot_id, stage_id having sum(h) > sum(b)", "bag")
+relation("stage_deltas", """
+select p.*, coalesce(o.added, 0) as added, coalesce(o.resolved, 0) as resolved, coalesce(o.changed, 0) as changed, coalesce(o.unchanged, 0) as unchanged, coalesce(o.ambiguous, 0) as ambiguous,
+  coalesce(o.uncertain, 0) as uncertain, coalesce(o.worsened, 0) as worsened, coalesce(o.improved, 0) as improved, o.stage_id is not null as observed,
+  o.new_rules, o.worse_rules, o.unique_rules, o.open_rules, o.worsened_rules, o.improved_rules, c.base_critical, c.head_critical, r.measures
+from {report_pairs} p
+left join {stage_outcomes} o on p.snapshot_id = o.snapshot_id and p.stage_id = o.stage_id
+left join {critical_counts} c on p.snapshot_id = c.snapshot_id and p.stage_id = c.stage_id
+left join (select snapshot_id, stage_id, collect_set(metric || case when outcome = 'more' then ' blocks more often' else ' blocks higher at rank ' || cast(first_rank as string) end) as measures
+  from {rank_dominance} where outcome <> 'none' group by snapshot_id, stage_id) r on p.snapshot_id = r.snapshot_id and p.stage_id = r.stage_id
+""", "report_pairs", "stage_outcomes", "critical_counts", "rank_dominance")
 
 # A-21; if the stage isn't comparable, nothing is resolved and changes count as added
 relation("delta_counts", """
-select d.stage_id, case when p.note = '' then sum(d.added) else sum(d.added) + sum(d.changed) end as added, case when p.note = '' then sum(d.resolved) else 0 end as resolved,
-  case when p.note = '' then sum(d.changed) else 0 end as changed, sum(d.unchanged) as unchanged, count_if(d.ambiguous) as ambiguous,
-  case when p.note = '' then count_if(d.direction = 'worsened') else 0 end as worsened, case when p.note = '' then count_if(d.direction = 'improved') else 0 end as improved
-from {delta_match} d join {stage_pairs} p on d.stage_id = p.stage_id group by d.stage_id, p.note
-""", "delta_match", "stage_pairs", keep=True)
-
-# A-20: message rows, then one row
-relation("delta_messages", f"""
-select 'unknown' as kind, stage_id || ': ' || note as message, required as weighs from {{stage_pairs}} where note <> ''
-union all select 'unknown', stage_id || ': duplicate function identities cannot be paired', true from {{delta_counts}} c where ambiguous > 0
-  and stage_id in (select stage_id from {{stage_pairs}} where note = '')
-union all select distinct 'unknown', u.stage_id || ': changed anonymous bodies cannot establish function continuity', true from {{uncertain_identities}} u
-  join {{stage_pairs}} p on p.stage_id = u.stage_id and p.note = ''
-union all select distinct 'blocker', d.stage_id || ': new blocking observation ' || d.rule, true from {{delta_match}} d join {{identity_outcomes}} o on o.stage_id = d.stage_id and o.identity = d.identity
-  join {{stage_pairs}} p on p.stage_id = d.stage_id and p.note = '' left join {{uncertain_identities}} u on u.stage_id = d.stage_id and u.identity = d.identity
-  where d.added > 0 and not d.ambiguous and u.identity is null and (o.head_severity = 'critical' or {blocking_value("o.head_metric", "o.head_value")})
-union all select distinct 'blocker', d.stage_id || ': worsened blocking observation ' || d.rule, true from {{delta_match}} d join {{identity_outcomes}} o on o.stage_id = d.stage_id and o.identity = d.identity
-  join {{stage_pairs}} p on p.stage_id = d.stage_id and p.note = '' where d.changed = 1
-  and (({blocking_value("o.head_metric", "o.head_value")} and d.delta > 0) or (o.head_severity = 'critical' and o.base_severity <> 'critical'))
-union all select 'blocker', r.stage_id || ': ' || r.metric || ' blocking values ' || r.outcome, true from {{rank_dominance}} r join {{stage_pairs}} p on p.stage_id = r.stage_id and p.note = ''
-  where r.outcome <> 'none'
-union all select 'blocker', m.stage_id || ': ' || m.metric || ' worsened', true from {{metric_regressions}} m
-union all select distinct 'blocker', l.stage_id || ': new/worsened blocking observation ' || l.rule, true from {{limited_regressions}} l join {{stage_pairs}} p on p.stage_id = l.stage_id and p.note <> ''
-  and p.base_status = 'ok' and p.head_status in ('ok', 'limited') and p.note not like '%same%'
-union all select 'regression', stage_id || ': ' || cast(added as string) || ' added observations', true from {{delta_counts}} where added > 0 and stage_id in (select stage_id from {{stage_pairs}} where note = '')
-union all select 'regression', stage_id || ': ' || metric || ' changed', true from {{metric_deltas}} where delta > 0
-union all select 'improvement', stage_id || ': ' || metric || ' changed', true from {{metric_deltas}} where delta < 0
-union all select 'improvement', stage_id || ': ' || cast(resolved as string) || ' resolved observations', true from {{delta_counts}} where resolved > 0
-union all select 'improvement', b.stage_id || ': license file now observed', true from {{ev_base_stages}} b join {{ev_head_stages}} h on b.stage_id = h.stage_id
-  join {{stage_pairs}} p on p.stage_id = b.stage_id and p.note = '' where not b.license_file and h.license_file
-""", "stage_pairs", "delta_counts", "uncertain_identities", "delta_match", "identity_outcomes", "rank_dominance", "metric_regressions", "limited_regressions", "metric_deltas", "ev_base_stages", "ev_head_stages")
-
-relation("delta_assessment", """
-select kinds.blockers, kinds.regressions, kinds.improvements, kinds.unknown, kinds.complete,
-  case when kinds.blockers > 0 then 'hold' when not kinds.complete then 'unknown' when kinds.regressions > 0 then 'review' else 'no_configured_regressions' end as decision
-from (select count(distinct case when kind = 'blocker' then message end) as blockers,
-    count(distinct case when kind in ('blocker', 'regression') then message end) as regressions,
-    count(distinct case when kind = 'improvement' then message end) as improvements, count(distinct case when kind = 'unknown' then message end) as unknown,
-    not bool_or(kind = 'unknown' and weighs) and (select bool_and(complete) from {assessment} where snapshot_id in ('snap1', 'snap2')) as complete
-  from {delta_messages}) kinds
-""", "delta_messages", "assessment")
-
-relation("delta_document", """
-select p.stage_id, p.base_status, p.head_status, p.note = '' as comparable, p.note, coalesce(c.added, 0) as added, coalesce(c.resolved, 0) as resolved, coalesce(c.changed, 0) as changed,
-  coalesce(c.unchanged, 0) as unchanged, coalesce(c.ambiguous, 0) as ambiguous, coalesce(m.n, 0) as metrics
-from {stage_pairs} p left join {delta_counts} c on p.stage_id = c.stage_id left join (select stage_id, count(*) as n from {metric_deltas} group by stage_id) m on m.stage_id = p.stage_id
-""", "stage_pairs", "delta_counts", "metric_deltas")
-
-# T-5
+select snapshot_id, stage_id, case when note = '' then added else added + changed end as added, case when note = '' then resolved else 0 end as resolved, case when note = '' then changed else 0 end as changed,
+  unchanged, ambiguous, case when note = '' then worsened else 0 end as worsened, case when note = '' then improved else 0 end as improved
+from {stage_deltas} where observed
+""", "stage_deltas")
+
+# A-20: the messages of a stage, then one row for each snapshot
+def _say(kind: str, when: str, text: str, weighs: str = "false") -> str:
+    return f"array(case when {when} then named_struct('kind', '{kind}', 'message', stage_id || ': ' || {text}, 'weighs', {weighs}) end)"
+
+
+def _each(kind: str, when: str, items: str, text: str) -> str:
+    """text before each of the items."""
+    return f"transform(case when {when} then coalesce({items}, cast(array() as array<string>)) else cast(array() as array<string>) end, x -> named_struct('kind', '{kind}', 'message', stage_id || ': {text} ' || x, 'weighs', false))"
+
+
+_SAME, _PART = "note = ''", "(note <> '' and alike)"
+_SURPLUS = f"(({_SAME} or {_PART}) and base_status = 'ok')"
+_MOVED = "cast(array({}) as array<string>)".format(", ".join(f"case when head_{m} {{sign}} base_{m} then '{m}' end" for m in _METRICS))
+_MESSAGES = [
+    _say("unknown", "note <> ''", "note", "coalesce(base_required, false) or coalesce(head_required, false)"),
+    _say("unknown", f"{_SAME} and ambiguous > 0", "'duplicate identities can not be paired'", "true"),
+    _say("unknown", f"{_SAME} and uncertain > 0", "'replaced bodies leave continuity open'", "true"),
+    _each("blocker", _SAME, "new_rules", "new blocking"), _each("blocker", _SAME, "worse_rules", "worse blocking"),
+    _each("blocker", _PART, "unique_rules", "proven worse"), _each("blocker", f"{_PART} and base_status = 'ok'", "open_rules", "proven worse"),
+    _say("blocker", f"{_SURPLUS} and head_critical > base_critical", "'critical observations rose from ' || cast(base_critical as string) || ' to ' || cast(head_critical as string)"),
+    _each("blocker", _SURPLUS, "measures", "measure"),
+    _say("blocker", f"({_SAME} or ({_SURPLUS} and head_category = 'complexity')) and {_HIGHER}", "'its maximum rose beyond the limit'"),
+    _say("blocker", f"{_SAME} and head_category = 'hygiene' and base_license_file and not head_license_file", "'the license file is gone'"),
+    _say("regression", f"{_SAME} and added > 0", "cast(added as string) || ' added'"), _each("regression", _SAME, "worsened_rules", "worsened"),
+    _each("regression", _SAME, f"filter({_MOVED.format(sign='>')}, x -> x is not null)", "raised"), _each("improvement", _SAME, f"filter({_MOVED.format(sign='<')}, x -> x is not null)", "lowered"),
+    _say("improvement", f"{_SAME} and resolved > 0", "cast(resolved as string) || ' resolved'"), _each("improvement", _SAME, "improved_rules", "improved"),
+    _say("improvement", f"{_SAME} and not base_license_file and head_license_file", "'the license file is there'"),
+]
+relation("stage_messages", f"""
+select *, exists(said, x -> x.kind in ('blocker', 'regression', 'improvement')) as moved
+from (select snapshot_id, stage_id, note, coalesce(base_gap, false) or coalesce(head_gap, false) as gap, coalesce(base_required, false) as base_required, coalesce(head_required, false) as head_required,
+    array_distinct(filter(concat({", ".join(_MESSAGES)}), x -> x is not null)) as said from {{stage_deltas}}) t
+""", "stage_deltas")
+_KIND = "size(filter(said, x -> x.kind {}))"
+# messages name their stage, so a stage's distinct messages add up to the snapshot's
+relation("delta_assessment", f"""
+select snapshot_id, blockers, regressions, improvements, unknown, unchanged, complete,
+  case when blockers > 0 then 'hold' when not complete then 'unknown' when regressions > 0 then 'review' else 'no_configured_regressions' end as decision
+from (select snapshot_id, cast(sum({_KIND.format("= 'blocker'")}) as bigint) as blockers, cast(sum({_KIND.format("in ('blocker', 'regression')")}) as bigint) as regressions,
+    cast(sum({_KIND.format("= 'improvement'")}) as bigint) as improvements, cast(sum({_KIND.format("= 'unknown'")}) as bigint) as unknown,
+    count_if(note = '' and not moved) as unchanged,
+    bool_or(base_required) and bool_or(head_required) and not bool_or(gap) and not bool_or(exists(said, x -> x.weighs)) as complete
+  from {{stage_messages}} group by snapshot_id) kinds
+""", "stage_messages")
+
+# F-8 of a comparison: known regressions, then the head's own gates where they are set, then incompleteness
+relation("comparison_exit", """
+select d.snapshot_id, case when d.blockers > 0 then 1 when not d.complete then 3 else 0 end as exit_code, case when d.blockers > 0 then 1 when h.exit_code <> 0 then h.exit_code when not d.complete then 3 else 0 end as gated_exit_code
+from {delta_assessment} d left join {head_exit_code} h on h.snapshot_id = d.snapshot_id
+""", "delta_assessment", "head_exit_code")
+
+# K-3: the comparison document of a stage, as columns
+relation("delta_document", f"""
+select snapshot_id, stage_id, coalesce(base_status, 'absent') as base_status, coalesce(head_status, 'absent') as head_status, note = '' as comparable,
+  note || case when ambiguous > 0 then ' Duplicate identities with unmatched observations remain ambiguous; their resolutions are unconfirmed.' else '' end
+    || case when uncertain > 0 then ' Changed anonymous bodies remain unmatched; function continuity is unknown.' else '' end as resolution_note,
+  case when note = '' then added else added + changed end as added, case when note = '' then resolved else 0 end as resolved, case when note = '' then changed else 0 end as changed, unchanged, ambiguous, uncertain,
+  cast(case when note = '' then {" + ".join(f"case when base_{m} is not null and head_{m} is not null then 1 else 0 end" for m in _METRICS)} else 0 end as bigint) as metrics
+from {{stage_deltas}}
+""", "stage_deltas")
+
+# T-5: placed within their stage
 relation("delta_rows", f"""
-select stage_id, rule, identity, case when changed = 1 then coalesce(direction, 'changed') when added > 0 then 'added' else 'resolved' end as outcome,
-  row_number() over (order by {severity_rank("severity")} desc, stage_id, rule, identity) as place
-from (select d.stage_id, d.rule, d.identity, d.changed, d.direction, d.added, coalesce(o.head_severity, o.base_severity) as severity
-  from {{delta_match}} d join {{identity_outcomes}} o on d.stage_id = o.stage_id and d.identity = o.identity where d.added + d.resolved + d.changed > 0 and d.stage_id = 'complexity.1') t
-""", "delta_match", "identity_outcomes")
+select snapshot_id, stage_id, rule, identity, case when changed = 1 then coalesce(direction, 'changed') when added > 0 then 'added' else 'resolved' end as outcome,
+  row_number() over (partition by snapshot_id, stage_id order by {severity_rank("shown_severity")} desc, rule, identity) as place
+from {{known_outcomes}} where added + resolved + changed > 0
+""", "known_outcomes")
 
 # U-4
-_OBS = "stage_id, identity, severity, metric, value, said"
+_OBS = "snapshot_id, stage_id, identity, severity, metric, value, said"
 relation("observation_except_all", f"""
-select stage_id, count(*) as only_in_head from (select {_OBS} from {{head_occurrences}} except all select {_OBS} from {{base_occurrences}}) t group by stage_id
-""", "head_occurrences", "base_occurrences")
+select snapshot_id, stage_id, count(*) as only_in_head from (select {_OBS} from {{observed_rows}} where h = 1 except all select {_OBS} from {{observed_rows}} where b = 1) t group by snapshot_id, stage_id
+""", "observed_rows")
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    """Without a snapshot_id all rows are one comparison."""
+    return rows if "snapshot_id" in rows.columns else rows.withColumn("snapshot_id", F.lit(""))
+
+
+def _sides(base: DataFrame, head: DataFrame) -> dict[str, DataFrame]:
+    return {"ev_base": _own(base), "ev_head": _own(head)}
 
 
 def match(base: DataFrame, head: DataFrame) -> DataFrame:
     """One row for each stage and identity of two sets of findings: what became of it."""
-    return RELATIONS["delta_match"].frame(base.sparkSession, "", {"ev_base": base, "ev_head": head})
+    return RELATIONS["delta_match"].frame(base.sparkSession, "", _sides(base, head))
+
+
+def compare(base_stages: DataFrame, base: DataFrame, head_stages: DataFrame, head: DataFrame, name: str = "delta_assessment") -> DataFrame:
+    """The roll-up of two reports of each snapshot (or another relation of it by name). Stages have a profile."""
+    given = {**_sides(base, head), "ev_base_stages": base_stages, "ev_head_stages": head_stages}
+    return RELATIONS[name].frame(base.sparkSession, "", given)
 
 
 def in_changed_lines(findings: DataFrame, changed_lines: DataFrame | None) -> DataFrame:
     """Three-valued: without a map the answer is NULL; an empty map says false."""
+    findings = _own(findings)
     if changed_lines is None:
-        return findings.selectExpr("stage_id", "ord", "path", "line", "cast(null as boolean) as in_changed_lines")
-    return RELATIONS["changed_line_join"].over(ev_head=findings, ev_changed_lines=changed_lines)
+        return findings.selectExpr("snapshot_id", "stage_id", "ord", "path", "line", "cast(null as boolean) as in_changed_lines")
+    return RELATIONS["changed_line_join"].frame(findings.sparkSession, "", {"ev_head": findings, "ev_changed_lines": changed_lines})
 
 
 def rank_dominance(base: DataFrame, head: DataFrame) -> DataFrame:
-    return RELATIONS["rank_dominance"].frame(base.sparkSession, "", {"ev_base": base, "ev_head": head})
+    return RELATIONS["rank_dominance"].frame(base.sparkSession, "", _sides(base, head))

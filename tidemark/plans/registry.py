@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..operators import assessment, delta, findings, inventory, text_rules  # noqa: F401  they define relations
 from ..schema import BATCH_BYTES, BATCH_FILES
 from ..sources import projections  # noqa: F401
+from .checks import checks
 from .relation import RELATIONS
 
 KEYS = [
     "assessment", "band_scores", "blob_hash", "blockers", "category_scores", "changed_line_join", "changed_paths", "classify_content", "clone_ratio", "clone_reconcile",
-    "clone_validate", "complexity_summary", "count_reconcile", "coverage_gaps", "delta_assessment", "delta_counts", "delta_document", "delta_match", "delta_rows",
+    "clone_validate", "comparison_exit", "complexity_summary", "count_reconcile", "coverage_gaps", "delta_assessment", "delta_counts", "delta_document", "delta_match", "delta_rows",
     "duplicate_identities", "environment_split", "excluded_directories", "execution_counts", "execution_status", "exit_code", "foreign_locations", "grades", "history_rows", "hotspots",
     "hunk_parse", "hygiene_facts", "hygiene_score", "identity", "in_scope", "inventory", "inventory_equal", "language_slice", "languages", "limited_regressions",
     "line_window_clones", "markdown_escape", "metric_deltas", "metric_regressions", "mi_average", "next_actions", "obfuscation_pairs", "observation_except_all",
@@ -37,4 +38,5 @@ QUERIES = {f"q_{name}": query(name) for name in KEYS}
 QUERIES["q_greedy_budget"] = lambda spark, sf_dir: inventory.greedy_budget(_files(spark, sf_dir), 200_000)
 QUERIES["q_batch_packing"] = lambda spark, sf_dir: inventory.batch_packing(_files(spark, sf_dir), BATCH_FILES, BATCH_BYTES)
 QUERIES["q_unicode_controls"] = lambda spark, sf_dir: text_rules.unicode_controls(RELATIONS["ev_text_controls"].frame(spark, sf_dir).withColumnRenamed("t", "text"))
-ORACLE_SQL = {f"q_{name}": s for name in KEYS if (s := RELATIONS[name].statement())}
+_CHECKS = checks()
+ORACLE_SQL = {f"q_{name}": s for name in KEYS if (s := _CHECKS.get(name) or RELATIONS[name].statement())}

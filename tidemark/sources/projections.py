@@ -5,68 +5,78 @@ from __future__ import annotations
 from ..functions.paths import in_scope, is_test, language
 from ..plans.relation import relation
 
-relation("ev_stages", """
-select 'snap' || cast(o_custkey % 100 as string) as snapshot_id, category || '.' || cast(rn as string) as stage_id, category,
-  case when o_orderkey % 23 = 0 then 'limited' when o_orderkey % 101 = 0 then 'failed' else 'ok' end as status,
+# Twelve consecutive orders are one snapshot, and each order is one of its stages: two of each category.
+_SNAPSHOT = "'snap' || cast(cast(floor({key} / 12) as bigint) as string)"
+_CATEGORY = "case {key} % 6 when 0 then 'lint' when 1 then 'types' when 2 then 'complexity' when 3 then 'duplication' when 4 then 'security' else 'hygiene' end"
+_STAGE = f"{_CATEGORY} || case when {{key}} % 12 < 6 then '.1' else '.2' end"
+
+
+def of_order(key: str) -> str:
+    """snapshot_id and stage_id of an order."""
+    return f"{_SNAPSHOT.format(key=key)} as snapshot_id, {_STAGE.format(key=key)} as stage_id"
+
+
+relation("ev_stages", f"""
+select {of_order("o_orderkey")}, category, case when o_orderkey % 23 = 0 then 'limited' when o_orderkey % 101 = 0 then 'failed' else 'ok' end as status,
   o_orderkey % 13 <> 0 as required, 'tool-' || category as tool, '1.' || cast(o_orderkey % 3 as string) as version,
   case when o_orderkey % 23 = 0 then 'partial input' when o_orderkey % 101 = 0 then 'tool failed' else '' end as reason,
   'all' as scope, cast(o_orderkey % 40 as bigint) as analyzed_files, cast(o_orderkey % 40 + o_orderkey % 3 as bigint) as eligible_files,
   case when category = 'lint' then case when o_orderkey % 31 = 0 then cast('NaN' as double) else cast(m % 60 as double) end end as issue_count,
-  case when category = 'types' then cast(m % 20 as double) end as error_count,
-  case when category = 'types' then cast(m % 37 as double) end as warning_count,
+  case when category = 'types' then cast(m % 20 as double) end as error_count, case when category = 'types' then cast(m % 37 as double) end as warning_count,
   case when category = 'complexity' then cast(m % 53 as double) end as max_cc,
-  case when category = 'duplication' then case when o_orderkey % 37 = 0 then -1.0D else cast(m % 62 as double) end end as duplication_percent,
+  case when category = 'duplication' then case when o_orderkey % 37 = 0 then cast(-1 as double) else cast(m % 62 as double) end end as duplication_percent,
   case when category = 'hygiene' then m % 25 <> 0 end as license_file, case when category = 'hygiene' then m % 4 <> 0 end as nontrivial_readme,
-  case when category = 'hygiene' then m % 3 <> 0 end as test_files,
-  case when category = 'hygiene' and o_orderkey % 41 <> 0 then m % 2 = 0 end as gitignore_file
-from (
-  select o_orderkey, o_custkey, cast(floor(o_totalprice) as bigint) as m,
-    case o_orderkey % 6 when 0 then 'lint' when 1 then 'types' when 2 then 'complexity' when 3 then 'duplication' when 4 then 'security' else 'hygiene' end as category,
-    row_number() over (partition by o_custkey % 100, o_orderkey % 6 order by o_orderkey) as rn
-  from {orders}) t
-where rn <= 2
-""".replace("-1.0D", "cast(-1 as double)"), "orders", keep=True)
-
-relation("ev_findings", """
-select 'snap' || cast(l_orderkey % 100 as string) as snapshot_id,
-  case l_returnflag when 'A' then 'complexity.1' when 'N' then 'security.1' else 'lint.1' end as stage_id,
-  lpad(cast(l_orderkey as string), 12, '0') || lpad(cast(l_linenumber as string), 3, '0') || lpad(cast(l_partkey as string), 12, '0')
-    || lpad(cast(l_suppkey as string), 12, '0') || lpad(cast(cast(l_quantity as bigint) as string), 4, '0')
-    || lpad(cast(cast(floor(l_extendedprice * 100) as bigint) as string), 14, '0') || cast(cast(l_shipdate as date) as string) as ord,
-  case l_returnflag when 'A' then 'native.high-complexity' when 'N' then 'security.pattern' else 'lint.rule' end as rule,
+  case when category = 'hygiene' then m % 3 <> 0 end as test_files, case when category = 'hygiene' and o_orderkey % 41 <> 0 then m % 2 = 0 end as gitignore_file,
+  case when floor(o_orderkey / 12) % 19 = 0 then 'quick' else 'full' end as profile, o_orderkey
+from (select o_orderkey, cast(floor(o_totalprice) as bigint) as m, {_CATEGORY.format(key="o_orderkey")} as category from {{orders}}) t
+""", "orders")
+
+relation("ev_findings", f"""
+select snapshot_id, stage_id, ord,
+  case kind when 2 then 'native.high-complexity' when 4 then 'security.pattern' when 0 then 'lint.rule' when 1 then 'types.mismatch' when 3 then 'duplication.block' else 'hygiene.fact' end as rule,
   'note ' || cast(l_partkey % 7 as string) as message,
-  case when l_returnflag = 'A' then case when l_quantity + 10 > 50 then 'high' when l_quantity + 10 > 20 then 'medium' else 'low' end
-    when l_returnflag = 'N' then case when l_orderkey % 7001 = 0 then 'critical' when l_orderkey % 1009 = 0 then 'high' when l_orderkey % 307 = 0 then 'medium'
-      when l_orderkey % 101 = 0 then 'low' else 'info' end
+  case when kind = 2 then case when l_quantity + 10 > 50 then 'high' when l_quantity + 10 > 20 then 'medium' else 'low' end
+    when kind = 4 then case when l_orderkey % 701 = 0 then 'critical' when l_orderkey % 109 = 0 then 'high' when l_orderkey % 37 = 0 then 'medium' when l_orderkey % 11 = 0 then 'low' else 'info' end
     else case when l_partkey % 3 = 0 then 'low' else 'info' end end as severity,
-  'src/f' || cast(l_orderkey % 200 as string) || '.py' as path, cast(l_linenumber * 10 as bigint) as line,
+  'src/f' || cast(cast(floor(l_orderkey / 10) as bigint) as string) || '.py' as path, cast(l_linenumber * 10 as bigint) as line,
   's' || cast(l_orderkey as string) || '_' || cast(l_linenumber as string) as symbol,
   case when l_orderkey % 19 = 0 then 'fp' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) else '' end as fingerprint,
-  case when l_returnflag = 'A' then 'cyclomatic_complexity' else '' end as metric,
-  case when l_returnflag = 'A' then l_quantity + 10 end as value,
-  case when l_orderkey % 29 = 0 then 'body' else 'name' end as identity_kind,
-  l_orderkey, l_partkey
-from {lineitem}
+  case when kind = 2 then case when l_orderkey % 5 = 0 then 'shell-ast-decision-complexity-v1' else 'cyclomatic_complexity' end else '' end as metric,
+  case when kind = 2 then l_quantity + 10 end as value, case when l_orderkey % 29 = 0 then 'body' else 'name' end as identity_kind, l_orderkey, l_partkey
+from (select *, l_orderkey % 6 as kind, {of_order("l_orderkey")},
+  lpad(cast(l_orderkey as string), 12, '0') || lpad(cast(l_linenumber as string), 3, '0') || lpad(cast(l_partkey as string), 12, '0')
+    || lpad(cast(l_suppkey as string), 12, '0') || lpad(cast(cast(l_quantity as bigint) as string), 4, '0')
+    || lpad(cast(cast(floor(l_extendedprice * 100) as bigint) as string), 14, '0') || cast(cast(l_shipdate as date) as string) as ord
+  from {{lineitem}}) t
 """, "lineitem")
 
 relation("ev_base", """
-select stage_id, ord, rule, message, severity, path, line, symbol, fingerprint, metric, value, identity_kind
+select snapshot_id, stage_id, ord, rule, message, severity, path, line, symbol, fingerprint, metric, value, identity_kind
 from {ev_findings} where (l_orderkey + l_partkey) % 10 <> 0
 """, "ev_findings")
 
+# Bodies change their fingerprint, so that they are new observations in the old place.
 relation("ev_head", """
-select stage_id, ord, rule, case when identity_kind = 'body' then message || ' again' else message end as message,
-  case when l_orderkey % 43 = 0 and severity = 'low' then 'medium' else severity end as severity, path, line, symbol, fingerprint, metric,
-  case when l_orderkey % 17 = 0 then value + 5 when l_orderkey % 18 = 0 then value - 3 else value end as value, identity_kind
+select snapshot_id, stage_id, ord, rule, message, case when l_orderkey % 43 = 0 and severity = 'low' then 'medium' when l_orderkey % 1402 = 4 then 'critical' else severity end as severity, path, line, symbol,
+  case when identity_kind = 'body' and l_partkey % 2 = 0 then 'new ' || symbol else fingerprint end as fingerprint, metric,
+  case when l_orderkey % 17 = 0 or l_partkey % 11 = 0 then value + 5 when l_orderkey % 18 = 0 then value - 3 else value end as value, identity_kind
 from {ev_findings} where (l_orderkey + l_partkey) % 10 <> 1
 """, "ev_findings")
 
-# Two reports of one repository: the stages of snapshots snap1 and snap2.
-relation("ev_base_stages", "select * from {ev_stages} where snapshot_id = 'snap1'", "ev_stages")
-relation("ev_head_stages", "select * from {ev_stages} where snapshot_id = 'snap2' and stage_id <> 'types.2'", "ev_stages")
+# Two reports of each snapshot: stages that either of them lacks, other tools, versions, scopes and profiles, and changed measurements.
+relation("ev_base_stages", "select * from {ev_stages} where o_orderkey % 47 <> 5", "ev_stages")
+relation("ev_head_stages", """
+select snapshot_id, stage_id, category, case when o_orderkey % 59 = 3 or o_orderkey % 12 = 8 and o_orderkey % 5 < 2 then 'limited' when o_orderkey % 61 = 9 then 'ok' else status end as status, required,
+  case when o_orderkey % 71 = 3 then 'tool-x' else tool end as tool, case when o_orderkey % 67 = 3 then '9.9' else version end as version, reason,
+  case when o_orderkey % 73 = 3 then 'part' else scope end as scope, analyzed_files, eligible_files, issue_count + cast(o_orderkey % 3 - 1 as double) as issue_count,
+  error_count + cast(o_orderkey % 4 - 1 as double) as error_count, warning_count, max_cc + cast(o_orderkey % 5 - 2 as double) as max_cc,
+  duplication_percent + cast(o_orderkey % 7 - 3 as double) as duplication_percent, case when o_orderkey % 4 = 1 then not license_file else license_file end as license_file,
+  nontrivial_readme, test_files, gitignore_file, case when floor(o_orderkey / 12) % 57 = 0 then 'full' else profile end as profile, o_orderkey
+from {ev_stages} where o_orderkey % 53 <> 7
+""", "ev_stages")
 
 relation("ev_changed_lines", """
-select 'src/f' || cast(p_partkey % 200 as string) || '.py' as path, cast(p_size as bigint) as start_line, cast(p_size + p_partkey % 5 as bigint) as end_line
+select 'src/f' || cast(cast(floor(p_partkey / 2) as bigint) as string) || '.py' as path, cast(p_size as bigint) as start_line, cast(p_size + p_partkey % 5 as bigint) as end_line
 from {part}
 """, "part")
 
