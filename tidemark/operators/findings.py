@@ -26,15 +26,24 @@ from {ev_findings} where metric = 'cyclomatic_complexity' and value > 10
 relation("complexity_summary", """
 select snapshot_id, count(value) as functions, coalesce(max(value), 0.0) as max_cc, bround(coalesce(avg(value), 0.0), 4) as average_cc from {ev_findings} where metric = 'cyclomatic_complexity' group by snapshot_id
 """, "ev_findings")
-relation("mi_average", "select path, bround(avg(100 - value), 4) as average_mi, count_if(100 - value < 50) as low from {ev_findings} where value is not null group by path", "ev_findings")
+# A-11, E-16: maintainability of files from their volume, complexity and lines; under 20 is a finding
+relation("mi_average", """
+select snapshot_id, bround(avg(mi), 4) as average_mi, count_if(mi < 20) as low, count(*) as files
+from (select snapshot_id, path, greatest(0, 100 - 2 * sum(coalesce(value, 0)) / greatest(1, count(value)) - count(*)) as mi from {ev_findings} group by snapshot_id, path) t group by snapshot_id
+""", "ev_findings")
 
-# P-10, T-4: blockers, gaps, then findings from medium on
-relation("next_actions", f"""
-select snapshot_id, section, action from (
-  select snapshot_id, 1 as section, 'Resolve blocker: ' || reason as action from {{blockers}}
-  union all select snapshot_id, 2, 'Complete ' || stage_id || ': ' || case when reason <> '' then reason else status end from {{coverage_gaps}}
-  union all select snapshot_id, 3, 'Review ' || rule || ' at ' || path || ':' || cast(line as string) || ': ' || message from {{ev_findings}} where {severity_rank("severity")} >= 2) t
-""", "blockers", "coverage_gaps", "ev_findings")
+# P-10, T-4: blockers, gaps, findings from medium on in order, the hint at omitted stages, and a fallback
+relation("sectioned_actions", f"""
+select snapshot_id, 1 as section, 0 as urgency, '' as path, cast(0 as bigint) as line, '' as rule, 'Resolve blocker: ' || reason as action from {{blockers}}
+union all select snapshot_id, 2, 0, '', 0, stage_id, 'Complete ' || stage_id || ': ' || case when reason <> '' then reason else status end from {{coverage_gaps}}
+union all select snapshot_id, 3, -{severity_rank("severity")}, path, line, rule, 'Review ' || rule || ' at ' || case when path <> '' then path else 'repository' end || ':' || cast(line as string) || ': ' || message from {{ev_findings}} where {severity_rank("severity")} >= 2
+union all select snapshot_id, 4, 0, '', 0, '', 'Run --profile full to include: ' || array_join(array_sort(collect_list(stage_id)), ', ') from {{ev_stages}} where profile = 'quick' and category = 'duplication' group by snapshot_id
+""", "blockers", "coverage_gaps", "ev_findings", "ev_stages")
+relation("next_actions", """
+select s.snapshot_id, coalesce(a.section, 5) as section, coalesce(a.action, 'Read the tests, dependency policy and maintainer history before adopting or merging.') as action,
+  row_number() over (partition by s.snapshot_id order by a.section, a.urgency, a.path, a.line, a.rule, a.action) as place
+from (select distinct snapshot_id from {ev_stages}) s left join {sectioned_actions} a on a.snapshot_id = s.snapshot_id
+""", "ev_stages", "sectioned_actions")
 
 # U-1
 relation("stage_union", "select stage_id, status from {ev_base_stages} union all select stage_id, status from {ev_head_stages}", "ev_base_stages", "ev_head_stages")
@@ -44,41 +53,70 @@ relation("rule_histogram", """
 select rule, severity, count(*) as n, min_by(message, ord) as example from {ev_diagnostics} group by rule, severity
 """, "ev_diagnostics")
 
-# A-13, W-5: singletons stay located, groups become one row without a location
-relation("unresolved_groups", """
-select rule, path, n, first_ord from (
-  select rule, case when n = 1 then path else '' end as path, n, ord as first_ord, row_number() over (partition by rule, day order by ord) as k from (
-    select rule, ord % 997 as day, path, ord, count(*) over (partition by rule, ord % 997) as n from {ev_diagnostics} where severity = 'error') c) t
-where k = 1
+# Diagnostic codes that speak of the environment, and rules of unresolved references.
+ENVIRONMENT = ("TS2307", "TS2688", "TS2792", "TS7016", "TS6059", "TS6307", "TS7026", "TS2875")
+UNRESOLVED = (
+    "require.fileNotFound", "include.fileNotFound", "class.notFound", "interface.notFound", "trait.notFound", "function.notFound", "property.notFound", "method.notFound",
+    "staticMethod.notFound", "attribute.notFound", "return.unresolvableType", "parameter.unresolvableType", "property.unresolvableType",
+)
+_quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+
+# A-13, W-5: one unresolved reference of a rule stays located; more of them become one row with two short examples
+relation("unresolved_groups", f"""
+select snapshot_id, rule, case when n = 1 then path else '' end as path, n, case when n = 1 then message else rule || ': ' || cast(n as string) || ' unresolved references' || coalesce('; examples: ' || examples, '') end as message
+from (select snapshot_id, rule, count(*) as n, min(path) as path, min(message) as message, min(case when short then said end) || coalesce(' | ' || min(case when short and said > first_said then said end), '') as examples
+  from (select snapshot_id, rule, path, message, message as said, length(message) <= 120 as short, min(case when length(message) <= 120 then message end) over (partition by snapshot_id, rule) as first_said
+    from {{ev_diagnostics}} where rule in ({_quoted(UNRESOLVED)})) d group by snapshot_id, rule) g
 """, "ev_diagnostics")
 
-# P-14
-relation("environment_split", """
-select rule in ('purchase', 'view', 'click') as environment, severity, count(*) as n, count(distinct path) as files from {ev_diagnostics} group by 1, 2
+# P-14: what the environment lacks, apart from what the source says
+relation("environment_split", f"""
+select snapshot_id, rule in ({_quoted(ENVIRONMENT)}) as environment, severity, count(*) as n, count(distinct path) as files from {{ev_diagnostics}} where startswith(rule, 'TS') group by 1, 2, 3
 """, "ev_diagnostics")
 
-# J-6: the last suspicious control of a path meets its execution calls
+# J-6: an execution call from medium on meets the last suspicious control of its file
+relation("ev_controls", """
+select 'snap' || cast(doc_id % 40 as string) as snapshot_id, 'f' || cast(doc_id % 977 as string) || '.py' as path, doc_id as ord, case when doc_id % 3 = 0 then 'info' when doc_id % 3 = 1 then 'medium' else 'high' end as severity,
+  'U+' || case when doc_id % 3 = 2 then '202E' else '200E' end as symbol, n_chars % 300 as line from {documents}
+""", "documents")
+relation("ev_calls", """
+select 'snap' || cast(event_id % 40 as string) as snapshot_id, 'f' || cast(event_id % 977 as string) || '.py' as path, event_id as ord, event_id % 500 as line,
+  case event_type when 'error' then 'high' when 'view' then 'medium' else 'info' end as severity, case event_type when 'error' then 'python.eval' when 'view' then 'python.shell-execution' else 'python.process-call' end as rule from {events}
+""", "events")
 relation("obfuscation_pairs", """
-select e.path, e.ord, u.last_rule, e.rule from (select path, ord, rule from {ev_findings} where metric = '' and severity in ('medium', 'high') and rule = 'security.pattern') e
-join (select path, max_by(symbol, ord) as last_rule from {ev_findings} where severity = 'medium' and metric <> '' group by path) u on e.path = u.path
-""", "ev_findings")
+select c.snapshot_id, c.path, c.ord, c.line, c.rule, u.last.symbol as symbol, u.last.line as control_line from {ev_calls} c
+join (select snapshot_id, path, max_by(struct(symbol, line), ord) as last from {ev_controls} where severity in ('medium', 'high') group by snapshot_id, path) u on u.snapshot_id = c.snapshot_id and u.path = c.path
+where c.severity in ('medium', 'high')
+""", "ev_calls", "ev_controls", check="""
+select c.snapshot_id, c.path, c.ord, c.line, c.rule, u.symbol, u.line as control_line from {ev_calls} c
+join (select *, row_number() over (partition by snapshot_id, path order by ord desc) as k from {ev_controls} where severity in ('medium', 'high')) u on u.k = 1 and u.snapshot_id = c.snapshot_id and u.path = c.path
+where c.severity in ('medium', 'high')
+""")
 
 # A-17
-relation("execution_counts", f"select snapshot_id, count(*) as calls, count_if({severity_rank('severity')} >= 2) as actionable from {{ev_findings}} where stage_id = 'security.1' group by snapshot_id", "ev_findings")
+relation("execution_counts", f"select snapshot_id, count(*) as calls, count_if({severity_rank('severity')} >= 2) as actionable from {{ev_calls}} group by snapshot_id", "ev_calls")
 
 # J-9, A-24
 relation("count_reconcile", """
-select e.path, e.expected, coalesce(o.observed, 0) as observed from (select path, count(*) as expected from {ev_base} group by path) e
-left join (select path, count(*) as observed from {ev_head} group by path) o on e.path = o.path where e.expected <> coalesce(o.observed, 0)
-""", "ev_base", "ev_head")
+select e.snapshot_id, e.path, e.expected, coalesce(o.observed, 0) as observed from (select snapshot_id, path, cast(max(line) / 10 as bigint) as expected from {ev_findings} where metric <> '' group by snapshot_id, path) e
+left join (select snapshot_id, path, count(distinct symbol) as observed from {ev_findings} where metric <> '' group by snapshot_id, path) o on e.snapshot_id = o.snapshot_id and e.path = o.path where e.expected <> coalesce(o.observed, 0)
+""", "ev_findings")
 relation("duplicate_identities", "select stage_id, identity, count(*) as n from {identities} group by stage_id, identity having count(*) > 1", "identities")
 
-# F-36
+# F-36: a process that ended well with an allowed code has no failure; else missing and timeout stay, the rest failed
+relation("ev_runs", """
+select event_id, case when event_type = 'click' then 'timeout' when event_type = 'signup' and event_id % 4 = 0 then 'missing' when event_type = 'purchase' and event_id % 5 = 0 then 'output-limit' else 'ok' end as status,
+  cast(floor(abs(value)) as bigint) % 4 as returncode, case when event_id % 2 = 0 then array(0) else array(0, 1) end as allowed from {events}
+""", "events", check="""
+select event_id, case when event_type = 'click' then 'timeout' when event_type = 'signup' and event_id % 4 = 0 then 'missing' when event_type = 'purchase' and event_id % 5 = 0 then 'output-limit' else 'ok' end as status,
+  cast(floor(abs(value)) as bigint) % 4 as returncode, case when event_id % 2 = 0 then [0] else [0, 1] end as allowed from {events}
+""")
 relation("execution_status", """
-select status_code, count(*) as n from (select case when event_type = 'purchase' and value > 500 then 'timeout' when event_type = 'error' then 'failed' when value is null then 'missing' when value < 1 then 'limited' else 'ok' end as status_code from {events}) t group by status_code
-""", "events")
+select event_id, case when status = 'ok' and array_contains(allowed, cast(returncode as int)) then '' when status in ('missing', 'timeout') then status else 'failed' end as failure from {ev_runs}
+""", "ev_runs", check="select event_id, case when status = 'ok' and list_contains(allowed, returncode) then '' when status in ('missing', 'timeout') then status else 'failed' end as failure from {ev_runs}")
 
 # A-16, W-7
 relation("history_rows", """
-select commit_id, count(distinct path) as files, count(*) as functions, bround(avg(cc), 4) as average_cc, max(cc) as max_cc, row_number() over (order by commit_id) as seq from {ev_commits} group by commit_id
+select repository, commit_id, count(distinct path) as files, count(*) as functions, bround(avg(cc), 4) as average_cc, max(cc) as max_cc, row_number() over (partition by repository order by commit_id) as seq
+from {ev_commits} group by repository, commit_id
 """, "ev_commits")

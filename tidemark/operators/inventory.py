@@ -31,10 +31,19 @@ relation("scope_manifest", f"""
 select relative_path, size_bytes, 'possible-source' as classification, 'Content exceeds per-file text acquisition budget' as reason from {{ev_files}} where in_scope and size_bytes > 20000
 """, "ev_files")
 
-# F-11 on text content: a NUL makes it binary unless the suffix says source
-relation("classify_content", f"""
-select relative_path, case when instr(content, char(0)) = 0 then 'text' else 'possible-source' end as classification, {language("relative_path")} as language, {base_name("relative_path")} as name from {{ev_files}}
+# F-11, F-12: contents of every form, as hexadecimal text; the query is classified() over their bytes
+relation("ev_contents", """
+select relative_path, case doc_id % 9 when 0 then '89504E470D0A1A0A00' when 1 then hex(content) when 2 then '504B030400' when 3 then '4100' || hex(content) when 4 then 'FFFE41'
+  when 5 then '000000186674797069736F6D000000000000000000000000' when 6 then '524946460000000057454250' when 7 then '255044462D312E3700' else '7FFFFF' end as content_hex
+from {ev_files}
 """, "ev_files")
+relation("classify_content", f"""
+select relative_path, case when try(decode(raw)) is not null and instr(h, '|00') = 0 then 'text'
+  when {language("relative_path")} <> '' or {suffix("relative_path")} in ('md', 'txt', 'ini', 'cfg', 'env', 'json', 'toml', 'yaml', 'yml', 'xml', 'html', 'css', 'sql') then 'possible-source'
+  when startswith(content_hex, '89504E470D0A1A0A') or startswith(content_hex, '504B0304') or startswith(content_hex, '255044462D312E') or startswith(content_hex, '52494646') or substring(content_hex, 9, 16) = '6674797069736F6D' then 'binary-asset'
+  else 'possible-source' end as classification
+from (select relative_path, content_hex, unhex(content_hex) as raw, regexp_replace(content_hex, '(..)', '|\\1', 'g') as h from {{ev_contents}}) c
+""", "ev_contents")  # the check statement
 
 # P-4, P-5, F-15: literal prefixes, then the changed set
 relation("selected_paths", """
@@ -62,7 +71,7 @@ from (select doc_id % 20 as snapshot, relative_path, size_bytes,
 """, "ev_files")
 
 # J-2, S-10: paths of two trees by content hash
-relation("blob_hash", "select relative_path, doc_id, sha2(content, 256) as oid from {ev_files}", "ev_files")
+relation("blob_hash", "select relative_path, doc_id, sha1('blob ' || cast(octet_length(content) as string) || char(0) || content) as oid from {ev_files}", "ev_files")
 for _side, _rule in (("base", "doc_id % 11 <> 0"), ("head", "doc_id % 13 <> 0")):
     _oid = "oid" if _side == "base" else "case when doc_id % 9 = 0 then 'x' || oid else oid end"
     relation(f"{_side}_tree", f"select relative_path as path, {_oid} as oid from {{blob_hash}} where {_rule}", "blob_hash")
@@ -78,19 +87,19 @@ select (select count(*) from (select path from {base_tree} except select path fr
 """, "base_tree", "head_tree")
 
 # J-7, J-8, P-11
-relation("foreign_locations", "select f.path, count(*) as findings from {ev_head} f left anti join (select path from {ev_changed_lines} where start_line < 40) c on f.path = c.path group by f.path", "ev_head", "ev_changed_lines",
-         check="select f.path, count(*) as findings from {ev_head} f anti join (select path from {ev_changed_lines} where start_line < 40) c on f.path = c.path group by f.path")
+relation("foreign_locations", "select f.snapshot_id, f.path, count(*) as findings from {ev_head} f left anti join {ev_changed_lines} i on i.path = f.path where f.path <> '' group by f.snapshot_id, f.path", "ev_head", "ev_changed_lines",
+         check="select f.snapshot_id, f.path, count(*) as findings from {ev_head} f where f.path <> '' and f.path not in (select path from {ev_changed_lines}) group by f.snapshot_id, f.path")
 relation("omitted_paths", "select m.relative_path, m.reason from {scope_manifest} m left anti join {language_slice} s on m.relative_path = s.relative_path", "scope_manifest", "language_slice",
          check="select m.relative_path, m.reason from {scope_manifest} m anti join {language_slice} s on m.relative_path = s.relative_path")
 relation("unsupported_languages", "select language from {languages} where language not in (select 'python' union all select 'java' union all select 'shell')", "languages")
 
 # A-15
 relation("hygiene_facts", """
-select bool_or(regexp_like(lower(name), r'^(license|licence|copying)([.]|$)') and size_bytes > 0) as license_file, bool_or(regexp_like(lower(name), r'^readme([.]|$)') and size_bytes > 100) as nontrivial_readme,
+select bool_or(regexp_like(lower(name), r'^(license|licence|copying)([.]|$)') and size_bytes > 0) as license_file, bool_or(regexp_like(lower(name), r'^readme([.]|$)') and length(regexp_replace(regexp_replace(content, r'^[ \\t\\r\\n]+', ''), r'[ \\t\\r\\n]+$', '')) > 100) as nontrivial_readme,
   bool_or(is_test and size_bytes > 0) as test_files, bool_or(name = '.gitignore') as gitignore_file, bool_or(name = '.gitlab-ci.yml' or regexp_like(path, r'^[.]github/workflows/.*[.]ya?ml$')) as ci_configuration,
   bool_or(name in ('uv.lock', 'poetry.lock', 'Pipfile.lock', 'package-lock.json', 'npm-shrinkwrap.json', 'pnpm-lock.yaml', 'yarn.lock', 'Cargo.lock', 'go.sum', 'Gemfile.lock', 'composer.lock')) as dependency_lockfile
-from (select case when instr(path, '/') = 0 then path else '' end as name, path, is_test, size_bytes from (
-  select case when doc_id = 10 then 'LICENSE.md' when doc_id = 20 then 'README.md' when doc_id = 30 then '.gitignore' when doc_id = 40 then '.github/workflows/ci.yml' else relative_path end as path, is_test, size_bytes from {ev_files}) n) t
+from (select case when instr(path, '/') = 0 then path else '' end as name, path, is_test, size_bytes, content from (
+  select case when doc_id = 10 then 'LICENSE.md' when doc_id = 20 then 'README.md' when doc_id = 30 then '.gitignore' when doc_id = 40 then '.github/workflows/ci.yml' else relative_path end as path, is_test, size_bytes, case when doc_id = 20 then '  ' || substring(content, 1, 95) || repeat(' ', 200) else content end as content from {ev_files}) n) t
 """, "ev_files")
 
 
@@ -99,31 +108,28 @@ def inventoried(files: DataFrame) -> DataFrame:
     return files.selectExpr("*", f"{language('relative_path')} as language", f"{is_test('relative_path')} as is_test", f"{in_scope('relative_path')} as in_scope")
 
 
-#: Magic bytes of binary assets, as hexadecimal text, and what they are.
+# The first bytes of binary assets, and the brands of RIFF and ISO containers.
 SIGNATURES = (
-    ("504B0304", "ZIP archive"), ("504B0506", "ZIP archive"), ("1F8B08", "gzip archive"), ("89504E470D0A1A0A", "PNG image"), ("FFD8FF", "JPEG image"),
-    ("474946383761", "GIF image"), ("474946383961", "GIF image"), ("7F454C46", "ELF executable"), ("0061736D01000000", "WebAssembly binary"),
-    ("774F4646", "WOFF font"), ("774F4632", "WOFF2 font"), ("00010000", "TrueType font"), ("4F54544F", "OpenType font"), ("425A68", "bzip2 archive"),
-    ("FD377A585A00", "XZ archive"), ("377ABCAF271C", "7-Zip archive"), ("255044462D312E", "PDF document"), ("255044462D322E", "PDF document"),
+    b"PK\x03\x04", b"PK\x05\x06", b"\x1f\x8b\x08", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"\x7fELF", b"\x00asm\x01\x00\x00\x00", b"wOFF", b"wOF2",
+    b"\x00\x01\x00\x00", b"OTTO", b"BZh", b"\xfd7zXZ\x00", b"7z\xbc\xaf\x27\x1c", b"%PDF-1.", b"%PDF-2.",
 )
+RIFF_FORMS = (b"WEBP", b"WAVE", b"AVI ")
+ISO_BRANDS = (b"isom", b"iso2", b"mp41", b"mp42", b"M4V ", b"qt  ", b"avif", b"avis")
 
 
 def classified(content: str = "content") -> Column:
     """F-11, F-12 on bytes: text, binary-asset or possible-source, from a BINARY column and relative_path."""
     head, raw = F.hex(F.substring(content, 1, 16)), F.col(content)
-    text = F.is_valid_utf8(raw) & (F.instr(F.hex(raw), "00") == 0)
+    of = lambda b: b.hex().upper()
     # a hexadecimal 00 counts only at an even offset
-    no_nul = ~F.hex(raw).rlike("^(..)*00")
-    text = F.expr(f"is_valid_utf8({content})") & no_nul
+    text = F.expr(f"is_valid_utf8({content})") & ~F.hex(raw).rlike("^(..)*?00")
     source = F.expr(f"{language('relative_path')} <> '' or {suffix('relative_path')} in ('md', 'txt', 'ini', 'cfg', 'env', 'json', 'toml', 'yaml', 'yml', 'xml', 'html', 'css', 'sql')")
     asset = F.lit(False)
-    for magic, _ in SIGNATURES:
-        asset = asset | head.startswith(magic)
-    riff = head.startswith("52494646") & F.substring(head, 17, 8).isin("57454250", "57415645", "41564920")
+    for magic in SIGNATURES:
+        asset = asset | head.startswith(of(magic))
+    riff = head.startswith(of(b"RIFF")) & F.substring(head, 17, 8).isin(*map(of, RIFF_FORMS))
     size = F.conv(F.substring(head, 1, 8), 16, 10).cast("long")
-    iso = (F.substring(head, 9, 8) == "66747970") & size.between(16, F.octet_length(raw)) & F.substring(head, 17, 8).isin(
-        "69736F6D", "69736F32", "6D703431", "6D703432", "4D345620", "71742020", "61766966", "61766973"
-    )
+    iso = (F.substring(head, 9, 8) == of(b"ftyp")) & size.between(16, F.octet_length(raw)) & F.substring(head, 17, 8).isin(*map(of, ISO_BRANDS))
     return F.when(text, "text").when(source, "possible-source").when(asset | riff | iso, "binary-asset").otherwise("possible-source")
 
 

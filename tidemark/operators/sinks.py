@@ -10,7 +10,7 @@ SCHEMA_VERSION = "1.2.0"
 
 def plain(text: str) -> Column:
     """Control characters as \\uXXXX, so that a report can't move the cursor."""
-    shown = F.transform(F.split(F.col(text), ""), lambda c: F.when(c.rlike(r"^\p{C}$"), F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.ascii(c)), 4, "0")))).otherwise(c))
+    shown = F.transform(F.split(F.col(text), ""), lambda c: F.when(c.rlike(r"^\p{C}$"), F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.ascii(c)), F.greatest(F.lit(4), F.length(F.hex(F.ascii(c)))), F.lit("0"))))).otherwise(c))
     return F.array_join(shown, "")
 
 

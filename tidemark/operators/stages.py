@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from .inventory import inventoried
 from .python_code import python_calls
-from .text_rules import SECRET_PATTERNS, unicode_controls
+from .text_rules import secret_lines, unicode_controls
 
 # Stage, category, tool, languages of which one must occur, full profile only, required.
 CAPABILITIES = (
@@ -40,6 +40,7 @@ CAPABILITIES = (
     ("php.duplication.jscpd", "duplication", "jscpd", ("php",), True, True),
     ("php.templates.blade", "structure", "builtin", ("php-blade",), False, True),
 )
+# The facts of the hygiene stage, and names of lock files.
 FACTS = ("license_file", "nontrivial_readme", "test_files", "gitignore_file", "ci_configuration", "dependency_lockfile")
 LOCKS = (
     "uv.lock", "poetry.lock", "Pipfile.lock", "package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "go.sum", "Gemfile.lock",
@@ -86,7 +87,7 @@ def hygiene(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     facts = inventoried(files).where("in_scope").groupBy("snapshot_id").agg(
         some(root & name.isin("license", "licence", "copying") & (F.col("size_bytes") > 0)).alias("license_file"),
-        some(root & (name == "readme") & (F.length(F.trim("content")) > 100)).alias("nontrivial_readme"),
+        some(root & (name == "readme") & (F.length(F.regexp_replace("content", r"^\s+|\s+$", "")) > 100)).alias("nontrivial_readme"),
         some(F.col("is_test") & (F.col("size_bytes") > 0)).alias("test_files"),
         some(F.col("relative_path") == ".gitignore").alias("gitignore_file"),
         some((F.col("relative_path") == ".gitlab-ci.yml") | F.col("relative_path").rlike(r"^\.github/workflows/.*\.ya?ml$")).alias("ci_configuration"),
@@ -123,8 +124,7 @@ def scan(files: DataFrame, profile: str = "quick") -> tuple[DataFrame, DataFrame
 
     line = F.posexplode(F.split("content", "\r\n|\r|\n")).alias("at", "text")
     lines = known.select("snapshot_id", F.col("relative_path").alias("path"), line)
-    rules = F.array(*(F.when(F.regexp_like("text", F.lit(p.replace("{{", "{").replace("}}", "}"))), F.lit(r)) for r, p in SECRET_PATTERNS.items()))
-    secrets = lines.withColumn("rule", F.explode(rules)).where("rule is not null").select("snapshot_id", "path", (F.col("at") + 1).alias("line"), "rule", F.lit("high").alias("severity"))
+    secrets = secret_lines(lines).select("snapshot_id", "path", (F.col("at") + 1).alias("line"), "rule", F.lit("high").alias("severity"))
     secret_stage = as_stages(counts, stage_id="security.secrets", category="security", status="limited", tool="builtin-patterns", reason="Built-in patterns only; this does not establish absence", **whole)
     secret_found = as_findings(secrets, "security.secrets", F.lit("Potential secret; the value is not published"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13)
 relation("shell_dialect", """
 select doc_id, case i when 'sh' then 'posix' when 'dash' then 'posix' when 'bash' then 'bash' when 'mksh' then 'mksh' else '' end as dialect from (
   select doc_id, regexp_extract(line, r'^#![ ]*(?:/[^ ]*/)?(?:env[ ]+(?:-S[ ]+)?)?(?:[^ ]*/)?([^ /]+)[ ]*$', 1) as i from (
-    select doc_id, case doc_id % 6 when 0 then '#!/bin/sh' when 1 then '#!/usr/bin/env bash' when 2 then '#!/usr/bin/env -S mksh' when 3 then '#!/bin/bash -e' when 4 then '#!/opt/x/dash' else substring(text, 1, 40) end as line from {documents}) l) t
+    select doc_id, case doc_id % 6 when 0 then '#!/bin/sh' when 1 then '#!/usr/bin/env bash' when 2 then '#!/usr/bin/env -S mksh' when 3 then '#!/bin/bash -e' when 4 then '#!/opt/x/dash' else regexp_extract(text, r'^([^\n]*)', 1) end as line from {documents}) l) t
 """, "documents")
 
 # F-24: zero-length sides have no interval
@@ -99,20 +98,45 @@ where rule is not null
 # the check statement: every position of every text; the query itself is unicode_controls() below
 relation("unicode_controls", _EVERY, "ev_text_controls")
 
-# E-12, built-in patterns: assembled here, published without the match
+# E-12, built-in patterns: a rule, the form of its values, and the word or mark that a line must have. Published without
+# the match. An assignment counts if its value isn't a placeholder.
 SECRET_PATTERNS = {
-    "secret.aws-access-key": "AKIA[0-9A-Z]{{16}}",
-    "secret.github-token": "gh[pousr]_[A-Za-z0-9]{{36}}",
-    "secret.gitlab-token": "glpat-[A-Za-z0-9_-]{{20}}",
-    "secret.google-api-key": "AIza[0-9A-Za-z_-]{{35}}",
-    "secret.npm-token": "npm_[A-Za-z0-9]{{36}}",
-    "secret.stripe-key": "sk_live_[0-9A-Za-z]{{24}}",
+    "secret.aws-access-key": "AKIA[0-9A-Z]{16}",
+    "secret.github-token": "gh[pousr]_[A-Za-z0-9]{36}",
+    "secret.gitlab-token": "glpat-[A-Za-z0-9_-]{20}",
+    "secret.google-api-key": "AIza[0-9A-Za-z_-]{35}",
+    "secret.npm-token": "npm_[A-Za-z0-9]{36}",
+    "secret.stripe-key": "sk_live_[0-9A-Za-z]{24}",
     "secret.private-key": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "secret.credential-assignment": "(?:password|passwd|token|secret|api_key) *[=:] *[\"\\x27]?[A-Za-z0-9+/_-]{{16}}",
 }
-relation("secret_rules", " union all ".join(f"select '{k}' as rule, {len(v)} as width" for k, v in SECRET_PATTERNS.items()))
-relation("secret_scan", "select doc_id, rule, 'high' as severity from (" + " union all ".join(
-    f"select doc_id, '{rule}' as rule from {{documents}} where regexp_like(text, r'{pattern}')" for rule, pattern in SECRET_PATTERNS.items()) + ") t", "documents")
+_NAME = "(?i)(?:password|passwd|token|secret|api_?key)"
+ASSIGNMENT = _NAME + r"[\x22\x27]?[ \t]*[=:][ \t]*[\x22\x27]?([A-Za-z0-9+/_=-]{12,})"
+PLACEHOLDER = "(?i)example|change_?me|placeholder|your_|your-|dummy|xxxx|redacted"
+ANY_SECRET = "|".join([*SECRET_PATTERNS.values(), _NAME])
+relation("secret_rules", " union all ".join(f"select '{k}' as rule, r'{v.replace('{', '{{').replace('}', '}}')}' as pattern, {len(v)} as width" for k, v in (*SECRET_PATTERNS.items(), ("secret.credential-assignment", ASSIGNMENT))))
+
+
+def secret_lines(lines: DataFrame, text: str = "text") -> DataFrame:
+    """lines with the column rule, once for each built-in rule that the line meets. One pass: lines without any key word
+    or prefix go first, then all rules are tried as an array. The first assignment that isn't a placeholder counts."""
+    values = F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(1))
+    assigned = F.exists(values, lambda v: ~v.rlike(PLACEHOLDER))
+    rules = F.array(*(F.when(F.col(text).rlike(p), F.lit(r)) for r, p in SECRET_PATTERNS.items()), F.when(assigned, F.lit("secret.credential-assignment")))
+    return lines.where(F.col(text).rlike(ANY_SECRET)).withColumn("rule", F.explode(F.filter(rules, lambda r: r.isNotNull())))
+
+
+def secret_scan(documents: DataFrame) -> DataFrame:
+    """doc_id, line, rule and severity of every line of documents that meets a rule."""
+    some = documents.where(F.col("text").rlike(ANY_SECRET)).select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("at", "text"))
+    return secret_lines(some).select("doc_id", (F.col("at") + 1).cast("bigint").alias("line"), "rule", F.lit("high").alias("severity"))
+
+
+_quoted = lambda x: x.replace("'", "''").replace("{", "{{").replace("}", "}}")
+relation("secret_scan", f"""
+select doc_id, line, unnest(list_filter([{", ".join(f"CASE WHEN regexp_matches(text, '{_quoted(p)}') THEN '{r}' END" for r, p in SECRET_PATTERNS.items())},
+    CASE WHEN len(list_filter(regexp_extract_all(text, '{_quoted(ASSIGNMENT)}', 1), lambda v: not regexp_matches(v, '{_quoted(PLACEHOLDER)}'))) > 0 THEN 'secret.credential-assignment' END], lambda r: r is not null)) as rule, 'high' as severity
+from (select doc_id, unnest(range(1, len(l) + 1)) as line, unnest(l) as text from (select doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) as l from {{documents}}) d) t
+""", "documents")  # the check statement; the query is secret_scan() above
 
 # E-19, a measure of its own: windows of three lines that occur in two places or more
 relation("line_windows", r"""
@@ -137,56 +161,45 @@ from (select w.doc_id, count(*) as lines, count_if(c.w is not null) as cloned fr
 relation("clone_reconcile", """
 select (select sum(lines) from {clone_ratio}) as by_source, (select count(*) from {line_windows}) as by_window, (select sum(duplicated) from {clone_ratio}) as duplicated_by_source, (select sum(places) from {line_window_clones}) as duplicated_by_clone
 """, "clone_ratio", "line_windows", "line_window_clones")
-# J-16, A-19
+# J-16, A-19: clones as pairs of a window's first place with each other place; a second endpoint must lie in its source
+relation("source_lengths", r"select doc_id, pos, length(line) as characters from (select doc_id, posexplode(split(text, r'\n')) as (pos, line) from {documents}) l", "documents",
+         check="select doc_id, pos, length(line) as characters from (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as line from {documents}) l")
+relation("clone_endpoints", """
+select b.w, b.doc_id, b.pos as first_line, b.pos + 2 + case when b.doc_id % 11 = 0 then 100000 else 0 end as last_line, case when b.doc_id % 7 = 0 then 100000 else 0 end as last_column, case when b.doc_id % 5 = 0 then b.pos + 3 else b.pos end as start_line
+from {line_windows} b join (select w, min(doc_id) as doc_id from {line_windows} group by w having count(*) > 1) a on a.w = b.w and a.doc_id <> b.doc_id
+""", "line_windows")
 relation("clone_validate", """
 select reason, count(*) as clones from (
-  select case when l.lines is null then 'second endpoint outside the inventory' when e.end_line > l.lines then 'second endpoint beyond the source' else 'valid' end as reason
-  from (select doc_id + o % 3 as doc_id, pos + 3 + o % 5 as end_line from (select doc_id, pos, doc_id + pos as o from {line_windows}) w) e left join {text_lines} l on e.doc_id = l.doc_id) t group by reason
-""", "line_windows", "text_lines")
-
-_BIDI = frozenset([0x061C, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2066, 0x206A)])
-_HIDDEN = frozenset([0x180E, 0x200B, *range(0x2060, 0x2065)])
-CANDIDATES = r"[\u00AD\u061C\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF\uFE00-\uFE0F\x{E0001}-\x{E007F}\x{E0100}-\x{E01EF}]"
+  select case when e.last_line >= n.lines then 'clone range outside source lines' when e.last_column > l.characters + 1 then 'clone column outside source line' when e.start_line > e.last_line then 'reversed clone endpoints' else 'valid' end as reason
+  from {clone_endpoints} e join (select doc_id, count(*) as lines from {source_lengths} group by doc_id) n on n.doc_id = e.doc_id left join {source_lengths} l on l.doc_id = e.doc_id and l.pos = e.last_line) t group by reason
+""", "clone_endpoints", "source_lengths")
+
+# The code points of each rule, as character classes.
+CLASSES = {
+    "bidi": r"[؜‎‏‪-‮⁦-⁩]", "override": r"[‭‮]", "soft": r"­", "hidden": r"[᠎​⁠-⁤]", "tag": r"[\x{E0001}-\x{E007F}]",
+    "joiner": r"[‌‍]", "mark": r"﻿", "variation": r"[︀-️\x{E0100}-\x{E01EF}]", "emoji": r"[\x{1F000}-\x{10FFFF}️❤]", "picture": r"[\x{1F000}-\x{DFFFF}]",
+    "letter": r"[[\p{L}\p{M}]&&[^\x00-\x7F]]", "plain": r"[\x00-\x7F]",
+}
+SUSPICIOUS = "|".join(CLASSES[c] for c in ("bidi", "soft", "hidden", "tag", "joiner", "mark", "variation"))
+_is = lambda what, name: f"{what} rlike r'^{CLASSES[name]}$'"
+_both = lambda name: f"({_is('x.left', name)} and {_is('x.right', name)})"
+_CONTROL = f"""case when {_is("x.c", "bidi")} then 'bidi-control' when {_is("x.c", "soft")} then 'soft-hyphen' when {_is("x.c", "hidden")} then 'invisible-control'
+  when {_is("x.c", "tag")} then if(x.near rlike r'{CLASSES["picture"]}', null, 'unexpected-tag') when {_is("x.c", "joiner")} then if({_both("emoji")} or {_both("letter")}, null, 'unexpected-joiner')
+  when {_is("x.c", "mark")} then if(x.at = 0, null, 'misplaced-bom') else if(x.left = '' or {_is("x.left", "plain")}, 'unexpected-variation-selector', null) end"""
 
 
 def unicode_controls(texts: DataFrame, key: str = "long") -> DataFrame:
     """Every suspicious control of texts (doc_id of type key, text) with rule, severity, line and column.
 
-    A native filter drops texts without a candidate; the rest, few, are classified by character context in Arrow batches."""
-    import re
-    import unicodedata
-
-    found = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff\ufe00-\ufe0f\U000e0001-\U000e007f\U000e0100-\U000e01ef]")
-    emoji = lambda c: ord(c) >= 0x1F000 or ord(c) in (0xFE0F, 0x2764)
-    letter = lambda c: ord(c) > 127 and unicodedata.category(c)[0] in "LM"
-
-    def classify(t: str, i: int) -> tuple[str, str] | None:
-        code = ord(t[i])
-        near = t[i - 1 : i] + t[i + 1 : i + 2]
-        if code in _BIDI:
-            return "unicode.bidi-control", "high" if code in (0x202D, 0x202E) else "medium"
-        if code == 0xAD:
-            return "unicode.soft-hyphen", "info"
-        if code in _HIDDEN:
-            return "unicode.invisible-control", "low"
-        if 0xE0001 <= code <= 0xE007F:
-            return None if any(0x1F000 <= ord(c) < 0xE0000 for c in t[max(0, i - 12) : i]) else ("unicode.unexpected-tag", "low")
-        if code in (0x200C, 0x200D):
-            joined = i > 0 and len(near) == 2 and (all(map(emoji, near)) or all(map(letter, near)))
-            return None if joined else ("unicode.unexpected-joiner", "low")
-        if code == 0xFEFF:
-            return ("unicode.misplaced-bom", "low") if i else None
-        return ("unicode.unexpected-variation-selector", "low") if i == 0 or ord(t[i - 1]) < 128 else None
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for doc_id, t in zip(f["doc_id"], f["text"]):
-                for m in found.finditer(t):
-                    if rule := classify(t, m.start()):
-                        before = t[: m.start()]
-                        rows.append((doc_id, *rule, before.count("\n") + 1, m.start() - before.rfind("\n"), f"U+{ord(m.group()):04X}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "rule", "severity", "line", "col", "symbol"])
-
-    some = texts.select("doc_id", "text").where(F.col("text").rlike(CANDIDATES))
-    return some.mapInPandas(run, f"doc_id {key}, rule string, severity string, line long, col long, symbol string")
+    The few texts with a candidate become arrays of characters; each candidate's neighbours, the twelve characters before
+    it, and its line are looked up there, so that the context crosses lines."""
+    some = texts.select(F.col("doc_id").cast(key), "text").where(F.col("text").rlike(SUSPICIOUS)).withColumn("chars", F.split("text", ""))
+    some = some.withColumn("breaks", F.expr(r"filter(sequence(0, size(chars) - 1), i -> chars[i] = '\n')"))
+    around = f"""transform(filter(sequence(0, size(chars) - 1), i -> chars[i] rlike r'^(?:{SUSPICIOUS})$'), i -> named_struct('at', i, 'c', chars[i], 'left', coalesce(get(chars, i - 1), ''), 'right', coalesce(get(chars, i + 1), ''),
+      'near', array_join(slice(chars, greatest(i - 11, 1), least(i, 12)), ''), 'above', filter(breaks, b -> b < i)))"""
+    rows = some.selectExpr("doc_id", f"explode({around}) as x").selectExpr("doc_id", "x", f"{_CONTROL} as rule").where("rule is not null")
+    code = "hex(ascii(x.c))"
+    return rows.selectExpr(
+        "doc_id", "'unicode.' || rule as rule", f"case rule when 'bidi-control' then if({_is('x.c', 'override')}, 'high', 'medium') when 'soft-hyphen' then 'info' else 'low' end as severity",
+        "cast(1 + size(x.above) as bigint) as line", "cast(x.at - coalesce(try_element_at(x.above, -1), -1) as bigint) as col", f"'U+' || lpad({code}, greatest(4, length({code})), '0') as symbol",
+    )

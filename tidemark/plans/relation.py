@@ -41,7 +41,7 @@ class Relation:
         for name in self.inputs:
             if name not in made:
                 made[name] = RELATIONS[name].frame(spark, sf_dir, made) if name in RELATIONS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return self.over(**made) if self.inputs else spark.sql(self.sql)
+        return self.over(**made) if self.inputs else spark.sql(self.sql.format())
 
     def below(self) -> list[str]:
         """Names of the relations it needs, in an order of definition."""

@@ -90,14 +90,16 @@ from (
 """, "documents")
 
 relation("ev_commits", """
-select cast(cast(ts as date) as string) as commit_id, 'f' || cast(user_id % 50 as string) || '.py' as path,
+select 'repo' || cast(user_id % 50 as string) as repository, cast(cast(ts as date) as string) as commit_id, 'f' || cast(user_id as string) || '.py' as path,
   cast(1 + cast(floor(abs(value)) as bigint) % 60 as double) as cc, event_id
 from {events}
 """, "events")
 
 relation("ev_diagnostics", """
-select event_type as rule, substring(props, 1, 40) as message, case when event_id % 3 = 0 then 'error' else 'warning' end as severity, event_id as ord,
-  'f' || cast(user_id % 50 as string) || '.ts' as path
+select 'snap' || cast(event_id % 40 as string) as snapshot_id,
+  case event_id % 9 when 0 then 'TS2307' when 1 then 'TS7016' when 2 then 'TS2322' when 3 then 'TS2345' when 4 then 'class.notFound' when 5 then 'function.notFound'
+    when 6 then 'return.type' when 7 then case when event_id % 40 = event_id % 400 then 'trait.notFound' else 'argument.type' end else 'TS6059' end as rule,
+  event_type || ' ' || props as message, case when event_id % 3 = 0 then 'error' else 'warning' end as severity, event_id as ord, 'f' || cast(user_id as string) || '.ts' as path
 from {events}
 """, "events")
 
