@@ -207,3 +207,32 @@ def test_filter_gives_counts_to_a_factor(spark):
     assert d.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 1).count() > 0
     r = lm.scores(d).collect()
     assert len({x.score for x in r}) == 1 and r[0].score > r[0].base_score
+
+
+def brute_scores(texts: dict[int, str]) -> dict[int, float]:
+    """The model's scores from exact counts, by its definition."""
+    import math
+
+    tokens = {i: [*t.lower().split(), None] for i, t in texts.items()}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    words, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<", *t], t))
+    about = lambda c: max(1, 0.75 * 2 ** (int(math.log2(c)) + 1)) if c else 0.0
+    n, v = words.total(), len(words)
+
+    def one(before, w):
+        of = len(train) if before == "<" else about(words[before])
+        share = min(1.0, about(pairs[before, w]) / max(of, 1.0)) if of else 0.0
+        return math.log10(lm.MIX * share + (1 - lm.MIX) * min(1.0, (about(words[w]) + 0.5) / (n + 0.5 * (v + 1))))
+
+    return {i: sum(one(b, w) for b, w in zip(["<", *t], t)) for i, t in tokens.items()}
+
+
+@pytest.mark.parametrize("most_bytes", [24 << 20, 1 << 12, 0])
+def test_scores_are_those_of_the_counts_whatever_the_bound(spark, most_bytes):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3000)]
+    texts = {i: " ".join(words[int(k)] for k in np.minimum(2999, rng.zipf(1.3, 200) - 1)) for i in range(300)}
+    out = lm.scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), most_bytes).collect()
+    expected = brute_scores(texts)
+    # the filter takes a few absent n-grams, and a few counts, for more
+    assert np.mean([abs(r.score - expected[r.doc_id]) / r.n_tokens for r in out]) < 0.01
