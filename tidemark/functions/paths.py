@@ -50,3 +50,10 @@ def literal_path(path: str) -> str:
         f"({path} <> '' and length({path}) <= 4096 and not regexp_like({path}, r'[\\x00-\\x1f\\x7f\\\\:*?\\[\\]]') and not regexp_like({path}, r'^[/-]') "
         f"and not regexp_like({p}, r'(^|/)(|\\.|\\.\\.|\\.git)(/|$)'))"
     )
+
+
+def safe_link(path: str, target: str) -> str:
+    """A link whose target, followed from the link's folder, never leaves the tree: its depth is folded part by part."""
+    depth = f"(length({path}) - length(replace({path}, '/', '')))"
+    step = "case when d < 0 or part in ('', '.') then d when part = '..' then d - 1 else d + 1 end"
+    return f"({target} <> '' and not startswith({target}, '/') and aggregate(split({target}, '/'), {depth}, (d, part) -> {step}) >= 0)"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import base_name, in_scope, is_test, language, safe, suffix
+from ..functions.paths import in_scope, is_test, language, safe, safe_link, suffix
 from ..plans.relation import RELATIONS, relation
-from ..schema import EXCLUDED_DIRECTORIES, MAX_FILE_BYTES, MAX_TREE_BYTES
+from ..schema import EXCLUDED_DIRECTORIES, MAX_FILE_BYTES, MAX_FILES, MAX_TREE_BYTES
 
 relation("in_scope", "select relative_path, in_scope from {ev_files}", "ev_files")
 relation("test_paths", "select relative_path, is_test from {ev_files}", "ev_files")
@@ -62,14 +62,39 @@ select path, {safe("path")} as is_safe from (
   union all select source_dir || '/.git/' || cast(doc_id as string) from (select doc_id, regexp_extract(relative_path, r'^([^/]*)/', 1) as source_dir from {{ev_files}} where doc_id % 7 = 0) g) t
 """, "ev_files")
 
+# F-14: links must stay inside the tree
+relation("ev_links", """
+select doc_id, relative_path as path, case doc_id % 6 when 0 then '../x' when 1 then '../../x' when 2 then './a/../../y' when 3 then '/etc/x' when 4 then '' else 'a//b/.' end as target from {ev_files}
+""", "ev_files")
+relation("safe_links", f"select doc_id, path, target, {safe_link('path', 'target')} as is_safe from {{ev_links}}", "ev_links", check="""
+select doc_id, path, target, case target when '../x' then path like '%/%' when '../../x' then path like '%/%/%' when './a/../../y' then path like '%/%' when 'a//b/.' then true else false end as is_safe from {ev_links}
+""")
+
 # W-3, first variant: content is read while the bytes read before stay under the budget
 relation("running_budget", f"""
 select snapshot, relative_path, size_bytes, case when before >= 500000 then 0 else least(size_bytes, {MAX_FILE_BYTES + 1}, 500000 - before) end as bytes_read
-from (select doc_id % 20 as snapshot, relative_path, size_bytes,
-    coalesce(sum(size_bytes) over (partition by doc_id % 20 order by relative_path, doc_id rows between unbounded preceding and 1 preceding), 0) as before
+from (select cast(floor(doc_id / 500) as bigint) as snapshot, relative_path, size_bytes,
+    coalesce(sum(size_bytes) over (partition by cast(floor(doc_id / 500) as bigint) order by relative_path, doc_id rows between unbounded preceding and 1 preceding), 0) as before
   from {{ev_files}} where in_scope) t
 """, "ev_files")
 
+# W-3, second variant, and W-4: the check folds row by row; the queries are greedy_budget() and batch_packing()
+_ROWS = "r as (select cast(floor(doc_id / 500) as bigint) as snapshot, relative_path, size_bytes, row_number() over (partition by floor(doc_id / 500) order by relative_path, size_bytes) as k from {ev_files})"
+relation("greedy_budget", f"""
+with recursive {_ROWS},
+f as (select snapshot, relative_path, size_bytes, k, size_bytes <= 200000 as selected, case when size_bytes <= 200000 then size_bytes else 0 end as used from r where k = 1
+  union all select r.snapshot, r.relative_path, r.size_bytes, r.k, f.used + r.size_bytes <= 200000, case when f.used + r.size_bytes <= 200000 then f.used + r.size_bytes else f.used end from f join r on r.snapshot = f.snapshot and r.k = f.k + 1)
+select snapshot, relative_path, size_bytes, selected from f
+""", "ev_files")
+relation("batch_packing", f"""
+with recursive {_ROWS},
+f as (select snapshot, relative_path, size_bytes, k, cast(0 as bigint) as batch, 1 as held, size_bytes as used from r where k = 1
+  union all select r.snapshot, r.relative_path, r.size_bytes, r.k, case when f.held >= 32 or f.used + r.size_bytes > 524288 then f.batch + 1 else f.batch end,
+    case when f.held >= 32 or f.used + r.size_bytes > 524288 then 1 else f.held + 1 end, case when f.held >= 32 or f.used + r.size_bytes > 524288 then r.size_bytes else f.used + r.size_bytes end
+  from f join r on r.snapshot = f.snapshot and r.k = f.k + 1)
+select snapshot, relative_path, size_bytes, batch from f
+""", "ev_files")
+
 # J-2, S-10: paths of two trees by content hash
 relation("blob_hash", "select relative_path, doc_id, sha1('blob ' || cast(octet_length(content) as string) || char(0) || content) as oid from {ev_files}", "ev_files")
 for _side, _rule in (("base", "doc_id % 11 <> 0"), ("head", "doc_id % 13 <> 0")):
@@ -151,12 +176,20 @@ def tree_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     return RELATIONS["changed_paths"].over(base_tree=base, head_tree=head)
 
 
+def capped(group):
+    """T-7: a snapshot of more than MAX_FILES selected files is refused, so that an order-dependent fold stays bounded."""
+    if len(group) > MAX_FILES:
+        raise ValueError(f"a snapshot has more than {MAX_FILES} selected files")
+    return group
+
+
 def greedy_budget(files: DataFrame, limit: int = MAX_TREE_BYTES) -> DataFrame:
     """W-3, second variant: in path order an entry that would overflow is skipped and later smaller ones still fit.
 
-    The fold is order-dependent, so it is one group for each snapshot, as a cap of 20 000 files bounds it."""
+    The fold is order-dependent, so it is one group for each snapshot; more than MAX_FILES files are an error."""
 
     def fold(group):
+        group = capped(group)
         group = group.sort_values(["relative_path", "size_bytes"], kind="stable").reset_index(drop=True)
         used, taken = 0, []
         for size in group["size_bytes"]:
@@ -173,6 +206,7 @@ def batch_packing(files: DataFrame, most: int, most_bytes: int) -> DataFrame:
     """W-4: consecutive files of a snapshot in batches of bounded number and bytes; a larger file stands alone."""
 
     def fold(group):
+        group = capped(group)
         group = group.sort_values(["relative_path", "size_bytes"], kind="stable").reset_index(drop=True)
         batch, held, size, out = 0, 0, 0, []
         for s in group["size_bytes"]:

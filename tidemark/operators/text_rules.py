@@ -34,13 +34,15 @@ from (select o_orderkey, cast(regexp_extract(h, r'^@@ -([0-9]+)', 1) as bigint)
 """, "orders")
 
 # S-13, F-29 to F-32
-_GITHUB = "^(https?)://([A-Za-z0-9.-]+)/([^/]+/[^/]+)/pull/([1-9][0-9]*)(?:/(?:files|commits|checks))?/?$"
-_GITLAB = "^(https?)://([A-Za-z0-9.-]+)/(.+)/-/merge_requests/([1-9][0-9]*)(?:/(?:diffs|commits|changes|pipelines))?/?$"
+_HOST, _PROJECT = "^(https?)://([A-Za-z0-9.-]+(?::[0-9]+)?)/", "[A-Za-z0-9_.-]+"
+_GITHUB = _HOST + f"({_PROJECT}/{_PROJECT})/pull/([1-9][0-9]*)(?:/(?:files|commits|checks))?/?$"
+_GITLAB = _HOST + f"((?:{_PROJECT}/)+{_PROJECT})/-/merge_requests/([1-9][0-9]*)(?:/(?:diffs|commits|changes|pipelines))?/?$"
 _PART = lambda n: f"case when regexp_like(url, r'{_GITHUB}') then regexp_extract(url, r'{_GITHUB}', {n}) else regexp_extract(url, r'{_GITLAB}', {n}) end"
 relation("review_url", f"""
-select page_id, provider, host, project, cast(case when number <> '' then number end as bigint) as request_id,
-  case provider when 'github' then 'https://' || host || '/' || project || '/pull/' || number when 'gitlab' then 'https://' || host || '/' || project || '/-/merge_requests/' || number else '' end as url
-from (select page_id, case when regexp_like(url, r'{_GITHUB}') then 'github' when regexp_like(url, r'{_GITLAB}') then 'gitlab' else '' end as provider, {_PART(2)} as host, {_PART(3)} as project, {_PART(4)} as number from {{ev_urls}}) t
+select page_id, case when known then provider else '' end as provider, case when known then host else '' end as host, case when known then project else '' end as project, cast(case when known then number end as bigint) as request_id,
+  case when not known then '' when provider = 'github' then 'https://' || host || '/' || project || '/pull/' || number else 'https://' || host || '/' || project || '/-/merge_requests/' || number end as url
+from (select *, provider <> '' and not regexp_like('/' || project || '/', r'/[.][.]?/') as known
+  from (select page_id, case when regexp_like(url, r'{_GITHUB}') then 'github' when regexp_like(url, r'{_GITLAB}') then 'gitlab' else '' end as provider, lower({_PART(2)}) as host, {_PART(3)} as project, {_PART(4)} as number from {{ev_urls}}) t) u
 """, "ev_urls")
 
 # F-21

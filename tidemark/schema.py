@@ -31,6 +31,7 @@ GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"))
 BLOCKED_CAP = 20
 COMPLEXITY_LIMIT, DUPLICATION_LIMIT = 50, 60
 COMPLEXITY_MEASURES = ("cyclomatic_complexity", "shell-ast-decision-complexity-v1")
+# Folders out of scope, and languages by suffix.
 EXCLUDED_DIRECTORIES = (
     ".git", "node_modules", "vendor", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".pyscn", ".wily", "target",
     "build", "dist", ".next", ".gradle", ".idea",
@@ -41,5 +42,5 @@ LANGUAGES = {
     "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "rb": "ruby", "swift": "swift", "m": "objc", "mm": "objc", "scala": "scala", "lua": "lua",
     "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "php": "php", "sh": "shell",
 }
-MAX_FILE_BYTES, MAX_TREE_BYTES = 8 << 20, 256 << 20
+MAX_FILE_BYTES, MAX_TREE_BYTES, MAX_FILES = 8 << 20, 256 << 20, 20_000
 BATCH_FILES, BATCH_BYTES = 32, 512 << 10

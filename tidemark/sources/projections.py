@@ -104,7 +104,8 @@ from {events}
 """, "events")
 
 relation("ev_urls", """
-select page_id, case when page_id % 3 = 0 then 'https://github.com/org' || cast(page_id % 9 as string) || '/repo' || cast(page_id as string) || '/pull/' || cast(page_id as string) || case when page_id % 2 = 0 then '/files' else '' end
+select page_id, case when page_id % 21 = 6 then 'https://GitHub.com:8443/org/repo' || cast(page_id as string) || '/pull/7' when page_id % 33 = 9 then 'https://github.com/org/../pull/' || cast(page_id as string)
+  when page_id % 3 = 0 then 'https://github.com/org' || cast(page_id % 9 as string) || '/repo' || cast(page_id as string) || '/pull/' || cast(page_id as string) || case when page_id % 2 = 0 then '/files' else '' end
   when page_id % 3 = 1 then 'https://gitlab.com/group/sub' || cast(page_id % 9 as string) || '/proj/-/merge_requests/' || cast(page_id + 1 as string)
   when page_id % 7 = 0 then 'https://user:secret@host.example/x/y' else url end as url
 from {pages}
