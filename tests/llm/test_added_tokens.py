@@ -26,3 +26,12 @@ def both():
 def test_ids_equal_the_library_s(both, text):
     ids, library = both
     assert np.frombuffer(ids.of(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_random_texts_with_the_token(both):
+    ids, library = both
+    rng = np.random.default_rng(7)
+    parts = [TOKEN, " ", "  ", "\n", "a", "Word", "é", "中", "😀", "1", "'s", "<|", "|>", "endoftext", "\t", ".", "\u00a0"]
+    for _ in range(3000):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 14)))
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

@@ -236,3 +236,41 @@ def test_scores_are_those_of_the_counts_whatever_the_bound(spark, most_bytes):
     expected = brute_scores(texts)
     # the filter takes a few absent n-grams, and a few counts, for more
     assert np.mean([abs(r.score - expected[r.doc_id]) / r.n_tokens for r in out]) < 0.01
+
+
+def test_search_finds_the_least_determinant():
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        x = rng.normal(size=(13, len(rules.DIMS))) * np.array(list(rules.FLOOR.values())) * 4
+        near = int(np.searchsorted(np.arange(1, 14), rules.SHARE * 13)) + 1
+        brute = min(rules.moments(x[list(rows)], np.ones(near))[2] for rows in combinations(range(13), near))
+        assert rules.search(x, np.ones(13))[0][2] == pytest.approx(brute, abs=1e-9)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(list(rng.choice(words, 12)) + ["vile"] * (i % 4 == 0)) for i in range(160)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    examples = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    known = {t for i in examples for t in texts[i].split()}
+    have = {t: [sum(t in texts[i].split() for i in examples if (i % 4 == 0) == y) for y in (False, True)] for t in known}
+    n = [sum((i % 4 == 0) == y for i in examples) for y in (False, True)]
+    df = {t: sum(t in x.split() for x in texts.values()) for t in known}
+    weight = {t: (np.log(161 / (1 + df[t])) + 1e-3) * (np.log2(2 + have[t][1] / max(1, have[t][0] * n[1] / n[0])) - 0.99) for t in known}
+
+    def vector(text):
+        v = {t: (1 + np.log(c)) * weight[t] for t, c in Counter(text.split()).items() if t in known}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    held = {i: vector(texts[i]) for i in examples}
+    for r in toxicity.score(docs, model).collect():
+        q = vector(texts[r.doc_id])
+        best = sorted((-round(sum(x * v.get(t, 0.0) for t, x in q.items()), 6), i) for i, v in held.items())[: toxicity.K]
+        vote = sum(c * c * (i % 4 == 0) for c, i in best) / sum(c * c for c, _ in best)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * vote))), abs=0.02)

@@ -136,7 +136,6 @@ def test_op10_covers_each_id_once_with_little_padding(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_file())
-    t.encode_special_tokens = True
     rows = QUERIES["op10_packing"](spark, DATA).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
