@@ -9,8 +9,10 @@ remaining demand is filled largest first, and every tail finds its sequence from
 Ranks are a running count: within the written partition a row stands in, plus the counts of that class in earlier
 partitions. So no class, however large, meets in one task, and the driver sees only the histogram.
 
-Defined results: a null or empty text has the single id 0. Every row is packed; repeated rows count each. Ids don't
-depend on other columns.
+Defined results: a null or empty text has the single id 0. Every row is packed; repeated rows count each, and rows with
+one id have pieces each. Very long texts are cut into as many pieces as they need. Ties: tails of one class are equal to
+the plan, and go by their place in the table. Extra columns are not read, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations

@@ -3,14 +3,16 @@
 The model is of the BPE kind, for which a Viterbi pass over piece scores gives other ids than the library: BPE merges
 by rank and doesn't maximise a sum. The pass is therefore kept as dealt (one automaton over all pieces; at each
 position the output links give all pieces that end there, and the best one is kept), but a piece is relaxed only if BPE
-leaves it and the piece before it apart. For BPE exactly one piece at each position meets this, and the path through
-these pieces is BPE's own result, so ids equal the library's.
+leaves it and the piece before it apart. In terms of scores, the step between two pieces counts 0 where BPE leaves them
+apart and minus infinity elsewhere, and a position's best score is relaxed by the first step of 0; for BPE exactly one
+piece at each position has one, and the path through these pieces is BPE's own result, so ids equal the library's.
 
 A merge never crosses from another character to U+2581 (no piece has it after another character), so words are
 encoded once and remembered. Characters without a piece become their UTF-8 bytes' pieces.
 
 Defined results: null is empty text; empty text has no ids. Decoding gives the text back, but for U+2581, which the
-model itself can't tell from a space. Repeated rows count each. Other columns are not read.
+model itself can't tell from a space. Repeated rows count each. Very long texts are encoded whole. Other columns are not
+read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

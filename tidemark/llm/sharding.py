@@ -10,7 +10,7 @@ All counts are aggregations with partial sums by bucket. The directory, two numb
 joined, never collected.
 
 Defined results: null text has 0 bytes; rows with null id are sharded as others; every row is in exactly one shard, an
-empty table has none. Extra columns are not read.
+empty table has none. Repeated rows count each. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
