@@ -6,8 +6,8 @@ their boxes' upper corners; pairs below the overlap that 80 % asks for are never
 on their full sets. The points of all documents don't go into one tree: a tree is built for each bucket.
 
 Buckets. In any fixed order of shingles, two documents that reach 80 % share one of their n - ceil(0.8 n) + 1 first
-shingles, so that documents meet in the buckets of these. The order is by hash, with the shingles last that most
-documents of the whole table have (the order decides how many documents meet, not which pairs are found). Buckets of
+shingles, so that documents meet in the buckets of these. The order is by hash, with the shingles last that about
+FREQUENT * PART_COUNTED documents have (the order decides how many documents meet, not which pairs are found). Buckets of
 more than CELL documents are divided into CELL x CELL blocks that cover all their pairs.
 
 Groups of copies. Equal sets are one node; a node has a 64-bit name, or a second one where two different sets (by a
@@ -41,9 +41,9 @@ GROUPS = 128
 FINER = ((1000, 512), (4000, 2048), (16_000, 8192))
 KEYS = 3
 FIRSTS = 4
-#: A shingle is frequent if FREQUENT documents have it, of those that meet REPEATED others in their task's run of RUN
-#: shingles; the FREQUENT_MOST most frequent come last in the order.
-FREQUENT, REPEATED, RUN, FREQUENT_MOST = 64, 3, 2_000_000, 100_000
+#: A shingle is frequent if FREQUENT of the counted documents have it: one of PART_COUNTED documents, LEAST_COUNTED at
+#: least. The FREQUENT_MOST most frequent come last in the order.
+FREQUENT, PART_COUNTED, LEAST_COUNTED, FREQUENT_MOST = 4, 32, 2048, 400_000
 CELL = 1024
 LEAF, FANOUT = 32, 8
 #: Records of one bucket partition, and rows up to which a table of ids or keys is broadcast (8 bytes each).
@@ -61,27 +61,17 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The shingles that most documents of the table have, sorted; at most FREQUENT_MOST. Tasks send what repeats in a
-    run of documents, with its number, and the numbers are summed."""
-
-    def repeated(batches):
-        held, size = [], 0
-
-        def flush():
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([signed(s[n >= REPEATED]), pa.array(n[n >= REPEATED])], ["s", "n"])
+    """The shingles that most documents have, sorted; at most FREQUENT_MOST. They are counted over a fixed part of the
+    documents, chosen by hash, so that what counts as frequent doesn't grow with the table."""
+    rate = max(1 / PART_COUNTED, min(1.0, LEAST_COUNTED / max(1, docs.count())))
 
+    def explode(batches):
         for b in batches:
-            for s in shingle_sets(b.column("text"), WORDS):
-                held.append(s)
-                size += len(s)
-            if size > RUN:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+            found = list(shingle_sets(b.column("text"), WORDS))
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(found) if found else np.zeros(0, np.uint64))], ["s"])
 
-    seen = docs.select("text").mapInArrow(repeated, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20))).select("text")
+    seen = chosen.mapInArrow(explode, "s long").groupBy("s").agg(F.count("*").alias("n"))
     most = seen.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(FREQUENT_MOST).select("s").toArrow()
     return np.sort(most.column("s").to_numpy().view(np.uint64))
 
