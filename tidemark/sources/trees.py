@@ -1,65 +1,100 @@
 """Source trees as tables: a working folder, and a commit of a Git repository, by Python data sources.
 
-A folder is listed on the driver, which sees names only; tasks read the files of their slice. A commit's entries come
-from ls-tree, and blobs from one cat-file process for each slice.
+The driver lists the top folder only; each task lists and reads one subfolder, or one slice of the top folder's files. A
+commit's entries come from ls-tree, and blobs from cat-file processes over about BATCH bytes each. Folders out of scope are not
+entered. A log of commits and the patch between two commits are read the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import subprocess
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.changes import changed_lines
+from ..schema import EXCLUDED_DIRECTORIES
+
+EXCLUDED = frozenset(EXCLUDED_DIRECTORIES)
 SCHEMA = "relative_path string, mode string, oid string, size_bytes bigint, content binary, reason string"
-MAX_FILE_BYTES = 8 << 20
-SLICE = 64
+LOG_SCHEMA = "seq bigint, commit_id string, committed bigint"
+MAX_FILE_BYTES, MAX_PATCH_BYTES = 8 << 20, 16 << 20
+MAX_ENTRIES, MAX_DEPTH = 100_000, 64
+SLICE, BATCH = 256, 1 << 20
 
 
 def blob_oid(content: bytes) -> str:
     return hashlib.sha1(b"blob %d\0" % len(content) + content).hexdigest()
 
 
+def git(path: str, *args: str, given: bytes | None = None) -> bytes:
+    return subprocess.run(["git", "-C", path, *args], check=True, capture_output=True, timeout=300, input=given).stdout
+
+
 @dataclass
 class Paths(InputPartition):
-    rows: list[tuple[str, str, str, int]]  # path, mode, oid, size
+    """A subfolder that the task lists, or entries of the top folder: path, mode, oid, size."""
+
+    folder: str
+    rows: list[tuple[str, str, str, int]]
+
+
+def entries(path: str, commit: str, folder: str, deep: bool) -> tuple[list[tuple[str, str, str, int]], list[str]]:
+    """Files below a folder of a commit, and with deep=False only those in it, and its subfolders."""
+    out = git(path, "ls-tree", *(["-r"] if deep else []), "-z", "-l", commit, *([folder + "/"] if folder else []))
+    files, folders = [], []
+    for entry in out.decode("utf-8", "surrogateescape").split("\0")[:-1]:
+        facts, name = entry.split("\t", 1)
+        mode, kind, oid, size = facts.split()
+        if kind == "tree":
+            folders.append(name)
+        elif kind != "blob" or mode not in ("100644", "100755", "120000"):
+            raise RuntimeError(f"entry that isn't a file: {mode} {kind}")
+        else:
+            files.append((name, mode, oid, int(size)))
+    return files, folders
+
+
+def listed(path: str, folder: str, deep: bool) -> tuple[list[tuple[str, str, str, int]], list[str]]:
+    """The same of a working folder; links are not followed."""
+    files, folders, todo = [], [], [(folder, 0)]
+    while todo:
+        here, depth = todo.pop()
+        if depth > MAX_DEPTH or len(files) > MAX_ENTRIES:
+            raise RuntimeError("the folder has too many entries or levels")
+        for e in sorted(os.scandir(os.path.join(path, here)), key=lambda e: e.name):
+            name = f"{here}/{e.name}" if here else e.name
+            if e.is_dir(follow_symlinks=False):
+                if e.name in EXCLUDED_DIRECTORIES:
+                    continue
+                (todo.append((name, depth + 1)) if deep else folders.append(name))
+            else:
+                info = e.stat(follow_symlinks=False)
+                files.append((name, "120000" if e.is_symlink() else "100755" if info.st_mode & 0o100 else "100644", "", info.st_size))
+    return files, folders
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, path: str, commit: str, with_content: bool):
         self.path, self.commit, self.with_content = path, commit, with_content
 
+    def below(self, folder: str, deep: bool) -> tuple[list[tuple[str, str, str, int]], list[str]]:
+        return entries(self.path, self.commit, folder, deep) if self.commit else listed(self.path, folder, deep)
+
     def partitions(self) -> list[Paths]:
-        rows = sorted(self.listed())
-        return [Paths(rows[i : i + SLICE]) for i in range(0, len(rows), SLICE)] or [Paths([])]
-
-    def listed(self) -> list[tuple[str, str, str, int]]:
-        if self.commit:
-            out = subprocess.run(["git", "-C", self.path, "ls-tree", "-r", "-z", "-l", self.commit], check=True, capture_output=True, timeout=120).stdout
-            rows = []
-            for entry in out.decode("utf-8", "surrogateescape").split("\0")[:-1]:
-                facts, path = entry.split("\t", 1)
-                mode, kind, oid, size = facts.split()
-                if kind != "blob" or mode not in ("100644", "100755", "120000"):
-                    raise RuntimeError(f"entry that isn't a file: {mode} {kind}")
-                rows.append((path, mode, oid, int(size)))
-            return rows
-        rows = []
-        for folder, names, files in os.walk(self.path):
-            names[:] = sorted(n for n in names if n != ".git")
-            for n in files:
-                full = os.path.join(folder, n)
-                info = os.lstat(full)
-                link = os.path.islink(full)
-                rows.append((os.path.relpath(full, self.path), "120000" if link else "100755" if info.st_mode & 0o100 else "100644", "", info.st_size))
-        return rows
+        rows, folders = self.below("", False)
+        slices = [Paths("", rows[i : i + SLICE]) for i in range(0, len(rows), SLICE)]
+        return [*slices, *(Paths(f, []) for f in folders)] or [Paths("", [])]
 
     def read(self, partition: Paths):
-        bodies = self.blobs(partition.rows) if self.commit else (self.file(r) for r in partition.rows)
-        for (path, mode, oid, size), (content, reason) in zip(partition.rows, bodies):
+        rows = self.below(partition.folder, True)[0] if partition.folder else partition.rows
+        rows = [r for r in rows if not EXCLUDED.intersection(r[0].split("/")[:-1])]
+        bodies = self.blobs(rows) if self.commit else (self.file(r) for r in rows)
+        for (path, mode, oid, size), (content, reason) in zip(rows, bodies):
             yield path, mode, oid or (blob_oid(content) if content is not None else None), size, content if self.with_content else None, reason
 
     def file(self, row: tuple[str, str, str, int]) -> tuple[bytes | None, str]:
@@ -78,8 +113,18 @@ class TreeReader(DataSourceReader):
         return content, ""
 
     def blobs(self, rows: list[tuple[str, str, str, int]]):
+        batch, size = [], 0
+        for r in rows:
+            batch.append(r)
+            size += min(r[3], MAX_FILE_BYTES)
+            if size >= BATCH:
+                yield from self.contents(batch)
+                batch, size = [], 0
+        yield from self.contents(batch)
+
+    def contents(self, rows: list[tuple[str, str, str, int]]):
         wanted = [r for r in rows if r[3] <= MAX_FILE_BYTES]
-        out = subprocess.run(["git", "-C", self.path, "cat-file", "--batch"], input="".join(r[2] + "\n" for r in wanted).encode(), check=True, capture_output=True, timeout=300).stdout
+        out = git(self.path, "cat-file", "--batch", given="".join(r[2] + "\n" for r in wanted).encode()) if wanted else b""
         at, found = 0, {}
         for r in wanted:
             end = out.index(b"\n", at)
@@ -106,6 +151,48 @@ class SourceTree(DataSource):
         return TreeReader(self.options["path"], self.options.get("commit", ""), self.options.get("content", "true") != "false")
 
 
-def tree(spark: SparkSession, path: str, commit: str = "", content: bool = True):
+def tree(spark: SparkSession, path: str, commit: str = "", content: bool = True) -> DataFrame:
     spark.dataSource.register(SourceTree)
     return spark.read.format("tidemark_tree").option("commit", commit).option("content", str(content).lower()).load(path)
+
+
+class LogReader(DataSourceReader):
+    def __init__(self, path: str, anchor: str, limit: int):
+        self.path, self.anchor, self.limit = path, anchor, limit
+
+    def read(self, partition):
+        lines = git(self.path, "log", "--first-parent", f"--max-count={self.limit}", "--format=%H %ct", self.anchor, "--").decode().split("\n")
+        for seq, line in enumerate(reversed([x for x in lines if x])):
+            commit, when = line.split()
+            if not re.fullmatch("[0-9a-f]{40}|[0-9a-f]{64}", commit):
+                raise RuntimeError("not a commit id")
+            yield seq, commit, int(when)
+
+
+class CommitLog(DataSource):
+    """Format "tidemark_log": first-parent commits from the oldest on. Options: path, anchor, limit."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidemark_log"
+
+    def schema(self) -> str:
+        return LOG_SCHEMA
+
+    def reader(self, schema) -> LogReader:
+        return LogReader(self.options["path"], self.options.get("anchor", "HEAD"), int(self.options.get("limit", "10")))
+
+
+def log(spark: SparkSession, path: str, anchor: str = "HEAD", limit: int = 10) -> DataFrame:
+    spark.dataSource.register(CommitLog)
+    return spark.read.format("tidemark_log").option("anchor", anchor).option("limit", limit).load(path)
+
+
+def comparison(spark: SparkSession, path: str, base: str, head: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides' files (side, and the columns of a tree), and the changed lines between them (side, path, start_line,
+    end_line). A patch that is too large gives no changed lines but one row with a null path: the map is unknown."""
+    sides = [tree(spark, path, commit).selectExpr(f"'{side}' as side", "*") for side, commit in (("base", base), ("head", head))]
+    patch = git(path, "-c", "core.quotePath=false", "diff", "--no-color", "--no-ext-diff", "--no-renames", "--patch", "--unified=0", base, head, "--")
+    known = len(patch) <= MAX_PATCH_BYTES
+    rows = [("", patch.decode("utf-8", "replace") if known else None)]
+    return sides[0].unionByName(sides[1]), changed_lines(spark.createDataFrame(rows, "snapshot_id string, patch string")).drop("snapshot_id")
