@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..schema import EXCLUDED_DIRECTORIES, LANGUAGES
-from .policy import lookup
 
 
 def base_name(path: str) -> str:
@@ -28,7 +27,9 @@ def in_scope(path: str) -> str:
 
 
 def language(path: str) -> str:
-    return f"(case when endswith(lower({path}), '.blade.php') then 'php-blade' else {lookup(suffix(path), LANGUAGES, "''")} end)"
+    """The language of a suffix, looked up in one text so that the suffix is computed once."""
+    table = "|".join(f"{k}={v}" for k, v in LANGUAGES.items())
+    return f"(case when endswith(lower({path}), '.blade.php') then 'php-blade' else split_part(split_part('|{table}|', '|' || {suffix(path)} || '=', 2), '|', 1) end)"
 
 
 def is_test(path: str) -> str:

@@ -24,8 +24,12 @@ from {ev_findings} where metric = 'cyclomatic_complexity' and value > 10
 
 # A-10
 relation("complexity_summary", """
-select snapshot_id, count(value) as functions, coalesce(max(value), 0.0) as max_cc, bround(coalesce(avg(value), 0.0), 4) as average_cc from {ev_findings} where metric = 'cyclomatic_complexity' group by snapshot_id
-""", "ev_findings")
+select s.snapshot_id, s.stage_id, coalesce(f.functions, 0) as functions, case when f.functions is not null or s.status <> 'limited' then coalesce(f.max_cc, cast(0 as double)) end as max_cc,
+  case when f.functions is not null or s.status <> 'limited' then bround(coalesce(f.average_cc, cast(0 as double)), 4) end as average_cc
+from {ev_stages} s left join (select snapshot_id, stage_id, count(value) as functions, max(value) as max_cc, avg(value) as average_cc from {ev_findings} where metric <> '' group by snapshot_id, stage_id) f
+  on f.snapshot_id = s.snapshot_id and f.stage_id = s.stage_id
+where s.category = 'complexity'
+""", "ev_stages", "ev_findings")
 # A-11, E-16: maintainability of files from their volume, complexity and lines; under 20 is a finding
 relation("mi_average", """
 select snapshot_id, bround(avg(mi), 4) as average_mi, count_if(mi < 20) as low, count(*) as files

@@ -12,24 +12,42 @@ from ..schema import EXCLUDED_DIRECTORIES, MAX_FILE_BYTES, MAX_FILES, MAX_TREE_B
 relation("in_scope", "select relative_path, in_scope from {ev_files}", "ev_files")
 relation("test_paths", "select relative_path, is_test from {ev_files}", "ev_files")
 relation("languages", "select language, count(*) as files, count_if(not is_test) as production_files from {ev_files} where language <> '' group by language", "ev_files")
+# Suffixes of the function-complexity stage, and languages that a call analyzer reads or that need none.
+MEASURED_SUFFIXES = (
+    "py", "java", "c", "h", "cpp", "hpp", "cc", "cxx", "cs", "go", "rs", "rb", "swift", "m", "mm", "scala", "lua", "php", "kt", "kts", "ttcn", "ttcnpp", "gd", "zig",
+)
+CALL_LANGUAGES = ("python", "javascript", "typescript", "java", "shell", "php", "php-blade", "", "unknown", "text")
+_quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+
+# P-3, P-7: production files of measured suffixes, PHP apart
 relation("language_slice", f"""
-select relative_path, language, size_bytes from {{ev_files}} where in_scope and not is_test and language in ('python', 'typescript', 'java') and {suffix("relative_path")} in ('py', 'ts', 'java')
+select relative_path, language, size_bytes from {{ev_files}} where in_scope and language <> '' and not is_test and language not in ('php', 'php-blade') and {suffix("relative_path")} in ({_quoted(MEASURED_SUFFIXES)})
 """, "ev_files")
 
-# A-14 with P-2, and the caps as content limits
-relation("inventory", f"""
-select count(*) as files, count_if(language <> '' and not is_test) as production_files, count(distinct case when language <> '' then language end) as languages, sum(size_bytes) as bytes,
-  count_if(size_bytes > {MAX_FILE_BYTES}) as oversized, cast(max(size_bytes) as bigint) as largest
+# What acquisition found: files of a snapshot, with sizes that reach beyond the budget of one file
+relation("ev_scope", f"""
+select cast(floor(doc_id / 500) as bigint) as snapshot, relative_path, language, is_test, size_bytes * 997 as size_bytes,
+  case when doc_id % 31 = 0 then 'binary-asset' when size_bytes * 997 > {MAX_FILE_BYTES} then 'possible-source' else 'text' end as classification
 from {{ev_files}} where in_scope
 """, "ev_files")
+
+# A-14, S-14 with P-2: counters by classification; what may be source and isn't inventoried limits the stage
+relation("inventory", """
+select snapshot, count_if(classification = 'text') as files, count_if(classification = 'text' and language <> '' and not is_test) as production_files,
+  count(distinct case when classification = 'text' and language <> '' then language end) as languages, coalesce(sum(case when classification = 'text' then size_bytes end), 0) as bytes,
+  count_if(classification = 'binary-asset') as binary_asset_files, count_if(classification = 'possible-source') as omitted_possible_source_files, count_if(classification <> 'binary-asset') as eligible_files,
+  case when count_if(classification = 'possible-source') > 0 then 'limited' else 'ok' end as status
+from {ev_scope} group by snapshot
+""", "ev_scope")
 relation("excluded_directories", f"""
 select d as directory, count(*) as files from (select regexp_extract(relative_path, r'(?:^|/)({"|".join(x.replace(".", r"[.]") for x in EXCLUDED_DIRECTORIES)})/', 1) as d from {{ev_files}} where not in_scope) t group by d
 """, "ev_files")
 
 # P-6
-relation("scope_manifest", f"""
-select relative_path, size_bytes, 'possible-source' as classification, 'Content exceeds per-file text acquisition budget' as reason from {{ev_files}} where in_scope and size_bytes > 20000
-""", "ev_files")
+relation("scope_manifest", """
+select snapshot, relative_path, size_bytes, classification, case classification when 'binary-asset' then 'Recognized binary asset' else 'Content exceeds per-file text acquisition budget' end as reason
+from {ev_scope} where classification <> 'text'
+""", "ev_scope")
 
 # F-11, F-12: contents of every form, as hexadecimal text; the query is classified() over their bytes
 relation("ev_contents", """
@@ -116,7 +134,7 @@ relation("foreign_locations", "select f.snapshot_id, f.path, count(*) as finding
          check="select f.snapshot_id, f.path, count(*) as findings from {ev_head} f where f.path <> '' and f.path not in (select path from {ev_changed_lines}) group by f.snapshot_id, f.path")
 relation("omitted_paths", "select m.relative_path, m.reason from {scope_manifest} m left anti join {language_slice} s on m.relative_path = s.relative_path", "scope_manifest", "language_slice",
          check="select m.relative_path, m.reason from {scope_manifest} m anti join {language_slice} s on m.relative_path = s.relative_path")
-relation("unsupported_languages", "select language from {languages} where language not in (select 'python' union all select 'java' union all select 'shell')", "languages")
+relation("unsupported_languages", f"select language from {{languages}} where language not in ({_quoted(CALL_LANGUAGES)})", "languages")
 
 # A-15
 relation("hygiene_facts", """

@@ -84,7 +84,7 @@ relation("ev_files", f"""
 select path as relative_path, {language("path")} as language, {is_test("path")} as is_test, size_bytes, text as content, {in_scope("path")} as in_scope, doc_id
 from (
   select case when doc_id % 5 = 0 then 'tests/' when doc_id % 17 = 0 then 'vendor/' else '' end || source || '/doc_' || cast(doc_id as string)
-      || case lang when 'en' then '.py' when 'de' then '.ts' when 'fr' then '.java' else '.txt' end as path,
+      || case lang when 'en' then case when doc_id % 8 = 3 then '.rs' else '.py' end when 'de' then case when doc_id % 8 = 3 then '.php' else '.ts' end when 'fr' then case when doc_id % 8 = 3 then '.blade.php' else '.java' end else '.txt' end as path,
     cast(octet_length(text) as bigint) as size_bytes, text, doc_id
   from {{documents}}) t
 """, "documents")
