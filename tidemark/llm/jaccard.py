@@ -13,8 +13,8 @@ more than CELL documents are divided into CELL x CELL blocks that cover all thei
 Groups of copies. Equal sets are one node; a node has a 64-bit name, or a second one where two different sets (by a
 128-bit hash) have the first in common. Nodes with one of KEYS equal minimum hashes are first verified against the
 least node with that hash, which costs one pair for each node. Buckets whose nodes are then all in one component are
-done. In the others FIRSTS nodes are verified with those they often meet, and in the end only pairs across components
-count. So a large group of copies is not expanded into its pairs.
+done. In the others FIRSTS nodes are verified with those they often meet, again with other nodes as long as one pair of
+PROGRESS is a link, and in the end only pairs across components count. So a large group of copies is not expanded into its pairs.
 
 Defined results: words are runs of bytes other than 0x20 and 0x09-0x0D, after A-Z are lowered. A text of one to four words has one shingle, the
 whole sequence; null and empty texts, and texts of white space, have none, and stand alone. Repeated rows, ids that are
@@ -40,7 +40,7 @@ WORDS = 5
 GROUPS = 128
 FINER = ((1000, 512), (4000, 2048), (16_000, 8192))
 KEYS = 3
-FIRSTS = 4
+FIRSTS, PROGRESS = 4, 32
 #: A shingle is frequent if FREQUENT of the counted documents have it: one of PART_COUNTED documents, LEAST_COUNTED at
 #: least. The FREQUENT_MOST most frequent come last in the order.
 FREQUENT, PART_COUNTED, LEAST_COUNTED, FREQUENT_MOST = 4, 32, 2048, 400_000
@@ -331,11 +331,11 @@ def moved(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(small(now), "node", "left").withColumn("component", F.coalesce("_now", "component")).drop("_now")
 
 
-def likely(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that would join large groups of copies: a bucket's first node, in FIRSTS orders of all nodes, with
-    others of its buckets, if they share a third of a prefix. At most FIRSTS pairs for each row, and only a short
-    cut: what is left out here is found by candidates()."""
-    order = lambda k: F.struct(F.xxhash64("node", F.lit(k)), "node", "component", "n")
+def likely(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) that would join large groups of copies: a bucket's first node, in FIRSTS orders of all nodes that differ
+    by turn, with others of its buckets, if they share a third of a prefix. At most FIRSTS pairs for each row, and only a
+    short cut: what is left out here is found by candidates()."""
+    order = lambda k: F.struct(F.xxhash64("node", F.lit(k + turn * FIRSTS)), "node", "component", "n")
     first = rows.groupBy("key").agg(F.array_distinct(F.array(*(F.min(order(k)).dropFields("col1") for k in range(FIRSTS)))).alias("f"))
     met = rows.join(first, "key").select("node", "component", "n", F.explode("f").alias("x"))
     met = met.where((F.col("component") != F.col("x.component")) & (5 * F.col("n") >= 4 * F.col("x.n")) & (5 * F.col("x.n") >= 4 * F.col("n")))
@@ -420,13 +420,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     located = moved(full.withColumn("component", F.col("node")), groups)
     links, mixed = first, mixed_buckets(located)
     if not mixed.isEmpty():
-        rows = members(located, mixed)
-        more = verified(docs, full, likely(rows), shared)
-        if not more.isEmpty():
-            links = written(links.union(more), "links")
-            groups = written(connected(links), "groups")
-            rows = written(moved(rows, groups), "members")
-            located = moved(located, groups)
+        rows, turn = members(located, mixed), 0
+        while True:
+            pairs = written(likely(rows, turn), "likely")
+            more = verified(docs, full, pairs, shared)
+            found = more.count()
+            if found:
+                links = written(links.union(more), "links")
+                groups = written(connected(links), "groups")
+                rows = written(moved(rows, groups), "members")
+                located = moved(located, groups)
+            # each turn joins more of a large group; when few pairs are links, what is left are pairs for the trees
+            if found * PROGRESS < pairs.count():
+                break
+            turn += 1
         links = links.union(verified(docs, full, candidates(located, rows), shared))
     links = written(links, "links")
     groups = written(connected(links), "groups") if not links.isEmpty() else None
