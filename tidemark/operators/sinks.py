@@ -32,11 +32,12 @@ def receipts(assessments: DataFrame, stages: DataFrame, findings: DataFrame) ->
 
 
 def compact(deltas: DataFrame, roll_up: DataFrame) -> DataFrame:
-    """One JSON document of a comparison without its two snapshots."""
-    rows = deltas.agg(F.array_sort(F.collect_list(F.struct("stage_id", *[c for c in deltas.columns if c != "stage_id"]))).alias("deltas"))
-    return rows.crossJoin(roll_up.select(F.struct("*").alias("delta_assessment"))).select(
-        F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("comparison").alias("mode"), "deltas", "delta_assessment"), {"ignoreNullFields": "false"}).alias("document")
-    )
+    """One JSON document for each comparison, without its two snapshots: its stages' deltas and the roll-up. A comparison
+    has one delta for each stage, so its list is as short as its report."""
+    rows = deltas.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct("stage_id", *[c for c in deltas.columns if c not in ("snapshot_id", "stage_id")]))).alias("deltas"))
+    whole = rows.join(roll_up.select("snapshot_id", F.struct(*[c for c in roll_up.columns if c != "snapshot_id"]).alias("delta_assessment")), "snapshot_id")
+    document = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("comparison").alias("mode"), "deltas", "delta_assessment")
+    return whole.select("snapshot_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def report_lines(assessments: DataFrame, as_markdown: bool = False) -> DataFrame:
