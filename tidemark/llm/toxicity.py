@@ -85,7 +85,8 @@ class BlockMaxIndex:
         first = np.zeros(len(bound), bool)
         first[np.argsort(-bound, kind="stable")[:FIRST]] = True
         score = self.scored(segment, weight, first[block], skip)
-        best = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        some = score[np.repeat(first, BLOCK)[: self.size]]
+        best = np.partition(some, -k)[-k] if len(some) > k else 0.0
         others = ~first & (bound > 0) & (bound >= best - 1e-9)
         if 2 * others.sum() > len(bound):  # most blocks are left: whole postings cost less than picked segments
             score = self.added(*spread(self.of_term[at], self.of_term[at + 1]), w, skip)
@@ -132,11 +133,12 @@ class Model:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, with length 1 over the indexed terms."""
-        known = self.vocabulary.get
-        found = [(i, n) for t, n in Counter(terms(text)).items() if (i := known(t)) is not None]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, n = np.array(sorted(found), np.int64).T
+        known = self.vocabulary
+        tf = Counter(terms(text))
+        found = [t for t in tf if t in known]
+        at, n = (np.fromiter(map(of.__getitem__, found), np.int64, len(found)) for of in (known, tf))
+        order = np.argsort(at)
+        at, n = at[order], n[order]
         return at, unit((1 + np.log(n)) * self.weight[at])
 
     def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
