@@ -74,6 +74,12 @@ def test_packing_covers_every_row(docs, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_packing_doesn_t_read_other_columns(docs):
+    facts = lambda d: Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packing.pack(d).collect())
+    other = {"length": F.lit(7), "class": F.lit("x"), "uid": F.lit("x"), "part": F.lit("x"), "rank": F.lit("x"), "sequence_id": F.lit("x")}
+    assert facts(docs.withColumns(other)) == facts(docs.select("doc_id", "text"))
+
+
 def test_stages_keep_the_columns(docs, empty, labels):
     for d in (docs, empty):
         for stage in (

@@ -25,6 +25,7 @@ them. An empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -205,19 +206,26 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[i
     return n, df
 
 
-def example_counts(texts: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarray]]:
-    """(doc_id, label, terms, counts) of each example, by id; as bounded as EXAMPLE_BYTES of text are."""
+def example_counts(texts: DataFrame) -> tuple[dict[bytes, int], list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """The terms of all examples, numbered, and (doc_id, label, terms, counts) of each example, by id; as bounded as
+    EXAMPLE_BYTES of text are."""
 
     def count(batches):
         for b in batches:
             found = [Counter(terms(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("label"), pa.array([b" ".join(f) for f in found], pa.binary()), pa.array([np.fromiter(f.values(), "<i8", len(f)).tobytes() for f in found], pa.binary())],
+                [b.column("doc_id"), b.column("label"), pa.array([b" ".join(f) for f in found], pa.binary()), pa.array([np.fromiter(f.values(), "<i4", len(f)).tobytes() for f in found], pa.binary())],
                 ["doc_id", "label", "terms", "counts"],
             )
 
-    rows = texts.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, terms binary, counts binary").collect()
-    return [(r["doc_id"], r["label"], bytes(r["terms"]).split(), np.frombuffer(r["counts"], "<i8")) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    table = texts.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, terms binary, counts binary").toArrow().sort_by("doc_id")
+    vocabulary: dict[bytes, int] = {}
+    out = []
+    for doc_id, label, found, counts in zip(*(table.column(c) for c in ("doc_id", "label", "terms", "counts"))):
+        at = np.array([vocabulary.setdefault(t, len(vocabulary)) for t in found.as_py().split()], np.int64)
+        order = np.argsort(at)
+        out.append((doc_id.as_py(), label.as_py(), at[order].astype(np.int32), np.frombuffer(counts.as_py(), "<i4")[order]))
+    return vocabulary, out
 
 
 def relevance(found: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
@@ -230,38 +238,35 @@ def relevance(found: list[tuple[int, np.ndarray]], size: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = FOLDS, left_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Model:
     sample, stands_for = label_sample(labels, "toxic", modulus, left_out, per_class)
-    rows = example_counts(sampled_texts(docs, sample, EXAMPLE_BYTES))
+    vocabulary, rows = example_counts(sampled_texts(docs, sample, EXAMPLE_BYTES))
     n = Counter(y for _, y, _, _ in rows)
     share = n[1] * stands_for[1] / max(1e-9, n[0] * stands_for[0] + n[1] * stands_for[1])
-    nothing = Model({}, np.zeros(0), None, np.zeros(0), np.zeros(0, np.int64), share)
-    vocabulary = {t: i for i, t in enumerate(sorted({t for _, _, found, _ in rows for t in found}))}
     if not n[0] or not n[1] or not vocabulary:
-        return nothing
+        return Model({}, np.zeros(0), None, np.zeros(0), np.zeros(0, np.int64), share)
     documents, df = document_frequency(docs, vocabulary)
     weight = np.log((1 + documents) / (1 + np.minimum(df, documents))) + 1e-3
-    ids = [np.fromiter(map(vocabulary.__getitem__, found), np.int64, len(found)) for _, _, found, _ in rows]
-    weight *= relevance([(r[1], at) for r, at in zip(rows, ids)], len(vocabulary))
-    groups: dict[tuple, list] = {}
-    for (doc_id, label, _, counts), at in zip(rows, ids):
-        order = np.argsort(at)
-        groups.setdefault((at[order].tobytes(), counts[order].tobytes()), []).append((doc_id, label))
-    weigh = lambda g: sum(stands_for[y] for _, y in g)
-    bare = groups.pop((b"", b""), [])
-    vectors = []
-    for (at, counts), members in groups.items():
-        at = np.frombuffer(at, np.int64)
-        w = unit((1 + np.log(np.frombuffer(counts, np.int64))) * weight[at])
-        vectors.append((int(at[w.argmax()]), members[0][0], at, w, members))
-    vectors.sort(key=lambda v: v[:2])  # examples with the same foremost term stand in one block
-    sizes = [len(v[2]) for v in vectors]
-    index = BlockMaxIndex(np.repeat(np.arange(len(vectors)), sizes), np.concatenate([v[2] for v in vectors]), np.concatenate([v[3] for v in vectors]), len(vectors), len(vocabulary))
-    toxic = np.array([sum(stands_for[1] for _, y in v[4] if y) / weigh(v[4]) for v in vectors])
-    empty = sum(stands_for[1] for _, y in bare if y) / weigh(bare) if bare else share
-    model = Model(vocabulary, weight, index, toxic, np.array([v[1] for v in vectors], np.int64), empty)
+    weight *= relevance([(y, at) for _, y, at, _ in rows], len(vocabulary))
+    groups: dict[bytes, list[int]] = {}  # rows of equal terms and counts
+    for i, (_, _, at, counts) in enumerate(rows):
+        groups.setdefault(blake2b(at.tobytes() + counts.tobytes(), digest_size=16).digest(), []).append(i)
+    weigh = lambda g: sum(stands_for[rows[i][1]] for i in g)
+    toxic_of = lambda g: sum(stands_for[1] for i in g if rows[i][1]) / weigh(g)
+    bare = [i for i, r in enumerate(rows) if not len(r[2])]
+    every = []
+    for members in groups.values():
+        at, counts = rows[members[0]][2:]
+        if len(at):
+            w = unit((1 + np.log(counts)) * weight[at])
+            every.append((int(at[w.argmax()]), rows[members[0]][0], at, w.astype(np.float32), members))
+    every.sort(key=lambda v: v[:2])  # examples with the same foremost term stand in one block
+    index = BlockMaxIndex(np.repeat(np.arange(len(every), dtype=np.int32), [len(v[2]) for v in every]), np.concatenate([v[2] for v in every]), np.concatenate([v[3] for v in every]), len(every), len(vocabulary))
+    toxic, stands = np.array([toxic_of(v[4]) for v in every]), np.array([weigh(v[4]) for v in every])
+    model = Model(vocabulary, weight, index, toxic, np.array([v[1] for v in every], np.int64), toxic_of(bare) if bare else share)
+    del rows, groups, every
     votes = left_out_votes(docs, model)
     known = votes >= 0
     if known.any():
-        x, w = np.stack([np.ones(known.sum()), votes[known]], 1), np.array([weigh(v[4]) for v in vectors])[known]
+        x, w = np.stack([np.ones(known.sum()), votes[known]], 1), stands[known]
         a, b = logistic(np.concatenate([x, x]), np.repeat([1.0, 0.0], known.sum()), np.concatenate([w * toxic[known], w * (1 - toxic[known])]) + 1e-9)
         model.curve = (float(a), float(b))
     return model
