@@ -32,8 +32,8 @@ from .common import fold, slices, written
 from .textvec import U, mix, text_chunks, words
 
 FOLDS, HELD_OUT = 5, 1
-#: Bound of what is broadcast of the filter.
-FILTER_BYTES = 24 << 20
+#: Bound of what is broadcast of the filter; a worker holds it once.
+FILTER_BYTES = 160 << 20
 BITS, PROBES = 12, 4
 COMMON = 400_000
 MIX = 0.4
@@ -163,15 +163,16 @@ def place(kind: int, h: np.ndarray, ranges: tuple[int, int]) -> tuple[np.ndarray
 class Filter:
     """The broadcast part: segments of bits, one for each kind and range, with the n-grams from level least[kind] on."""
 
-    def __init__(self, segments: list[tuple[int, int, bytes]], ranges: tuple[int, int], least: tuple[int, int], tokens_: int, distinct: int, documents: int):
+    def __init__(self, segments, ranges: tuple[int, int], least: tuple[int, int], tokens_: int, distinct: int, documents: int):
         self.ranges, self.least, self.tokens, self.distinct, self.documents = ranges, least, tokens_, distinct, documents
         self.first, self.bits = ([np.zeros(n, np.uint64) for n in ranges] for _ in range(2))
         at, raw = 0, []
-        for kind, part, x in segments:
-            self.first[kind][part], self.bits[kind][part] = at, 8 * len(x)
+        for kind, part, x in segments:  # Arrow scalars: kind, range, bits
+            x = np.frombuffer(x.as_buffer(), np.uint8)
+            self.first[kind.as_py()][part.as_py()], self.bits[kind.as_py()][part.as_py()] = at, 8 * len(x)
             at += 8 * len(x)
             raw.append(x)
-        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.data = np.concatenate([np.zeros(0, np.uint8), *raw])
 
     def level(self, kind: int, h: np.ndarray) -> np.ndarray:
         part, key = place(kind, h, self.ranges)
@@ -214,9 +215,9 @@ def build(grams: DataFrame, ranges: tuple[int, int], documents: int, most_bytes:
     entries = lambda k: need[k]["levels"][least[k] - 1] if k in need else 0
     while entries(0) + entries(1) > room and min(least) < LEVELS:
         least[1 if entries(1) > room // 2 and least[1] < LEVELS or least[0] >= LEVELS else 0] += 1
-    segments = filled(grams, tuple(least)).where("length(bits) > 0").collect()  # most_bytes together
+    segments = filled(grams, tuple(least)).where("length(bits) > 0").toArrow()  # most_bytes together
     words_ = need.get(0)
-    return Filter([(r["kind"], r["part"], bytes(r["bits"])) for r in segments], ranges, tuple(least), words_["total"] if words_ else 0, words_["n"] if words_ else 0, documents)
+    return Filter(zip(*(segments.column(c) for c in ("kind", "part", "bits"))), ranges, tuple(least), words_["total"] if words_ else 0, words_["n"] if words_ else 0, documents)
 
 
 #: What a request says of one pair in one document: hashes of the word before, of the word and of the pair (32 bits beside
