@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .alignment import align
 from .common import documents, table
 from .jaccard import jaccard_components
+from .licenses import license_scan
 from .lm import scores
 from .media import media_columns
 from .packing import pack
@@ -60,6 +61,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(documents(spark, sf_dir), digest=True)
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
+    "op12_license_scans": op12_license_scans,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
