@@ -15,6 +15,7 @@ from .media import media_columns
 from .packing import pack
 from .pii import personal_data
 from .pieces import round_trip
+from .prefixes import conversation_prefixes
 from .quality import quality
 from .rules import quality_rules
 from .sharding import shard
@@ -61,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
     "op12_license_scans": op12_license_scans,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
@@ -99,5 +105,36 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, u.b FROM r JOIN u ON r.reached = u.a)
 SELECT n.doc_id AS doc_id, n.n AS n_shingles, min(r.reached) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY 1, 2
+""",
+    "op11_conversation_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS family,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+f AS (SELECT conv_id AS family, count(*) AS n FROM t GROUP BY 1),
+r AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.family AND t.pos < c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(f.n, 0)), t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h LEFT JOIN f USING (family)),
+l AS (SELECT c.conv_id, coalesce(x.ts, []) AS ts FROM c LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS ts FROM r GROUP BY 1) x USING (conv_id)),
+p AS (
+  SELECT conv_id, d, len(ts) AS length, list_slice(ts, 1, d) AS prefix, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(ts[d].text, '[^\x20\x09-\x0D]+')) END AS words
+  FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM l)),
+m AS (SELECT conv_id, d, length, words, min(conv_id) OVER (PARTITION BY d, prefix) AS node FROM p),
+n AS (
+  SELECT node, d, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE length = d), '')) AS ends_sha256
+  FROM m GROUP BY node, d),
+u AS (SELECT n.*, m.node AS parent FROM n LEFT JOIN m ON m.conv_id = n.node AND m.d = n.d - 1),
+k AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY 1, 2),
+s AS (
+  SELECT m.node, m.d, sum(u.saved) AS saved_tokens, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves
+  FROM u JOIN m ON m.conv_id = u.node AND m.d <= u.d LEFT JOIN k ON k.node = u.node AND k.d = u.d GROUP BY 1, 2)
+SELECT u.node AS conv_id, u.d AS depth, u.parent AS parent_conv_id, u.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, u.ends_sha256
+FROM u LEFT JOIN k ON k.node = u.node AND k.d = u.d JOIN s ON s.node = u.node AND s.d = u.d
 """,
 }
