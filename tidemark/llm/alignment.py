@@ -37,7 +37,7 @@ from .common import written
 #: Id pairs whose counts are broadcast at most (17 bytes each).
 PAIRS = 2_000_000
 #: Segments that a worker remembers, and that are aligned or summed at once.
-REMEMBERED, AT_ONCE = 250_000, 200_000
+REMEMBERED, AT_ONCE = 400_000, 200_000
 #: Distinct pairs that a task gathers before it passes their counts on.
 GATHERED = 2_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -65,6 +65,11 @@ def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) + np.repeat(start - before, count)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Aligner:
     """The remembered segments: numbers of tokens, groups and links, groups as text, and id pairs with their links."""
 
@@ -80,36 +85,47 @@ class Aligner:
         self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
         self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
         self.size_b = np.array(list(map(len, self.bytes_b)), np.int64)
-        self.kinds_b = len(self.bytes_b)
+        self.kinds_b, self.kinds = len(self.bytes_b), max(len(self.size_a), len(self.bytes_b))
+        self.named = [b"%c%d" % (c, i) for c in b",|;" for i in range(self.kinds)]
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}  # a segment with white space at its edge is held with a space before it
-        self.text: list[str] = []
+        self.text: list[bytes] = []  # groups as text, each with its separator before it
         self.facts = [Grown(np.int64) for _ in range(5)]  # A tokens, B tokens, groups, links, pairs
         self.bad = Grown(np.bool_)
         self.code, self.links = Grown(np.int64), Grown(np.int64)
         self.start = Grown(np.int64)
 
-    def cut(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in set(parts) - self.at.keys()):
-            return [" " + p if not p or p[0].isspace() or p[-1].isspace() else p for p in _CUT.split(text)]
-        return parts
+    def encoded(self, segments: list[str]) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
+        """Ids of A and B, one segment after the other, their numbers, and which segments don't come back (they have none)."""
+        out = [], [], [], [], []
+        for s in segments:
+            raw, a, b = (" " + s).encode(), self.encode_a(" " + s), self.sp.encode(s)
+            bad = b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw
+            for held, values in zip(out, ([], [], [0], [0], [True]) if bad else (a, b, [len(a)], [len(b)], [False])):
+                held += values
+        return out
+
+    def encoded_at_once(self, segments: list[str]) -> tuple:
+        """As encoded(), for segments without white space at their edges: joined by spaces they are tokenized as alone."""
+        joined = " " + " ".join(segments)
+        raw, a, each = joined.encode(), self.encode_a(joined), self.sp.encode(segments)
+        b = list(chain.from_iterable(each))
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return self.encoded(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments)) if len(raw) == len(joined) else np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments))
+        n_a = np.diff(np.searchsorted(self.size_a[np.array(a)].cumsum(), (sizes + 1).cumsum(), "right"), prepend=0)
+        return a, b, n_a, list(map(len, each)), [False] * len(segments)
 
     def add(self, keys: list[str]) -> None:
         """Aligns new segments, all at once."""
-        segments = [k[1:] if k[0] == " " else k for k in keys]
-        a, b = [self.encode_a(" " + s) for s in segments], self.sp.encode(segments)
-        bytes_a, bytes_b, bad = self.bytes_a.__getitem__, self.bytes_b.__getitem__, np.zeros(len(keys), bool)
-        for i, s in enumerate(segments):
-            raw = (" " + s).encode()
-            if b"".join(map(bytes_a, a[i])) != raw or b"".join(map(bytes_b, b[i])) != raw:
-                a[i], b[i], bad[i] = [], [], True
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        plain = [k for k in keys if k[0] != " "]
+        odd = [k for k in keys if k[0] == " "]
+        runs = [self.encoded_at_once(plain[i : i + 2000]) for i in range(0, len(plain), 2000)] + [self.encoded([k[1:] for k in odd])]
+        keys = plain + odd
+        ids_a, ids_b, n_a, n_b = (np.concatenate([np.asarray(r[k], np.int64) for r in runs]) for k in range(4))
+        bad = np.concatenate([np.asarray(r[4], bool) for r in runs])
         ends_a, ends_b = self.size_a[ids_a].cumsum(), self.size_b[ids_b].cumsum()
         bounds = np.union1d(ends_a, ends_b)
         owner_a, owner_b = np.searchsorted(ends_a, bounds), np.searchsorted(ends_b, bounds)
@@ -135,14 +151,16 @@ class Aligner:
         code, where = code[first], where[first]
         links = np.add.reduceat(links, first) if len(first) else links
         n_pairs = np.bincount(where, minlength=len(keys))
-        # groups as text
-        names_a, names_b, out, i, j = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist())), [], 0, 0
-        for x, y in zip(in_a.tolist(), in_b.tolist()):
-            out.append(f"{names_a[i] if x == 1 else ','.join(names_a[i : i + x])}|{names_b[j] if y == 1 else ','.join(names_b[j : j + y])}")
-            i, j = i + x, j + y
+        # groups as text: tokens by group and side, each with the separator before it
+        side = np.concatenate([group_a * 2, group_b * 2 + 1])
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        after = np.concatenate([[1], np.diff(side)]) if len(side) else side
+        separator = np.where(after == 0, 0, 1 + (side & 1 == 0))  # of a side's first token the side says which
+        names = list(map(self.named.__getitem__, (separator * self.kinds + np.concatenate([ids_a, ids_b])[order]).tolist()))
         i = 0
-        for n in n_groups.tolist():
-            self.text.append(";".join(out[i : i + n]))
+        for n in (n_a + n_b).tolist():
+            self.text.append(b"".join(names[i : i + n]))
             i += n
         self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys))))
         n_links = np.zeros(len(keys), np.int64)
@@ -160,32 +178,45 @@ class Aligner:
         begin, cut, n = 0, [], 0
         for end, text in enumerate([*texts, None], 1):
             if cut and (n > AT_ONCE or end > len(texts)):
-                new = set().union(*cut) - self.at.keys()
-                if len(self.at) + len(new) > REMEMBERED:
-                    self.clear()
-                    new = set().union(*cut)
-                self.add(sorted(new)) if new else None
-                at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, n)
-                count = np.fromiter(map(len, cut), np.int64, len(cut))
-                text_of = np.repeat(np.arange(len(cut)), count)
-                lost = np.bincount(text_of, self.bad.all()[at], len(cut)) > 0
-                at, count = at[~lost[text_of]], np.where(lost, 0, count)
-                yield begin, begin + len(cut), at, np.concatenate([[0], count.cumsum()])
+                at, starts = self.found(cut, texts[begin : begin + len(cut)])
+                yield begin, begin + len(cut), at, starts
                 begin, cut, n = begin + len(cut), [], 0
             if end <= len(texts):
-                cut.append(self.cut(text))
+                cut.append(text.split(" ") if text else [])
                 n += len(cut[-1])
 
+    def found(self, cut: list[list[str]], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        every = set().union(*cut)
+        new = [k for k in every if k not in self.at]
+        if odd := {p for p in new if not p or p.strip() != p}:
+            for k, parts in enumerate(cut):
+                if not odd.isdisjoint(parts):
+                    cut[k] = [" " + p if p.strip() != p else p for p in _CUT.split(texts[k])]
+            every = set().union(*cut)
+            new = [k for k in every if k not in self.at]
+        if len(self.at) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(every)
+        if new:
+            self.add(sorted(new))
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
+        if (bad := self.bad.all()).any():
+            text_of = np.repeat(np.arange(len(cut)), count)
+            lost = np.bincount(text_of, bad[at], len(cut)) > 0
+            at, count = at[~lost[text_of]], np.where(lost, 0, count)
+        return at, np.concatenate([[0], count.cumsum()])
+
     def pairs_of(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The distinct id pairs of each text, all texts together."""
         n_text = len(starts) - 1
         text = np.repeat(np.arange(n_text), np.diff(starts))
-        own = np.unique(text * len(self.text) + at)
+        own = distinct(text * len(self.text) + at)
         text, at = own // max(1, len(self.text)), own % max(1, len(self.text))
         many = self.facts[4].all()[at]
         code = self.code.all()[spans(self.start.all()[at], many)]
         most = len(self.size_a) * self.kinds_b
-        return np.unique(np.repeat(text, many) * most + code) % most
+        return distinct(np.repeat(text, many) * most + code) % most
 
 
 _LOADED: dict[str, Aligner] = {}
@@ -300,8 +331,8 @@ def align(docs: DataFrame, vocabulary: str | None = None, model: str | None = No
                 totals = [np.concatenate([[0], v.cumsum()]) for v in values]
                 facts.append(np.stack([t[starts[1:]] - t[starts[:-1]] for t in totals]))
                 names = list(map(aligner.text.__getitem__, at.tolist()))
-                joined = [";".join(names[s:e]) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
-                text += [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in joined] if digest else joined
+                joined = [b"".join(names[s:e])[1:] for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                text += [hashlib.sha256(t).hexdigest() if t else "" for t in joined] if digest else [t.decode() for t in joined]
                 if least:
                     lost = [[] for _ in range(len(own))]
                     for s in np.flatnonzero(np.add.reduceat(~here, ends[:-1]) if len(code) else []).tolist():
