@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import in_scope, is_test, language, safe, safe_link, suffix
 from ..plans.relation import RELATIONS, relation
 from ..schema import EXCLUDED_DIRECTORIES, MAX_FILE_BYTES, MAX_FILES, MAX_TREE_BYTES
+from .icons import icon
 
 relation("in_scope", "select relative_path, in_scope from {ev_files}", "ev_files")
 relation("test_paths", "select relative_path, is_test from {ev_files}", "ev_files")
@@ -161,7 +162,7 @@ ISO_BRANDS = (b"isom", b"iso2", b"mp41", b"mp42", b"M4V ", b"qt  ", b"avif", b"a
 
 
 def classified(content: str = "content") -> Column:
-    """F-11, F-12 on bytes: text, binary-asset or possible-source, from a BINARY column and relative_path."""
+    """F-11 to F-13 on bytes: text, binary-asset or possible-source, from a BINARY column and relative_path."""
     head, raw = F.hex(F.substring(content, 1, 16)), F.col(content)
     of = lambda b: b.hex().upper()
     # a hexadecimal 00 counts only at an even offset
@@ -173,7 +174,7 @@ def classified(content: str = "content") -> Column:
     riff = head.startswith(of(b"RIFF")) & F.substring(head, 17, 8).isin(*map(of, RIFF_FORMS))
     size = F.conv(F.substring(head, 1, 8), 16, 10).cast("long")
     iso = (F.substring(head, 9, 8) == of(b"ftyp")) & size.between(16, F.octet_length(raw)) & F.substring(head, 17, 8).isin(*map(of, ISO_BRANDS))
-    return F.when(text, "text").when(source, "possible-source").when(asset | riff | iso, "binary-asset").otherwise("possible-source")
+    return F.when(text, "text").when(source, "possible-source").when(asset | riff | iso | icon(content), "binary-asset").otherwise("possible-source")
 
 
 def blob_oid(content: str = "content") -> Column:

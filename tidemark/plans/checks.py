@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import enclosing, working
 from .relation import RELATIONS
 
 # Fixed values of score policy 1.1.0 and comparison policy 1.0.0, spelt out again.
@@ -182,5 +183,7 @@ def checks() -> dict[str, str]:
         "coverage_gaps": statement(("ev_stages", "ev_findings"), (_ONE,), "FROM s_gap"),
         "blockers": statement(("ev_stages", "ev_findings"), (_ONE,), "FROM s_block"),
         "strict_score": statement(("ev_stages", "ev_findings"), (_ONE,), "SELECT snapshot_id, required_stages, completed_stages, complete, strict AS score FROM s_whole"),
+        "enclosing_names": statement(("ev_declarations", "ev_observations"), *enclosing.CHECK),
+        "working_status": statement(("ev_captured", "ev_expected", "ev_index"), *working.CHECK),
         "exit_code": statement(("ev_stages", "ev_findings"), (_ONE,), "FROM s_exit"),
     }

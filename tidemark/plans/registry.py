@@ -16,13 +16,13 @@ from .relation import RELATIONS
 KEYS = [
     "assessment", "band_scores", "batch_packing", "blob_hash", "blockers", "category_scores", "changed_line_join", "changed_paths", "classify_content", "clone_ratio", "clone_reconcile",
     "clone_validate", "comparison_exit", "complexity_summary", "count_reconcile", "coverage_gaps", "delta_assessment", "delta_counts", "delta_document", "delta_match", "delta_rows",
-    "duplicate_identities", "environment_split", "excluded_directories", "execution_counts", "execution_status", "exit_code", "foreign_locations", "grades", "greedy_budget", "history_rows", "hotspots",
+    "duplicate_identities", "enclosing_names", "environment_split", "excluded_directories", "execution_counts", "execution_status", "exit_code", "foreign_locations", "grades", "greedy_budget", "history_rows", "hotspots",
     "hunk_parse", "hygiene_facts", "hygiene_score", "identity", "in_scope", "inventory", "inventory_equal", "language_slice", "languages", "limited_regressions",
     "line_window_clones", "markdown_escape", "metric_deltas", "metric_regressions", "mi_average", "next_actions", "obfuscation_pairs", "observation_except_all",
     "observed_score", "omitted_paths", "path_selection", "prioritized_findings", "rank_dominance", "receipt_summary", "redact_urls", "review_url", "rule_histogram",
     "running_budget", "safe_links", "safe_paths", "scope_manifest", "secret_rules", "secret_scan", "security_score", "shell_dialect", "stage_pairs", "stage_scores", "stage_union",
     "strict_score", "test_paths", "text_lines", "tool_version", "top20_findings", "tree_diff", "uncertain_identities", "unicode_controls", "unresolved_groups",
-    "unsupported_languages",
+    "unsupported_languages", "working_status",
 ]
 
 
