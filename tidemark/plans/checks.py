@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import enclosing, working
+from ..operators import documents, enclosing, working
 from .relation import RELATIONS
 
 # Fixed values of score policy 1.1.0 and comparison policy 1.0.0, spelt out again.
@@ -143,7 +143,8 @@ _FINDINGS, _STAGES = ("ev_base", "ev_head"), ("ev_base_stages", "ev_head_stages"
 def statement(evidence: tuple[str, ...], parts: tuple[str, ...], select: str) -> str:
     """select over the parts, after the evidence tables that they read."""
     names = list(dict.fromkeys(x for e in evidence for x in (*RELATIONS[e].below(), e)))
-    return f"WITH {', '.join([f'{x} AS ({RELATIONS[x].own_check()})' for x in names] + [p.strip() for p in parts])} {select}"
+    tables = [f"{x} AS ({RELATIONS[x].own_check()})" for x in names] + [p.strip() for p in parts]
+    return (f"WITH {', '.join(tables)} " if tables else "") + select
 
 
 def checks() -> dict[str, str]:
@@ -184,6 +185,8 @@ def checks() -> dict[str, str]:
         "blockers": statement(("ev_stages", "ev_findings"), (_ONE,), "FROM s_block"),
         "strict_score": statement(("ev_stages", "ev_findings"), (_ONE,), "SELECT snapshot_id, required_stages, completed_stages, complete, strict AS score FROM s_whole"),
         "enclosing_names": statement(("ev_declarations", "ev_observations"), *enclosing.CHECK),
+        "summary_guard": statement((), *documents.SUMMARY_CHECK),
+        "shell_decisions": statement((), *documents.SYNTAX_CHECK),
         "working_status": statement(("ev_captured", "ev_expected", "ev_index"), *working.CHECK),
         "exit_code": statement(("ev_stages", "ev_findings"), (_ONE,), "FROM s_exit"),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assessment, delta, findings, inventory, text_rules  # noqa: F401  they define relations
+from ..operators import assessment, delta, documents, findings, inventory, text_rules  # noqa: F401  they define relations
 from ..schema import BATCH_BYTES, BATCH_FILES
 from ..sources import projections  # noqa: F401
 from .checks import checks
@@ -20,8 +20,8 @@ KEYS = [
     "hunk_parse", "hygiene_facts", "hygiene_score", "identity", "in_scope", "inventory", "inventory_equal", "language_slice", "languages", "limited_regressions",
     "line_window_clones", "markdown_escape", "metric_deltas", "metric_regressions", "mi_average", "next_actions", "obfuscation_pairs", "observation_except_all",
     "observed_score", "omitted_paths", "path_selection", "prioritized_findings", "rank_dominance", "receipt_summary", "redact_urls", "review_url", "rule_histogram",
-    "running_budget", "safe_links", "safe_paths", "scope_manifest", "secret_rules", "secret_scan", "security_score", "shell_dialect", "stage_pairs", "stage_scores", "stage_union",
-    "strict_score", "test_paths", "text_lines", "tool_version", "top20_findings", "tree_diff", "uncertain_identities", "unicode_controls", "unresolved_groups",
+    "running_budget", "safe_links", "safe_paths", "scope_manifest", "secret_rules", "secret_scan", "security_score", "shell_decisions", "shell_dialect", "stage_pairs", "stage_scores", "stage_union",
+    "strict_score", "summary_guard", "test_paths", "text_lines", "tool_version", "top20_findings", "tree_diff", "uncertain_identities", "unicode_controls", "unresolved_groups",
     "unsupported_languages", "working_status",
 ]
 
@@ -42,5 +42,7 @@ QUERIES["q_secret_scan"] = lambda spark, sf_dir: text_rules.secret_scan(spark.re
 QUERIES["q_classify_content"] = lambda spark, sf_dir: (
     RELATIONS["ev_contents"].frame(spark, sf_dir).select("relative_path", F.unhex("content_hex").alias("content")).select("relative_path", inventory.classified().alias("classification"))
 )
+QUERIES["q_shell_decisions"] = lambda spark, sf_dir: documents.shell_decisions(RELATIONS["ev_syntax"].frame(spark, sf_dir))
+
 _CHECKS = checks()
 ORACLE_SQL = {f"q_{name}": s for name in KEYS if (s := _CHECKS.get(name) or RELATIONS[name].statement())}
