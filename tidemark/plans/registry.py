@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assessment, delta, documents, findings, inventory, text_rules  # noqa: F401  they define relations
+from ..operators import assessment, delta, documents, findings, inventory, messages, text_rules  # noqa: F401  they define relations
 from ..schema import BATCH_BYTES, BATCH_FILES
 from ..sources import projections  # noqa: F401
 from .checks import checks
@@ -43,6 +43,7 @@ QUERIES["q_classify_content"] = lambda spark, sf_dir: (
     RELATIONS["ev_contents"].frame(spark, sf_dir).select("relative_path", F.unhex("content_hex").alias("content")).select("relative_path", inventory.classified().alias("classification"))
 )
 QUERIES["q_shell_decisions"] = lambda spark, sf_dir: documents.shell_decisions(RELATIONS["ev_syntax"].frame(spark, sf_dir))
+QUERIES["q_diagnostic_messages"] = lambda spark, sf_dir: messages.messages(RELATIONS["ev_messages"].frame(spark, sf_dir))
 
 _CHECKS = checks()
-ORACLE_SQL = {f"q_{name}": s for name in KEYS if (s := _CHECKS.get(name) or RELATIONS[name].statement())}
+ORACLE_SQL = {f"q_{name}": s for name in [*KEYS, "diagnostic_messages"] if (s := _CHECKS.get(name) or RELATIONS[name].statement())}
