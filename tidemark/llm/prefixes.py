@@ -21,6 +21,7 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,6 +33,7 @@ from .common import written
 BLOCK = 4096
 #: Members of one family of conversations, and the remainders that say how many turns are taken from its first.
 FAMILY, TAKEN = 20, 4
+NODES = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 NO_IDS = hashlib.sha256(b"").hexdigest()
 
 
@@ -92,78 +94,75 @@ def listed(ends: DataFrame, key: list[str]) -> DataFrame:
     return pieces.repartition(*key).sortWithinPartitions(*key, "block").mapInArrow(run, f"{own}, ends_sha256 string")
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def prefix_trie(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The trie's nodes over turns (conv_id, pos from 1, digest, n_words) of conversations (conv_id, length)."""
+    spark, key = ids.sparkSession, ["cls", "top"]  # a class: its smallest member when it was split off, and the depth of its first node
     whole = ids.agg(F.count("*").alias("n"), F.min("conv_id").alias("least")).first()
-    key = ["cls", "top"]  # a class: its smallest member when it was split off, and the depth of its first node
-    of = lambda df: written(df, "refined")
-    kinds = [of(ids.sparkSession.range(1 if whole["n"] else 0).select(F.lit(whole["least"]).cast("long").alias("cls"), F.lit(0).cast("long").alias("top"), F.lit(None).cast("long").alias("up"), F.lit(None).cast("long").alias("up_top"), F.lit(whole["n"]).cast("long").alias("n"), F.lit(0).cast("long").alias("n_words")))]
-    members = ids.where(F.lit(whole["n"] > 1)).select("conv_id", F.lit(whole["least"]).cast("long").alias("cls"), F.lit(0).cast("long").alias("top"))
-    chains, cuts, ends = [], [], []
+    if not whole["n"]:
+        return spark.createDataFrame([], NODES)
+    root = spark.createDataFrame([(whole["least"], 0, None, None, whole["n"], 0)], "cls long, top long, up long, up_top long, n long, n_words long")
+    members = [ids.where(F.lit(whole["n"] > 1)).select("conv_id", F.lit(whole["least"]).cast("long").alias("cls"), F.lit(0).cast("long").alias("top"))]
+    runs, classes = [], [root]
     while True:
-        active = kinds[-1].where("n > 1")
-        ahead = rows.join(members, "conv_id").where(F.col("pos") > F.col("top"))
-        along = of(ahead.groupBy(*key, "pos").agg(F.count("*").alias("n"), F.min("conv_id").alias("least"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.max("n_words").alias("n_words")))
-        cut = of(along.where("low <> high").groupBy(*key).agg(F.min("pos").alias("cut")))
-        before_cut = F.col("cut").isNull() | (F.col("pos") < F.col("cut"))
-        # the class's chain: its first node, and those of the run where no members differ
-        run = along.join(cut, key, "left").where(before_cut).select(*key, "pos", "n", "least", "n_words")
-        chains.append(of(active.select(*key, F.col("top").alias("pos"), "n", F.col("cls").alias("least"), "n_words").unionByName(run)))
-        cuts.append(cut)
-        ends.append(members.join(ids, "conv_id").join(cut, key, "left").where(F.col("cut").isNull() | (F.col("length") < F.col("cut"))).select(*key, F.col("length").alias("pos"), "conv_id"))
-        if not cut.head(1):
-            break
-        # rows at the cut are split by their digest
+        ahead = rows.join(members[-1], "conv_id").where(F.col("pos") > F.col("top"))
+        runs.append(written(ahead.groupBy(*key, "pos").agg(
+            F.count("*").alias("n"), F.min("conv_id").alias("least"), F.max("n_words").alias("n_words"), (F.min("digest") != F.max("digest")).alias("differ")
+        ), "runs"))
+        cut = runs[-1].where("differ").groupBy(*key).agg(F.min("pos").alias("cut"))
+        # where a class's members differ for the first time they are split by their turn
         split = ahead.join(cut, key).where(F.col("pos") == F.col("cut"))
-        new = of(split.groupBy(*key, "cut", "digest").agg(F.count("*").alias("n"), F.min("conv_id").alias("least"), F.max("n_words").alias("n_words")))
-        kinds.append(new.select(F.col("least").alias("cls"), F.col("cut").alias("top"), F.col("cls").alias("up"), F.col("top").alias("up_top"), "n", "n_words"))
+        new = written(split.groupBy(*key, "cut", "digest").agg(F.count("*").alias("n"), F.min("conv_id").alias("least"), F.max("n_words").alias("n_words")), "classes")
         grown = new.where("n > 1").select(*key, "digest", F.col("least").alias("to"))
-        members = of(split.join(grown, [*key, "digest"]).select("conv_id", F.col("to").alias("cls"), F.col("cut").alias("top")))
-    # what each class's last node looks like, for the nodes under it
-    last = [c.groupBy(*key).agg(F.max_by("least", "pos").alias("up_least"), F.sum((F.col("n") - 1) * F.col("n_words")).alias("chain_saved"), F.max("pos").alias("bottom")) for c in chains]
-    below = None  # of a round's classes: what the classes split off from them hold
-    nodes = []
-    for r in range(len(kinds) - 1, -1, -1):
-        own = kinds[r].join(last[r], key, "left")
-        own = own.join(below, key, "left") if below is not None else own.withColumns({c: F.lit(None).cast("long") for c in ("branches", "leaves", "saved")})
-        own = of(own.withColumn("leaves", F.coalesce("leaves", F.lit(1))).withColumn("saved", F.coalesce("saved", F.lit(0))))
+        if not new.head(1):
+            break
+        classes.append(new.select(F.col("least").alias("cls"), F.col("cut").alias("top"), F.col("cls").alias("up"), F.col("top").alias("up_top"), "n", "n_words"))
+        members.append(written(split.join(grown, [*key, "digest"]).select("conv_id", F.col("to").alias("cls"), F.col("cut").alias("top")), "members"))
+    every, run = together(classes), together(runs)
+    cut = run.where("differ").groupBy(*key).agg(F.min("pos").alias("cut"))
+    inside = lambda at: F.col("cut").isNull() | (F.col(at) < F.col("cut"))
+    # a class's chain: its first node, and those of the run before its members differ
+    first = every.where("n > 1").select(*key, F.col("top").alias("pos"), "n", F.col("cls").alias("least"), "n_words")
+    chain = written(first.unionByName(run.join(cut, key, "left").where(inside("pos")).select(*key, "pos", "n", "least", "n_words")), "chains")
+    last = written(chain.groupBy(*key).agg(F.max_by("least", "pos").alias("up_least"), F.sum((F.col("n") - 1) * F.col("n_words")).alias("chain_saved"), F.max("pos").alias("bottom")), "ends")
+    # back from the last round: what the classes split off from a class hold
+    below = spark.createDataFrame([], "cls long, top long, branches long, leaves long, saved long")
+    held = []
+    for own in reversed(classes):
+        own = own.join(last, key, "left").join(below, key, "left")
+        own = written(own.select(
+            *key, "up", "up_top", "n", "bottom", F.coalesce("branches", F.lit(0)).alias("branches"), F.coalesce("leaves", F.lit(1)).alias("leaves"),
+            F.coalesce("saved", F.lit(0)).alias("saved"), F.coalesce("chain_saved", F.lit(0)).alias("chain_saved"),
+        ), "folded")
+        held.append(own)
         below = own.where("up IS NOT NULL").groupBy(F.col("up").alias("cls"), F.col("up_top").alias("top")).agg(
-            F.count("*").alias("branches"), F.sum("leaves").alias("leaves"), F.sum(F.col("saved") + F.coalesce("chain_saved", F.lit(0))).alias("saved")
+            F.count("*").alias("branches"), F.sum("leaves").alias("leaves"), F.sum(F.col("saved") + F.col("chain_saved")).alias("saved")
         )
-        over = own.select(*key, "up", "up_top")
-        if r:
-            over = over.join(last[r - 1].select(F.col("cls").alias("up"), F.col("top").alias("up_top"), F.col("up_least").alias("parent")), ["up", "up_top"], "left")
-        else:
-            over = over.withColumn("parent", F.lit(None).cast("long"))
-        of_top = over.select(*key, "parent")
-        # nodes of classes that went on
-        upward = Window.partitionBy(*key).orderBy(F.desc("pos"))
-        chain = chains[r].join(own.select(*key, "bottom", "branches", "leaves", "saved"), key).join(of_top, key)
-        nodes.append(chain.select(
-            *key, "pos", F.col("least").alias("conv_id"), F.when(F.col("pos") == F.col("top"), F.col("parent")).otherwise(F.lead("least").over(upward)).alias("parent_conv_id"), F.col("n").alias("n_convs"),
-            F.when(F.col("pos") < F.col("bottom"), 1).otherwise(F.coalesce("branches", F.lit(0))).cast("long").alias("n_children"), F.col("leaves").alias("n_leaves"),
-            (F.col("saved") + F.sum((F.col("n") - 1) * F.col("n_words")).over(upward)).alias("saved_tokens"),
-        ))
-        # classes of one member: their tails are chains, which cost nothing twice
-        single = own.where("n = 1").select(*key).join(of_top, key).join(ids.withColumnRenamed("conv_id", "cls"), "cls")
-        root = F.lit(0).cast("long")
-        tail = single.join(rows.withColumnRenamed("conv_id", "cls"), "cls").where(F.col("pos") >= F.col("top"))
-        if r == 0:  # the root has no turn
-            tail = tail.select(*key, "parent", "length", "pos").unionByName(single.select(*key, "parent", "length", root.alias("pos")))
-        nodes.append(tail.select(
-            *key, "pos", F.col("cls").alias("conv_id"), F.when(F.col("pos") == F.col("top"), F.col("parent")).otherwise(F.col("cls")).alias("parent_conv_id"), F.lit(1).cast("long").alias("n_convs"),
-            (F.col("pos") < F.col("length")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"),
-        ))
-        ends.append(single.select(*key, F.col("length").alias("pos"), F.col("cls").alias("conv_id")))
-    every = nodes[0]
-    for n in nodes[1:]:
-        every = every.unionByName(n)
-    ended = ends[0]
-    for e in ends[1:]:
-        ended = ended.unionByName(e)
+    over = last.select(F.col("cls").alias("up"), F.col("top").alias("up_top"), F.col("up_least").alias("parent"))
+    held = written(together(held).join(over, ["up", "up_top"], "left").drop("up", "up_top"), "folded")
+    upward = Window.partitionBy(*key).orderBy(F.desc("pos"))
+    at_top = F.col("pos") == F.col("top")
+    of_chains = chain.join(held.drop("n"), key).select(
+        *key, "pos", F.col("least").alias("conv_id"), F.when(at_top, F.col("parent")).otherwise(F.lead("least").over(upward)).alias("parent_conv_id"), F.col("n").alias("n_convs"),
+        F.when(F.col("pos") < F.col("bottom"), 1).otherwise(F.col("branches")).cast("long").alias("n_children"), F.col("leaves").alias("n_leaves"),
+        (F.col("saved") + F.sum((F.col("n") - 1) * F.col("n_words")).over(upward)).alias("saved_tokens"),
+    )
+    # classes of one member: their tails are chains, which save nothing
+    single = held.where("n = 1").select(*key, "parent").join(ids.withColumnRenamed("conv_id", "cls"), "cls")
+    one = F.lit(1).cast("long")
+    of_singles = single.join(rows.withColumnRenamed("conv_id", "cls").select("cls", "pos"), "cls").where(F.col("pos") >= F.col("top"))
+    of_singles = of_singles.unionByName(single.where("top = 0").withColumn("pos", F.lit(0).cast("long"))).select(  # the root has no turn
+        *key, "pos", F.col("cls").alias("conv_id"), F.when(at_top, F.col("parent")).otherwise(F.col("cls")).alias("parent_conv_id"), one.alias("n_convs"),
+        (F.col("pos") < F.col("length")).cast("long").alias("n_children"), one.alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"),
+    )
+    ends = together(members).join(ids, "conv_id").join(cut, key, "left").where(inside("length")).select(*key, F.col("length").alias("pos"), "conv_id")
+    ends = ends.unionByName(single.select(*key, F.col("length").alias("pos"), F.col("cls").alias("conv_id")))
     place = [*key, "pos"]
-    sha = listed(ended, place)
-    return every.join(sha, place, "left").select("conv_id", F.col("pos").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_IDS)).alias("ends_sha256"))
+    ended = F.coalesce("ends_sha256", F.lit(NO_IDS)).alias("ends_sha256")
+    return of_chains.unionByName(of_singles).join(listed(ends, place), place, "left").select("conv_id", F.col("pos").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", ended)
 
 
 def conversation_prefixes(conversations: DataFrame) -> DataFrame:
