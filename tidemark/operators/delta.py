@@ -178,7 +178,7 @@ def _each(kind: str, when: str, items: str, text: str) -> str:
 
 _SAME, _PART = "note = ''", "(note <> '' and alike)"
 _SURPLUS = f"(({_SAME} or {_PART}) and base_status = 'ok')"
-_MOVED = "cast(array({}) as array<string>)".format(", ".join(f"case when head_{m} {{sign}} base_{m} then '{m}' end" for m in _METRICS))
+_MOVED = "cast(array({}) as array<string>)".format(", ".join(f"case when bround(head_{m} - base_{m}, 4) {{sign}} 0 then '{m}' end" for m in _METRICS))
 _MESSAGES = [
     _say("unknown", "note <> ''", "note", "coalesce(base_required, false) or coalesce(head_required, false)"),
     _say("unknown", f"{_SAME} and ambiguous > 0", "'duplicate identities can not be paired'", "true"),

@@ -65,13 +65,37 @@ UNRESOLVED = (
 )
 _quoted = lambda values: ", ".join(f"'{v}'" for v in values)
 
-# A-13, W-5: one unresolved reference of a rule stays located; more of them become one row with two short examples
+# A-13, W-5: a rule's unresolved references become one row where the first of them stood, with the first two distinct short
+# contexts in order of occurrence; one alone stays located, and all other rows go on in their place
+# The level that messages state, and the summary's sentence.
+LEVEL = 5
+_SUFFIX = f" (snapshot level {LEVEL})"
+_SENTENCE = " unresolved references; may reflect unavailable dependencies or local errors" + _SUFFIX
+_RULE = "regexp_replace(rule, r'^phpstan[.]', '')"
 relation("unresolved_groups", f"""
-select snapshot_id, rule, case when n = 1 then path else '' end as path, n, case when n = 1 then message else rule || ': ' || cast(n as string) || ' unresolved references' || coalesce('; examples: ' || examples, '') end as message
-from (select snapshot_id, rule, count(*) as n, min(path) as path, min(message) as message, min(case when short then said end) || coalesce(' | ' || min(case when short and said > first_said then said end), '') as examples
-  from (select snapshot_id, rule, path, message, message as said, length(message) <= 120 as short, min(case when length(message) <= 120 then message end) over (partition by snapshot_id, rule) as first_said
-    from {{ev_diagnostics}} where rule in ({_quoted(UNRESOLVED)})) d group by snapshot_id, rule) g
-""", "ev_diagnostics")
+with groups as (select snapshot_id, rule, count(*) as n, min(ord) as ord from {{ev_reports}} where {_RULE} in ({_quoted(UNRESOLVED)}) group by snapshot_id, rule having count(*) > 1),
+contexts as (
+  select snapshot_id, rule, context, min(ord) as ord from (
+    select snapshot_id, rule, ord, case when endswith(said, '{_SUFFIX}') then substring(said, 1, length(said) - {len(_SUFFIX)}) else said end as context from (
+      select snapshot_id, rule, ord, substring(message, instr(message, ': ') + 2) as said from {{ev_reports}} where instr(message, ': ') > 0) a) b
+  where length(context) <= 120 group by snapshot_id, rule, context),
+examples as (
+  select snapshot_id, rule, max(case when k = 1 then context end) || coalesce(' | ' || max(case when k = 2 then context end), '') as examples
+  from (select *, row_number() over (partition by snapshot_id, rule order by ord, context) as k from contexts) c where k <= 2 group by snapshot_id, rule)
+select r.snapshot_id, r.ord, r.rule, r.path, r.line, cast(1 as bigint) as n, r.message from {{ev_reports}} r left join groups g on g.snapshot_id = r.snapshot_id and g.rule = r.rule where g.n is null
+union all
+select g.snapshot_id, g.ord, g.rule, '', 0, g.n, 'PHPStan ' || regexp_replace(g.rule, r'^phpstan[.]', '') || ': ' || cast(g.n as string) || '{_SENTENCE}' || coalesce('; examples: ' || e.examples, '')
+from groups g left join examples e on e.snapshot_id = g.snapshot_id and e.rule = g.rule
+""", "ev_reports", check=f"""
+select snapshot_id, ord, rule, case when n > 1 then '' else path end as path, case when n > 1 then 0 else line end as line, n, case when n = 1 then message
+  else 'PHPStan ' || substr(rule, 9) || ': ' || n || '{_SENTENCE}' || case when len(seen) > 0 then '; examples: ' || array_to_string(seen[:2], ' | ') else '' end end as message
+from (
+  select *, case when grouped then count(*) over g else 1 end as n, row_number() over (g order by ord) as nth, list_reduce(list_prepend([]::varchar[], list_transform(list(context) over (g order by ord rows between unbounded preceding and unbounded following), lambda x: case when x is null then [] else [x] end)),
+    lambda a, x: case when len(x) = 0 or list_contains(a, x[1]) then a else list_concat(a, x) end) as seen
+  from (select *, substr(rule, 9) in ({_quoted(UNRESOLVED)}) as grouped, case when contains(message, ': ') and length(replace(substr(message, position(': ' in message) + 2), '{_SUFFIX}', '')) <= 120 then replace(substr(message, position(': ' in message) + 2), '{_SUFFIX}', '') end as context from {{ev_reports}})
+  window g as (partition by snapshot_id, rule))
+where n = 1 or nth = 1
+""")
 
 # P-14: what the environment lacks, apart from what the source says
 relation("environment_split", f"""

@@ -33,17 +33,42 @@ from (select o_orderkey, cast(regexp_extract(h, r'^@@ -([0-9]+)', 1) as bigint)
     || case when o_orderkey % 5 = 0 then '' else ',' || cast(o_orderkey % 7 as string) end || ' @@ x' as h from {orders}) s) t
 """, "orders")
 
-# S-13, F-29 to F-32
-_HOST, _PROJECT = "^(https?)://([A-Za-z0-9.-]+(?::[0-9]+)?)/", "[A-Za-z0-9_.-]+"
-_GITHUB = _HOST + f"({_PROJECT}/{_PROJECT})/pull/([1-9][0-9]*)(?:/(?:files|commits|checks))?/?$"
-_GITLAB = _HOST + f"((?:{_PROJECT}/)+{_PROJECT})/-/merge_requests/([1-9][0-9]*)(?:/(?:diffs|commits|changes|pipelines))?/?$"
-_PART = lambda n: f"case when regexp_like(url, r'{_GITHUB}') then regexp_extract(url, r'{_GITHUB}', {n}) else regexp_extract(url, r'{_GITLAB}', {n}) end"
+# S-13, F-29 to F-32: scheme, authority and path apart; what follows the path doesn't count
+_SCHEME, _NUMBER = "^[A-Za-z][A-Za-z0-9+.-]*://", "([1-9][0-9]*)"
+_GITHUB = f"^/([^/]+/[^/]+)/pull/{_NUMBER}(?:/(?:files|commits|checks))?/?$"
+_GITLAB = f"^/(.+)/-/merge_requests/{_NUMBER}(?:/(?:diffs|commits|changes|pipelines))?/?$"
 relation("review_url", f"""
-select page_id, case when known then provider else '' end as provider, case when known then host else '' end as host, case when known then project else '' end as project, cast(case when known then number end as bigint) as request_id,
-  case when not known then '' when provider = 'github' then 'https://' || host || '/' || project || '/pull/' || number else 'https://' || host || '/' || project || '/-/merge_requests/' || number end as url
-from (select *, provider <> '' and not regexp_like('/' || project || '/', r'/[.][.]?/') as known
-  from (select page_id, case when regexp_like(url, r'{_GITHUB}') then 'github' when regexp_like(url, r'{_GITLAB}') then 'gitlab' else '' end as provider, lower({_PART(2)}) as host, {_PART(3)} as project, {_PART(4)} as number from {{ev_urls}}) t) u
-""", "ev_urls")
+with split as (
+  select page_id, lower(regexp_extract(url, r'^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme, regexp_extract(url, r'{_SCHEME}([^/?#]*)', 1) as authority, regexp_extract(url, r'{_SCHEME}[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, regexp_replace(regexp_replace(url, r'^[\x00-\x20]+', ''), r'[\t\r\n]', '') as url from {{ev_urls}}) u),
+placed as (select *, regexp_extract(authority, r'^(.*)@', 1) as user, regexp_extract(place, r'^([^:]*)', 1) as host, regexp_extract(place, r'^[^:]*:(.*)$', 1) as port from (select *, regexp_replace(authority, r'^.*@', '') as place from split) s),
+reviews as (
+  select *, case when regexp_like(path, r'{_GITHUB}') then 'github' when regexp_like(path, r'{_GITLAB}') then 'gitlab' else '' end as provider,
+    case when regexp_like(path, r'{_GITHUB}') then regexp_extract(path, r'{_GITHUB}', 1) else regexp_extract(path, r'{_GITLAB}', 1) end as project, case when regexp_like(path, r'{_GITHUB}') then regexp_extract(path, r'{_GITHUB}', 2) else regexp_extract(path, r'{_GITLAB}', 2) end as number
+  from placed),
+known as (
+  select page_id, provider, lower(host) || case when regexp_like(port, r'[1-9]') then ':' || regexp_replace(port, r'^0+', '') else '' end as host, project, number, scheme,
+    provider <> '' and scheme in ('http', 'https') and user in ('', ':') and regexp_like(host, r'^[A-Za-z0-9.-]+$') and regexp_like(port, r'^[0-9]*$') and coalesce(try_cast(port as bigint), 0) <= 65535
+      and regexp_like(project, r'^[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)*$') and not regexp_like('/' || project || '/', r'/[.][.]?/') as valid from reviews)
+select page_id, case when valid then provider else '' end as provider, case when valid then host else '' end as host, case when valid then project else '' end as project, case when valid then try_cast(number as bigint) end as request_id,
+  case when not valid then '' else scheme || '://' || host || '/' || project || case when provider = 'github' then '/pull/' else '/-/merge_requests/' end || number end as url
+from known
+""", "ev_urls", check="""
+select page_id, case when ok then kind else '' end as provider, case when ok then host || coalesce(':' || nullif(port, 0), '') else '' end as host, case when ok then project else '' end as project, case when ok then number end as request_id,
+  case when ok then scheme || '://' || host || coalesce(':' || nullif(port, 0), '') || '/' || project || marker || number else '' end as url
+from (
+  select *, scheme in ('http', 'https') and not regexp_matches(authority, '[^:@].*@') and regexp_full_match(host, '[a-z0-9.-]+') and (port_text = '' or port is not null and port < 65536) and regexp_full_match(port_text, '[0-9]*') and number >= 1 and not starts_with(number_text, '0')
+    and case kind when 'github' then len(parts) = 2 when 'gitlab' then len(parts) >= 1 else false end and len(list_filter(parts, lambda x: not regexp_full_match(x, '[A-Za-z0-9_.-]+') or x in ('.', '..'))) = 0 and regexp_full_match(rest, tail) as ok
+  from (
+    select *, string_split(project, '/') as parts, try_cast(number_text as bigint) as number, try_cast(port_text as bigint) as port, case kind when 'github' then '(/(files|commits|checks))?/?' else '(/(diffs|commits|changes|pipelines))?/?' end as tail
+    from (
+      select *, substr(split_part(path, marker, 1), 2) as project, regexp_extract(split_part(path, marker, 2), '^[0-9]*') as number_text, regexp_replace(split_part(path, marker, 2), '^[0-9]*', '') as rest,
+        lower(split_part(split_part(authority, '@', -1), ':', 1)) as host, split_part(split_part(authority, '@', -1), ':', 2) as port_text
+      from (
+        select *, case when contains(path, '/-/merge_requests/') then 'gitlab' when contains(path, '/pull/') then 'github' else '' end as kind, case when contains(path, '/-/merge_requests/') then '/-/merge_requests/' else '/pull/' end as marker
+        from (select page_id, lower(split_part(url, '://', 1)) as scheme, split_part(after, '/', 1) as authority, substr(after, length(split_part(after, '/', 1)) + 1) as path
+          from (select page_id, url, split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) as after from {ev_urls}))))))
+""")
 
 # F-21
 relation("redact_urls", "select page_id, regexp_replace(url, r'(https?://)[^/ @]+@', '$1[redacted]@') as url from {ev_urls}", "ev_urls",

@@ -69,7 +69,7 @@ relation("ev_head_stages", """
 select snapshot_id, stage_id, category, case when o_orderkey % 59 = 3 or o_orderkey % 12 = 8 and o_orderkey % 5 < 2 then 'limited' when o_orderkey % 61 = 9 then 'ok' else status end as status, required,
   case when o_orderkey % 71 = 3 then 'tool-x' else tool end as tool, case when o_orderkey % 67 = 3 then '9.9' else version end as version, reason,
   case when o_orderkey % 73 = 3 then 'part' else scope end as scope, analyzed_files, eligible_files, issue_count + cast(o_orderkey % 3 - 1 as double) as issue_count,
-  error_count + cast(o_orderkey % 4 - 1 as double) as error_count, warning_count, max_cc + cast(o_orderkey % 5 - 2 as double) as max_cc,
+  error_count + cast(o_orderkey % 4 - 1 as double) as error_count, warning_count, max_cc + case when o_orderkey % 8 = 2 then cast(0.00001 as double) else cast(o_orderkey % 5 - 2 as double) end as max_cc,
   duplication_percent + cast(o_orderkey % 7 - 3 as double) as duplication_percent, case when o_orderkey % 4 = 1 then not license_file else license_file end as license_file,
   nontrivial_readme, test_files, gitignore_file, case when floor(o_orderkey / 12) % 57 = 0 then 'full' else profile end as profile, o_orderkey
 from {ev_stages} where o_orderkey % 53 <> 7
@@ -103,8 +103,19 @@ select 'snap' || cast(event_id % 40 as string) as snapshot_id,
 from {events}
 """, "events")
 
+# Messages with contexts that repeat, lack and are too long, some rules once only
+relation("ev_reports", """
+select 'snap' || cast(event_id % 400 as string) as snapshot_id, event_id as ord, 'phpstan.' || case event_id % 7 when 0 then 'class.notFound' when 1 then 'function.notFound' when 2 then 'return.type' when 3 then case when event_id % 11 = 3 then 'trait.notFound' else 'argument.type' end
+    when 4 then case when event_id % 13 = 5 then 'attribute.notFound' else 'method.notFound' end when 5 then 'property.notFound' else 'return.unresolvableType' end as rule,
+  case when event_id % 5 = 4 then 'no context here' else 'PHPStan: ' || case when event_id % 9 = 2 then repeat('long ', 30) else '' end || event_type || ': ' || chr(cast(122 - event_id % 23 as int)) || ' (snapshot level 5)' end as message,
+  'f' || cast(user_id as string) || '.php' as path, event_id % 300 as line from {events}
+""", "events")
+
 relation("ev_urls", """
 select page_id, case when page_id % 21 = 6 then 'https://GitHub.com:8443/org/repo' || cast(page_id as string) || '/pull/7' when page_id % 33 = 9 then 'https://github.com/org/../pull/' || cast(page_id as string)
+  when page_id % 13 = 4 then 'HTTPS://GitHub.com/Org/repo' || cast(page_id as string) || '/pull/5/commits/?x=1#d' when page_id % 17 = 5 then 'http://git.example:' || cast(page_id * 997 as string) || '/a/b/-/merge_requests/3#note'
+  when page_id % 19 = 7 then 'https://' || case page_id % 4 when 0 then '@' when 1 then ':@' when 2 then 'u@' else ':p@' end || 'github.com/o/r/pull/' || cast(page_id as string) when page_id % 23 = 8 then 'https://git.example' || case page_id % 3 when 0 then ':' when 1 then ':000' else ':8x' end || '/o/r/pull/8?y'
+  when page_id % 29 = 3 then 'ftp://github.com/o/r/pull/3' when page_id % 31 = 2 then 'https://github.com/o/r/pull/0' || cast(page_id as string) when page_id % 37 = 1 then 'https://gitlab.com/a b/c/-/merge_requests/4'
   when page_id % 3 = 0 then 'https://github.com/org' || cast(page_id % 9 as string) || '/repo' || cast(page_id as string) || '/pull/' || cast(page_id as string) || case when page_id % 2 = 0 then '/files' else '' end
   when page_id % 3 = 1 then 'https://gitlab.com/group/sub' || cast(page_id % 9 as string) || '/proj/-/merge_requests/' || cast(page_id + 1 as string)
   when page_id % 7 = 0 then 'https://user:secret@host.example/x/y' else url end as url
