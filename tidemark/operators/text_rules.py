@@ -207,7 +207,7 @@ CLASSES = {
     "joiner": r"[‌‍]", "mark": r"﻿", "variation": r"[︀-️\x{E0100}-\x{E01EF}]", "emoji": r"[\x{1F000}-\x{10FFFF}️❤]", "picture": r"[\x{1F000}-\x{DFFFF}]",
     "letter": r"[[\p{L}\p{M}]&&[^\x00-\x7F]]", "plain": r"[\x00-\x7F]",
 }
-SUSPICIOUS = "|".join(CLASSES[c] for c in ("bidi", "soft", "hidden", "tag", "joiner", "mark", "variation"))
+SUSPICIOUS = "[" + "".join(CLASSES[c].strip("[]") for c in ("bidi", "soft", "hidden", "tag", "joiner", "mark", "variation")) + "]"
 _is = lambda what, name: f"{what} rlike r'^{CLASSES[name]}$'"
 _both = lambda name: f"({_is('x.left', name)} and {_is('x.right', name)})"
 _CONTROL = f"""case when {_is("x.c", "bidi")} then 'bidi-control' when {_is("x.c", "soft")} then 'soft-hyphen' when {_is("x.c", "hidden")} then 'invisible-control'
@@ -218,15 +218,20 @@ _CONTROL = f"""case when {_is("x.c", "bidi")} then 'bidi-control' when {_is("x.c
 def unicode_controls(texts: DataFrame, key: str = "long") -> DataFrame:
     """Every suspicious control of texts (doc_id of type key, text) with rule, severity, line and column.
 
-    The few texts with a candidate become arrays of characters; each candidate's neighbours, the twelve characters before
-    it, and its line are looked up there, so that the context crosses lines."""
-    some = texts.select(F.col("doc_id").cast(key), "text").where(F.col("text").rlike(SUSPICIOUS)).withColumn("chars", F.split("text", ""))
-    some = some.withColumn("breaks", F.expr(r"filter(sequence(0, size(chars) - 1), i -> chars[i] = '\n')"))
-    around = f"""transform(filter(sequence(0, size(chars) - 1), i -> chars[i] rlike r'^(?:{SUSPICIOUS})$'), i -> named_struct('at', i, 'c', chars[i], 'left', coalesce(get(chars, i - 1), ''), 'right', coalesce(get(chars, i + 1), ''),
-      'near', array_join(slice(chars, greatest(i - 11, 1), least(i, 12)), ''), 'above', filter(breaks, b -> b < i)))"""
-    rows = some.selectExpr("doc_id", f"explode({around}) as x").selectExpr("doc_id", "x", f"{_CONTROL} as rule").where("rule is not null")
+    A text is cut at its candidates once, so the work follows its length. What goes on of a part between two candidates is
+    its length, its lines and its last characters; running sums over a text's parts, in order, give places and the twelve
+    characters before each candidate, so that the context crosses lines."""
+    some = texts.select(F.col("doc_id").cast(key), "text").where((F.octet_length("text") > F.length("text")) & F.col("text").rlike(SUSPICIOUS)).withColumn("row", F.monotonically_increasing_id())
+    cut = some.select("doc_id", "row", F.split("text", SUSPICIOUS, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(SUSPICIOUS), F.lit(0)).alias("found"))
+    part = r"""transform(found, (c, i) -> named_struct('c', c, 'n', length(gaps[i]), 'lines', length(gaps[i]) - length(replace(gaps[i], '\n', '')), 'after', length(substring_index(gaps[i], '\n', -1)), 'tail', right(gaps[i], 12),
+      'left', case when gaps[i] <> '' then right(gaps[i], 1) when i > 0 then found[i - 1] else '' end, 'right', case when gaps[i + 1] <> '' then left(gaps[i + 1], 1) else coalesce(get(found, i + 1), '') end))"""
+    rows = cut.selectExpr("doc_id", "row", f"posexplode({part}) as (i, p)")
+    upto, near = "partition by row order by i rows between unbounded preceding and current row", "partition by row order by i rows between 12 preceding and 1 preceding"
+    rows = rows.selectExpr("doc_id", "row", "i", "p", f"sum(p.n + 1) over ({upto}) - 1 as at", f"sum(p.lines) over ({upto}) as lines", f"array_join(collect_list(concat(p.tail, p.c)) over ({near}), '') as earlier")
+    rows = rows.selectExpr("doc_id", "lines", f"max(case when p.lines > 0 then at - p.after end) over ({upto}) as line_start", "named_struct('c', p.c, 'left', p.left, 'right', p.right, 'at', at, 'near', right(concat(earlier, p.tail), 12)) as x")
+    rows = rows.selectExpr("*", f"{_CONTROL} as rule").where("rule is not null")
     code = "hex(ascii(x.c))"
     return rows.selectExpr(
         "doc_id", "'unicode.' || rule as rule", f"case rule when 'bidi-control' then if({_is('x.c', 'override')}, 'high', 'medium') when 'soft-hyphen' then 'info' else 'low' end as severity",
-        "cast(1 + size(x.above) as bigint) as line", "cast(x.at - coalesce(try_element_at(x.above, -1), -1) as bigint) as col", f"'U+' || lpad({code}, greatest(4, length({code})), '0') as symbol",
+        "cast(1 + lines as bigint) as line", "cast(x.at - coalesce(line_start, 0) + 1 as bigint) as col", f"'U+' || lpad({code}, greatest(4, length({code})), '0') as symbol",
     )
