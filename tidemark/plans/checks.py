@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import documents, enclosing, messages, working
+from ..operators import documents, enclosing, messages, token_rules, working
 from .relation import RELATIONS
 
 # Fixed values of score policy 1.1.0 and comparison policy 1.0.0, spelt out again.
@@ -188,6 +188,7 @@ def checks() -> dict[str, str]:
         "summary_guard": statement((), *documents.SUMMARY_CHECK),
         "shell_decisions": statement((), *documents.SYNTAX_CHECK),
         "diagnostic_messages": statement((), *messages.CHECK),
+        "token_findings": statement((), *token_rules.CHECK),
         "working_status": statement(("ev_captured", "ev_expected", "ev_index"), *working.CHECK),
         "exit_code": statement(("ev_stages", "ev_findings"), (_ONE,), "FROM s_exit"),
     }

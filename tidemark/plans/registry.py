@@ -21,7 +21,7 @@ KEYS = [
     "line_window_clones", "markdown_escape", "metric_deltas", "metric_regressions", "mi_average", "next_actions", "obfuscation_pairs", "observation_except_all",
     "observed_score", "omitted_paths", "path_selection", "prioritized_findings", "rank_dominance", "receipt_summary", "redact_urls", "review_url", "rule_histogram",
     "running_budget", "safe_links", "safe_paths", "scope_manifest", "secret_rules", "secret_scan", "security_score", "shell_decisions", "shell_dialect", "stage_pairs", "stage_scores", "stage_union",
-    "strict_score", "summary_guard", "test_paths", "text_lines", "tool_version", "top20_findings", "tree_diff", "uncertain_identities", "unicode_controls", "unresolved_groups",
+    "strict_score", "summary_guard", "test_paths", "text_lines", "token_findings", "tool_version", "top20_findings", "tree_diff", "uncertain_identities", "unicode_controls", "unresolved_groups",
     "unsupported_languages", "working_status",
 ]
 
