@@ -1,7 +1,8 @@
 """Extension: assessments that follow stages as they arrive.
 
-Stage ids of a snapshot are finite, so no watermark is needed: each micro-batch appends its stages and findings to the
-evidence tables and assesses the snapshots it touched over all their evidence.
+Stage ids of a snapshot are finite, so no watermark is needed: each micro-batch appends its stages to the
+evidence and assesses the snapshots it touched over all their evidence. A replayed micro-batch has its old number, which the
+checkpoint keeps, so it overwrites its own rows. A `StageProgress` listener gets each micro-batch's counts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.assessment import assess
+from .progress import watched
 
 
 def follow(stages: DataFrame, findings: DataFrame, evidence: str, results: str, checkpoint: str) -> StreamingQuery:
@@ -24,4 +26,4 @@ def follow(stages: DataFrame, findings: DataFrame, evidence: str, results: str,
         now = assess(known.join(touched, "snapshot_id", "left_semi"), findings.join(touched, "snapshot_id", "left_semi"))
         now.write.mode("overwrite").parquet(f"{results}/batch={number}")
 
-    return stages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return watched(stages).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
