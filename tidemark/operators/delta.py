@@ -20,7 +20,7 @@ relation("identities", f"select *, {identity()} as identity from {{ev_findings}}
 relation("identity", "select identity, count(*) as observations from {identities} group by identity", "identities")
 
 _SIDED = f"""
-select snapshot_id, stage_id, {identity()} as identity, severity, metric, value, case when metric = '' then message else '' end as said, rule, path, line, ord, identity_kind, {{b}} as b, {{h}} as h from {{source}}"""
+select snapshot_id, stage_id, {identity()} as identity, severity, metric, value, case when metric = '' then message else '' end as said, message, rule, path, line, ord, identity_kind, {{b}} as b, {{h}} as h from {{source}}"""
 relation("observed_rows", f"{_SIDED.format(b=1, h=0, source='{ev_base}')} union all {_SIDED.format(b=0, h=1, source='{ev_head}')}", "ev_base", "ev_head")
 
 # J-1, W-1: how often each observation occurs on either side; rule and path are those of its last row
@@ -227,6 +227,30 @@ select snapshot_id, stage_id, coalesce(base_status, 'absent') as base_status, co
 from {{stage_deltas}}
 """, "stage_deltas")
 
+# K-3: the comparison's own rows. Of an observation that one side has more often, the later rows are those left over; a
+# change is one row with both sides. Without comparable reports nothing is resolved, and a change is an addition.
+relation("base_intervals", "select path, array_agg(struct(start_line, end_line)) as intervals from {ev_base_lines} group by path", "ev_base_lines", check="")
+_SHOWN = ("ord", "rule", "severity", "path", "line", "message", "value")
+_IN_LINES = "case when {0}.path = '' or {0}.line < 1 then null else coalesce(exists({1}.intervals, x -> {0}.line between x.start_line and x.end_line), false) end"
+relation("delta_items", f"""
+with surplus as (select {_KEYS}, least(b, h) as paired, h > b as in_head from {{bag}} where b <> h),
+left_over as (
+  select o.*, s.in_head from (select *, row_number() over (partition by {_KEYS}, h order by ord) as occurrence from {{observed_rows}}) o
+  join surplus s on {" and ".join(f"o.{k} <=> s.{k}" for k in _KEYS.split(", "))} and (o.h = 1) = s.in_head where o.occurrence > s.paired),
+judged as (
+  select l.*, p.note, m.changed = 1 as change, m.ambiguous, m.delta, m.direction from left_over l join {{delta_match}} m on m.snapshot_id = l.snapshot_id and m.stage_id = l.stage_id and m.identity = l.identity
+  join {{report_pairs}} p on p.snapshot_id = l.snapshot_id and p.stage_id = l.stage_id),
+heads as (
+  select j.*, {_IN_LINES.format("j", "c")} as in_changed_lines from judged j left join {{path_intervals}} c on c.path = j.path where in_head),
+bases as (
+  select j.*, {_IN_LINES.format("j", "c")} as in_changed_lines from judged j left join {{base_intervals}} c on c.path = j.path where not in_head and note = '' and (change or not ambiguous))
+select h.snapshot_id, h.stage_id, h.identity, case when b.identity is not null then 'changed' else 'added' end as outcome, case when b.identity is not null then h.direction end as direction, case when b.identity is not null then h.delta end as delta,
+  {", ".join(f"h.{c} as {c}" for c in _SHOWN)}, h.in_changed_lines, {", ".join(f"b.{c} as base_{c}" for c in _SHOWN)}, b.in_changed_lines as base_in_changed_lines
+from heads h left join (select * from bases where change) b on b.snapshot_id = h.snapshot_id and b.stage_id = h.stage_id and b.identity = h.identity
+union all
+select snapshot_id, stage_id, identity, 'resolved', null, null, {", ".join(f"cast(null as {'double' if c == 'value' else 'bigint' if c == 'line' else 'string'})" for c in _SHOWN)}, null, {", ".join(_SHOWN)}, in_changed_lines from bases where not change
+""", "bag", "observed_rows", "delta_match", "report_pairs", "path_intervals", "base_intervals")
+
 # T-5: placed within their stage
 relation("delta_rows", f"""
 select snapshot_id, stage_id, rule, identity, case when changed = 1 then coalesce(direction, 'changed') when added > 0 then 'added' else 'resolved' end as outcome,

@@ -40,6 +40,35 @@ def compact(deltas: DataFrame, roll_up: DataFrame) -> DataFrame:
     return whole.select("snapshot_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
+# What a comparison means.
+SEMANTICS = "exact supplied base snapshot versus exact supplied head; not a simulated merge result"
+
+
+def comparison_documents(deltas: DataFrame, items: DataFrame, roll_up: DataFrame, base: DataFrame | None = None, head: DataFrame | None = None) -> DataFrame:
+    """K-3: one JSON document for each comparison: its stages' deltas with the added, changed and resolved rows in order, the
+    roll-up, and both sides' receipts where they are given. It holds as many rows as its report shows; q_delta_items is
+    the same as a table."""
+    sides = {s: [c for c in items.columns if c.startswith("base_") == (s == "base")] for s in ("base", "head")}
+    keys = ("snapshot_id", "stage_id", "identity", "outcome", "direction", "delta")
+    after = F.struct("identity", *[c for c in sides["head"] if c not in keys])
+    before = F.struct("identity", *[F.col(c).alias(c.removeprefix("base_")) for c in sides["base"]])
+    lists = {
+        "added_findings": F.when(F.col("outcome") == "added", F.struct(F.col("ord").alias("at"), after.alias("head"))),
+        "changed_findings": F.when(F.col("outcome") == "changed", F.struct(F.col("ord").alias("at"), after.alias("head"), before.alias("base"), "direction", "delta")),
+        "resolved_findings": F.when(F.col("outcome") == "resolved", F.struct(F.col("base_ord").alias("at"), before.alias("base"))),
+    }
+    held = items.groupBy("snapshot_id", "stage_id").agg(*(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("at")).alias(n) for n, c in lists.items()))
+    stages = deltas.drop("added", "changed", "resolved").join(held, ["snapshot_id", "stage_id"], "left")
+    none = [F.coalesce(n, F.array().cast(held.schema[n].dataType)).alias(n) for n in lists]
+    rows = stages.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct("stage_id", *[c for c in deltas.columns if c not in ("snapshot_id", "stage_id", "added", "changed", "resolved")], *none))).alias("deltas"))
+    whole = rows.join(roll_up.select("snapshot_id", F.struct(*[c for c in roll_up.columns if c != "snapshot_id"]).alias("delta_assessment")), "snapshot_id")
+    given = [(n, d) for n, d in (("base", base), ("head", head)) if d is not None]
+    for n, d in given:
+        whole = whole.join(d.select("snapshot_id", F.parse_json("document").alias(n)), "snapshot_id", "left")
+    document = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("comparison").alias("mode"), F.lit(SEMANTICS).alias("comparison_semantics"), *[n for n, _ in given], "deltas", "delta_assessment")
+    return whole.select("snapshot_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def report_lines(assessments: DataFrame, as_markdown: bool = False) -> DataFrame:
     """One line for each snapshot: grade, score, decision and coverage."""
     score = F.when(F.col("score").isNull(), "unknown").otherwise(F.format_string("%.2f", "score"))

@@ -74,6 +74,14 @@ resolved AS (SELECT j.* FROM j JOIN fate f USING (snapshot_id, stage_id, id) WHE
 replaced AS (SELECT DISTINCT a.snapshot_id, a.stage_id, a.id FROM added a JOIN resolved r ON a.snapshot_id = r.snapshot_id AND a.stage_id = r.stage_id AND a.h_rule = r.b_rule AND a.h_path = r.b_path AND a.h_metric = r.b_metric
   WHERE a.h_kind = 'body' AND r.b_kind = 'body')"""
 
+_SHOWN = ("ord", "rule", "severity", "path", "line", "message", "value")
+#: Rows of one side that no equal row of the other side answers, and whether a changed line holds them.
+ITEMS = ", ".join(
+    f"""lone_{x} AS (SELECT m.*, CASE WHEN m.path <> '' AND m.line >= 1 THEN EXISTS (FROM {lines} c WHERE c.path = m.path AND m.line BETWEEN c.start_line AND c.end_line) END AS inside
+  FROM {x} m WHERE NOT EXISTS (FROM {y} o WHERE {" AND ".join(f"o.{k} IS NOT DISTINCT FROM m.{k}" for k in (*_K, "occ"))}))"""
+    for x, y, lines in (("b", "h", "ev_base_lines"), ("h", "b", "ev_changed_lines"))
+)
+
 PAIRED = f"""
 pair AS (SELECT coalesce(b.snapshot_id, h.snapshot_id) AS snapshot_id, coalesce(b.stage_id, h.stage_id) AS stage_id, coalesce(b.status, 'absent') AS base_status, coalesce(h.status, 'absent') AS head_status,
   coalesce(b.required, false) OR coalesce(h.required, false) AS required,
@@ -172,6 +180,10 @@ def checks() -> dict[str, str]:
           FROM pair p LEFT JOIN (SELECT snapshot_id, stage_id, sum(CASE WHEN change THEN 0 ELSE fresh END) AS fresh, sum(CASE WHEN change OR twice THEN 0 ELSE gone END) AS gone, sum(change::INT) AS change, sum(same) AS same,
             sum(unsure::INT) AS unsure FROM turn GROUP BY ALL) t USING (snapshot_id, stage_id)
           LEFT JOIN (SELECT snapshot_id, stage_id, count(*) AS n FROM replaced GROUP BY ALL) u USING (snapshot_id, stage_id) LEFT JOIN (SELECT snapshot_id, stage_id, count(*) AS n FROM measured GROUP BY ALL) m USING (snapshot_id, stage_id)"""),
+        "delta_items": statement(_FINDINGS + _STAGES + ("ev_changed_lines", "ev_base_lines"), (MATCHED, PAIRED, ITEMS), f"""SELECT snapshot_id, stage_id, h.id AS identity, CASE WHEN b.id IS NULL THEN 'added' ELSE 'changed' END AS outcome, CASE WHEN b.id IS NOT NULL THEN t.direction END AS direction,
+          CASE WHEN b.id IS NOT NULL THEN round_even(t.diff, 4) END AS delta, {', '.join(f'h.{c}' for c in _SHOWN)}, h.inside AS in_changed_lines, {', '.join(f'b.{c} AS base_{c}' for c in _SHOWN)}, b.inside AS base_in_changed_lines
+          FROM (SELECT * FROM lone_h JOIN turn USING (snapshot_id, stage_id, id)) h JOIN pair USING (snapshot_id, stage_id) JOIN turn t USING (snapshot_id, stage_id, id) LEFT JOIN (SELECT l.*, snapshot_id AS s, stage_id AS g FROM lone_b l) b ON t.change AND pair.note = '' AND b.s = h.snapshot_id AND b.g = h.stage_id AND b.id = h.id
+          UNION ALL SELECT snapshot_id, stage_id, l.id, 'resolved', NULL, NULL, {', '.join('NULL' for _ in _SHOWN)}, NULL, {', '.join(f'l.{c}' for c in _SHOWN)}, l.inside FROM lone_b l JOIN turn t USING (snapshot_id, stage_id, id) JOIN pair USING (snapshot_id, stage_id) WHERE note = '' AND NOT t.change AND NOT t.twice"""),
         "delta_rows": statement(_FINDINGS, (MATCHED,), f"""SELECT snapshot_id, stage_id, rule, id AS identity, CASE WHEN change THEN direction WHEN fresh > 0 THEN 'added' ELSE 'resolved' END AS outcome,
           row_number() OVER (PARTITION BY snapshot_id, stage_id ORDER BY {_RANK.format("coalesce(h_severity, b_severity)")} DESC, rule, id) AS place FROM turn WHERE change OR fresh > 0 OR (gone > 0 AND NOT twice)"""),
         "changed_line_join": statement(("ev_head", "ev_changed_lines"), (), """SELECT f.snapshot_id, f.stage_id, f.ord, f.path, f.line, CASE WHEN f.path <> '' AND f.line >= 1

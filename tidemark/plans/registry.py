@@ -15,7 +15,7 @@ from .relation import RELATIONS
 
 KEYS = [
     "assessment", "band_scores", "batch_packing", "blob_hash", "blockers", "category_scores", "changed_line_join", "changed_paths", "classify_content", "clone_ratio", "clone_reconcile",
-    "clone_validate", "comparison_exit", "complexity_summary", "count_reconcile", "coverage_gaps", "delta_assessment", "delta_counts", "delta_document", "delta_match", "delta_rows",
+    "clone_validate", "comparison_exit", "complexity_summary", "count_reconcile", "coverage_gaps", "delta_assessment", "delta_counts", "delta_document", "delta_items", "delta_match", "delta_rows",
     "duplicate_identities", "enclosing_names", "environment_split", "excluded_directories", "execution_counts", "execution_status", "exit_code", "foreign_locations", "grades", "greedy_budget", "history_rows", "hotspots",
     "hunk_parse", "hygiene_facts", "hygiene_score", "identity", "in_scope", "inventory", "inventory_equal", "language_slice", "languages", "limited_regressions",
     "line_window_clones", "markdown_escape", "metric_deltas", "metric_regressions", "mi_average", "next_actions", "obfuscation_pairs", "observation_except_all",

@@ -80,6 +80,11 @@ select 'src/f' || cast(cast(floor(p_partkey / 2) as bigint) as string) || '.py'
 from {part}
 """, "part")
 
+relation("ev_base_lines", """
+select 'src/f' || cast(cast(floor(p_partkey / 3) as bigint) as string) || '.py' as path, cast(p_size + 3 as bigint) as start_line, cast(p_size + 3 + p_partkey % 4 as bigint) as end_line
+from {part}
+""", "part")
+
 relation("ev_files", f"""
 select path as relative_path, {language("path")} as language, {is_test("path")} as is_test, size_bytes, text as content, {in_scope("path")} as in_scope, doc_id
 from (
