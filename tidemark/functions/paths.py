@@ -44,13 +44,20 @@ def safe(path: str) -> str:
     return f"({path} <> '' and not startswith({path}, '/') and not regexp_like({path}, r'(^|/)(\\.\\.|\\.git)(/|$)') and not regexp_like({path}, r'^[./]*$'))"
 
 
-def literal_path(path: str) -> str:
-    """A path that a selection accepts: bounded, without patterns, controls, empty or dot parts."""
-    p = f"regexp_replace({path}, r'/+$', '')"
-    return (
-        f"({path} <> '' and length({path}) <= 4096 and not regexp_like({path}, r'[\\x00-\\x1f\\x7f\\\\:*?\\[\\]]') and not regexp_like({path}, r'^[/-]') "
-        f"and not regexp_like({p}, r'(^|/)(|\\.|\\.\\.|\\.git)(/|$)'))"
-    )
+MOST_SELECTED, MOST_PATH = 256, 4096
+
+
+def normalized_paths(paths: list[str]) -> list[str]:
+    """F-15: the sorted, distinct paths of a selection; each is literal, relative and whole, or the selection is refused."""
+    if len(paths) > MOST_SELECTED:
+        raise ValueError(f"a selection has at most {MOST_SELECTED} paths")
+    out = set()
+    for path in paths:
+        plain = isinstance(path, str) and 0 < len(path) <= MOST_PATH and path[0] not in "/-" and not any(ord(c) < 32 or c in "\x7f\\:*?[]" for c in path)
+        if not plain or {"", ".", "..", ".git"} & set(path.rstrip("/").split("/")):
+            raise ValueError("a selection has literal paths below the repository only")
+        out.add(path.rstrip("/"))
+    return sorted(out)
 
 
 def safe_link(path: str, target: str) -> str:

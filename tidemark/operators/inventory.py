@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import in_scope, is_test, language, safe, safe_link, suffix
+from ..functions.paths import in_scope, is_test, language, normalized_paths, safe, safe_link, suffix
 from ..plans.relation import RELATIONS, relation
 from ..schema import EXCLUDED_DIRECTORIES, MAX_FILE_BYTES, MAX_FILES, MAX_TREE_BYTES
 from .icons import icon
@@ -185,7 +185,7 @@ def blob_oid(content: str = "content") -> Column:
 def selection(files: DataFrame, prefixes: list[str], changed: DataFrame | None = None) -> DataFrame:
     """P-4: files under a literal prefix (or any, if there are none), and in the changed set if one is given."""
     keep = F.lit(not prefixes)
-    for p in prefixes:
+    for p in normalized_paths(prefixes):
         keep = keep | (F.col("relative_path") == p) | F.col("relative_path").startswith(p + "/")
     out = files.where(keep)
     return out if changed is None else out.join(changed.selectExpr("path as relative_path").distinct(), "relative_path", "left_semi")

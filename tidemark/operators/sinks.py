@@ -40,6 +40,21 @@ def compact(deltas: DataFrame, roll_up: DataFrame) -> DataFrame:
     return whole.select("snapshot_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
+def truncation_note(total: str, shown: int, label: str) -> Column:
+    """T-2: how much of a list a report shows, where it isn't all."""
+    text = F.concat(F.lit(f"Showing {shown} of "), F.col(total).cast("string"), F.lit(f" {label}; --format json includes every item."))
+    return F.when(F.col(total) > shown, text).otherwise("")
+
+
+def revision_label(mode: str = "mode", commit: str = "commit_sha", dirty: str = "dirty") -> Column:
+    """F-33: what bytes were scanned: a commit's, or a working folder's beside the commit it stands on."""
+    sha = F.coalesce(commit, F.lit(""))
+    state = F.when(F.col(dirty), "dirty").otherwise("clean")
+    return F.when(~F.col(mode).eqNullSafe("working-tree"), F.concat(F.lit("commit "), sha)).when(sha == "", "working tree (no Git commit)").otherwise(
+        F.concat(F.lit("working tree ("), state, F.lit("; HEAD anchor "), sha, F.lit(")"))
+    )
+
+
 # What a comparison means.
 SEMANTICS = "exact supplied base snapshot versus exact supplied head; not a simulated merge result"
 

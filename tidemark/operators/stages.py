@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from .inventory import inventoried
+from .inventory import CALL_LANGUAGES, inventoried, selection
 from .python_code import python_calls
 from .text_rules import secret_lines, unicode_controls
 
@@ -109,8 +109,40 @@ def _unkeyed(rows: DataFrame, column: str = "relative_path") -> DataFrame:
     return rows.withColumn("snapshot_id", F.split_part(column, F.lit("\x00"), F.lit(1))).withColumn("path", F.split_part(column, F.lit("\x00"), F.lit(2)))
 
 
-def scan(files: DataFrame, profile: str = "quick") -> tuple[DataFrame, DataFrame]:
-    """The stages and findings of every snapshot."""
+# What the stages of a selection and of calls say, and Java's rules that run code.
+PARTIAL = "Only selected paths were scanned; repository evidence is partial"
+OBSERVED = "Syntax observations with approximate lexical bindings; no flow, runtime reachability or authorship inference"
+JAVA_EXECUTION = (
+    "java.runtime-exec", "java.script-eval", "java.process-builder", "java.shell-execution", "java.unsafe-api", "java.reflective-load", "java.reflective-access",
+    "java.script-engine",
+)
+PARSED = ("python", "javascript", "typescript", "java", "shell")
+
+
+def java_execution(findings: DataFrame) -> DataFrame:
+    """P-13: of Java's structure findings those that run code."""
+    return findings.where(F.col("rule").isin(*JAVA_EXECUTION))
+
+
+def withheld(tool: str, rule: str = "rule") -> Column:
+    """P-16: a tool's message can quote sources, so only its rule is published."""
+    return F.concat(F.lit(tool + " "), F.col(rule), F.lit(" diagnostic"))
+
+
+def obfuscated(calls: DataFrame, controls: DataFrame) -> DataFrame:
+    """J-6: execution calls from medium on in a file with a suspicious control, of which the last one is named. Both have
+    snapshot_id, path, line, severity; controls also col and symbol."""
+    weighs = F.col("severity").isin("medium", "high")
+    last = controls.where(weighs).groupBy("snapshot_id", "path").agg(F.max_by(F.struct("symbol", F.col("line").alias("at")), F.struct("line", "col")).alias("control"))
+    said = F.concat(F.lit("Execution call shares file with "), F.col("control.symbol"), F.lit(" at line "), F.col("control.at").cast("string"), F.lit("; review both locations"))
+    rows = calls.where(weighs).select("snapshot_id", "path", "line").join(last, ["snapshot_id", "path"])
+    return rows.select("snapshot_id", "path", "line", F.lit("security.obfuscated-execution").alias("rule"), F.lit("high").alias("severity"), said.alias("message"))
+
+
+def scan(files: DataFrame, profile: str = "quick", selected: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stages and findings of every snapshot. selected: literal paths to which the evidence is limited."""
+    if selected is not None:
+        files = selection(files, selected)
     known = inventoried(files).where("in_scope")
     counts = known.groupBy("snapshot_id").agg(F.count("*").alias("analyzed_files"), F.collect_set("language").alias("languages"))
     whole = {"required": True, "eligible_files": F.col("analyzed_files")}
@@ -130,12 +162,25 @@ def scan(files: DataFrame, profile: str = "quick") -> tuple[DataFrame, DataFrame
 
     parsed = _unkeyed(python_calls(keyed.where("language = 'python'").select("relative_path", "content")))
     unread = parsed.where("status <> 'ok'").groupBy("snapshot_id").agg(F.count("*").alias("unread"))
-    others = F.arrays_overlap("languages", F.array(*map(F.lit, ("javascript", "typescript", "java", "shell"))))
     php_only = (F.size(F.array_except("languages", F.array(*map(F.lit, ("", "php", "php-blade"))))) == 0) & (F.size(F.array_remove("languages", "")) > 0)
-    calls = counts.where(~php_only).join(unread, "snapshot_id", "left")
-    limited = others | (F.coalesce("unread", F.lit(0)) > 0)
-    call_stage = as_stages(calls, stage_id="security.execution", category="security", status=F.when(limited, "limited").otherwise("ok"), reason=F.when(limited, "Some languages or files have no call analyzer here").otherwise(""), **whole)
-    call_found = as_findings(parsed.where("rule is not null"), "security.execution", F.concat(F.lit("Review "), F.col("rule"), F.lit(" call; syntax does not establish malicious intent")))
-
-    stages = reduce(DataFrame.unionByName, (inventory, facts, unicode_stage, secret_stage, call_stage, missing_stages(files, profile)))
-    return stages, reduce(DataFrame.unionByName, (absent, unicode_found, secret_found, call_found))
+    of = known.where(F.col("language").isin(*PARSED)).groupBy("snapshot_id").agg(F.count("*").alias("eligible"), F.count_if(F.col("language") == "python").alias("python"))
+    calls = counts.where(~php_only).join(unread, "snapshot_id", "left").join(of, "snapshot_id", "left").fillna(0, ["unread", "eligible", "python"])
+    unsupported = F.array_sort(F.array_except("languages", F.array(*map(F.lit, CALL_LANGUAGES))))
+    no_parser = F.array_sort(F.array_intersect("languages", F.array(*map(F.lit, PARSED[1:]))))
+    reasons = F.concat_ws(
+        "; ", F.when(F.col("unread") > 0, F.concat(F.col("unread").cast("string"), F.lit(" Python files could not be parsed"))), F.when(F.size(no_parser) > 0, F.concat(F.lit("No call parser here for: "), F.array_join(no_parser, ", "))),
+        F.when(F.size(unsupported) > 0, F.concat(F.lit("Call parsing unsupported for: "), F.array_join(unsupported, ", "))),
+    )
+    status = F.when(reasons != "", "limited").when(F.col("eligible") > 0, "ok").otherwise("skipped")
+    call_stage = as_stages(
+        calls, stage_id="security.execution", category="security", status=status, reason=F.when(reasons != "", reasons).otherwise(OBSERVED), required=True, analyzed_files=F.col("python") - F.col("unread"),
+        eligible_files=F.col("eligible"),
+    )
+    seen = parsed.where("rule is not null")
+    call_found = as_findings(seen, "security.execution", F.concat(F.lit("Review "), F.col("rule"), F.lit(" call; syntax does not establish malicious intent")))
+    pair_found = as_findings(obfuscated(seen, controls), "security.execution", F.col("message"))
+
+    made = [inventory, facts, unicode_stage, secret_stage, call_stage, missing_stages(files, profile)]
+    if selected is not None:
+        made.append(as_stages(counts, stage_id="scope.selection", category="structure", status="limited", reason=PARTIAL, scope="selected-paths", **whole))
+    return reduce(DataFrame.unionByName, made), reduce(DataFrame.unionByName, (absent, unicode_found, secret_found, call_found, pair_found))

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.paths import normalized_paths
 from ..operators.changes import changed_lines
 from ..schema import EXCLUDED_DIRECTORIES
 from . import git
@@ -170,12 +171,12 @@ class SourceTree(DataSource):
 def tree(spark: SparkSession, path: str, commit: str = "", content: bool = True, paths: list[str] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     spark.dataSource.register(SourceTree)
     rows = spark.read.format("tidemark_tree").option("commit", commit).option("content", str(content).lower())
-    return rows.option("selected", "\n".join(paths or [])).option("range", range_bytes).load(path)
+    return rows.option("selected", "\n".join(normalized_paths(paths or []))).option("range", range_bytes).load(path)
 
 
 def tree_counts(path: str, commit: str = "", paths: list[str] | None = None) -> tuple[int, int]:
     """Entries of the whole tree, and those of them that are selected."""
-    found = TreeReader(path, commit, False, paths or [], RANGE_BYTES).listing()
+    found = TreeReader(path, commit, False, normalized_paths(paths or []), RANGE_BYTES).listing()
     return found.total, found.selected
 
 
@@ -219,7 +220,7 @@ def comparison(spark: SparkSession, path: str, base: str, head: str, paths: list
     sides = [tree(spark, path, commit, paths=paths).selectExpr(f"'{side}' as side", "*") for side, commit in (("base", base), ("head", head))]
     options = ["--no-color", "--no-ext-diff", "--no-textconv", "--no-renames", "--patch", "--unified=0"]
     try:
-        patch = git.output(path, "diff", *options, base, head, "--", *(f":(literal){p}" for p in paths or []), most=MAX_PATCH_BYTES).decode("utf-8", "replace")
+        patch = git.output(path, "diff", *options, base, head, "--", *(f":(literal){p}" for p in normalized_paths(paths or [])), most=MAX_PATCH_BYTES).decode("utf-8", "replace")
     except git.TooLarge:
         patch = None
     return sides[0].unionByName(sides[1]), changed_lines(spark.createDataFrame([("", patch)], "snapshot_id string, patch string")).drop("snapshot_id")
