@@ -132,13 +132,14 @@ def features(docs: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, shared: frozenset[int] = frozenset()) -> DataFrame:
     """Of the pairs of nodes (a, b), those that reach 80 %. The sets of these nodes are made again from the texts."""
     pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
+    if not (n := pairs.count()):
         return pairs
-    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    few = F.broadcast if 2 * n <= BROADCAST_ROWS // 4 else lambda df: df  # a pair has two nodes
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # any document of each node will do
-    ids = written(made.select("node", "doc_id").join(small(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("id")).distinct(), "ids")
+    ids = made.select("node", "doc_id").join(few(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("id")).distinct()
     texts = docs.select("doc_id", "text")
-    texts = texts.join(small(ids), texts["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    texts = texts.join(few(ids), texts["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
     def sets(batches):
         for b in batches:
@@ -331,6 +332,23 @@ def moved(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(small(now), "node", "left").withColumn("component", F.coalesce("_now", "component")).drop("_now")
 
 
+def merged(more: DataFrame, rows: DataFrame) -> DataFrame:
+    """(component, now): components that the links of a turn join, under a common name. Each takes its least neighbour's, and
+    that one's, four steps on. That names no two apart that aren't connected, and leaves some for later: a short cut."""
+    of = rows.select("node", "component").distinct()
+    end = lambda k, c: of.select(F.col("node").alias(k), F.col("component").alias(c))
+    across = more.join(end("a", "x"), "a").join(end("b", "y"), "b").where("x <> y").select("x", "y")
+    least = across.union(across.select("y", "x")).groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("component"), F.least("x", "y").alias("now"))
+    for _ in range(2):
+        on = least.select(F.col("component").alias("now"), F.col("now").alias("then"))
+        least = written(least.join(on, "now", "left").select("component", F.coalesce("then", "now").alias("now")), "merged")
+    return least.where("component <> now")
+
+
+def renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    return rows.join(small(names), "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+
 def likely(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) that would join large groups of copies: a bucket's first node, in FIRSTS orders of all nodes that differ
     by turn, with others of its buckets, if they share a third of a prefix. At most FIRSTS pairs for each row, and only a
@@ -426,10 +444,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             more = verified(docs, full, pairs, shared)
             found = more.count()
             if found:
-                links = written(links.union(more), "links")
-                groups = written(connected(links), "groups")
-                rows = written(moved(rows, groups), "members")
-                located = moved(located, groups)
+                links, names = links.union(more), merged(more, rows)
+                rows = written(renamed(rows, names).select(rows.columns), "members")
+                located = renamed(located, names)
             # each turn joins more of a large group; when few pairs are links, what is left are pairs for the trees
             if found * PROGRESS < pairs.count():
                 break
