@@ -58,3 +58,11 @@ def test_history_has_its_own_production_filter(spark):
     paths = {"a.py": True, "testing/a.py": False, "x/migrations/b.py": False, "test_a.py": False, "a_test.py": False, "a.pyi": False}
     rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", locations.production_python().alias("k"))
     assert {r.path: r.k for r in rows.collect()} == paths
+
+
+def test_only_whole_words_are_placeholders(spark):
+    from tidemark.operators import text_rules
+
+    lines = ["token: examplecorp-live-9f8e7d6c5b4a", "token: my-example-token-1234", "aws_secret_access_key = A1b2C3d4E5f6G7h8", "password=your_password_here", "api_key='xxxxxxxxxxxxxxxx'", "secret: dummyville00001", "passwd = CHANGE_ME_please_now"]
+    found = text_rules.secret_scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [0, 2, 5]

@@ -136,11 +136,13 @@ SECRET_PATTERNS = {
     "secret.stripe-key": "sk_live_[0-9A-Za-z]{24}",
     "secret.private-key": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
-_NAME = "(?i)(?:password|passwd|token|secret|api_?key)"
+_NAME = "(?i)(?:password|passwd|token|secret(?:_access_key)?|api_?key)"
 ASSIGNMENT = _NAME + r"[\x22\x27]?[ \t]*[=:][ \t]*[\x22\x27]?([A-Za-z0-9+/_=-]{12,})"
-PLACEHOLDER = "(?i)example|change_?me|placeholder|your_|your-|dummy|xxxx|redacted"
+# at the edges of a word: a value that merely contains such letters is none
+PLACEHOLDER = "(?i)(?:^|[^A-Za-z0-9])(?:example|change_?me|placeholder|your|dummy|xxxx+|redacted)(?:[^A-Za-z0-9]|$)"
 ANY_SECRET = "|".join([*SECRET_PATTERNS.values(), _NAME])
-relation("secret_rules", " union all ".join(f"select '{k}' as rule, r'{v.replace('{', '{{').replace('}', '}}')}' as pattern, {len(v)} as width" for k, v in (*SECRET_PATTERNS.items(), ("secret.credential-assignment", ASSIGNMENT))))
+_RULES = " union all ".join(f"select '{k}' as rule, r'{v.replace('{', '{{').replace('}', '}}')}' as pattern, {len(v)} as width" for k, v in (*SECRET_PATTERNS.items(), ("secret.credential-assignment", ASSIGNMENT)))
+relation("secret_rules", f"select r.rule, r.pattern, r.width, coalesce(s.lines, 0) as lines from ({_RULES}) r left join (select rule, count(*) as lines from {{secret_scan}} group by rule) s on s.rule = r.rule", "secret_scan")
 
 
 def secret_lines(lines: DataFrame, text: str = "text") -> DataFrame:

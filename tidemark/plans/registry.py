@@ -39,6 +39,7 @@ QUERIES["q_greedy_budget"] = lambda spark, sf_dir: inventory.greedy_budget(_file
 QUERIES["q_batch_packing"] = lambda spark, sf_dir: inventory.batch_packing(_files(spark, sf_dir), BATCH_FILES, BATCH_BYTES)
 QUERIES["q_unicode_controls"] = lambda spark, sf_dir: text_rules.unicode_controls(RELATIONS["ev_text_controls"].frame(spark, sf_dir).withColumnRenamed("t", "text"))
 QUERIES["q_secret_scan"] = lambda spark, sf_dir: text_rules.secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+QUERIES["q_secret_rules"] = lambda spark, sf_dir: RELATIONS["secret_rules"].over(secret_scan=QUERIES["q_secret_scan"](spark, sf_dir))
 QUERIES["q_classify_content"] = lambda spark, sf_dir: (
     RELATIONS["ev_contents"].frame(spark, sf_dir).select("relative_path", F.unhex("content_hex").alias("content")).select("relative_path", inventory.classified().alias("classification"))
 )

@@ -16,8 +16,6 @@ FINDINGS = struct(
     snapshot_id="string", stage_id="string", ord="string", rule="string", message="string", severity="string", path="string", line="bigint",
     symbol="string", fingerprint="string", metric="string", value="double", identity_kind="string",
 )
-FILES = struct(relative_path="string", size_bytes="bigint", content="string")
-CHANGED_LINES = struct(side="string", path="string", start_line="bigint", end_line="bigint")
 
 # Fixed values of score policy 1.1.0.
 WEIGHTS = {"lint": 15, "types": 20, "complexity": 20, "duplication": 15, "security": 20, "hygiene": 10}
