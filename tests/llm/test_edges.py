@@ -280,3 +280,17 @@ def test_toxicity_scores_by_brute_force(spark):
         best = sorted((-round(sum(x * v.get(t, 0.0) for t, x in q.items()), 6), i) for i, v in held.items())[: toxicity.K]
         vote = sum(c * c * (i % 4 == 0) for c, i in best) / sum(c * c for c, _ in best)
         assert r.score == pytest.approx(1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * vote))), abs=0.02)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace as Of
+
+    from tidemark.llm.common import shared_dir
+
+    for master, allowed in (("local[8]", True), ("local", True), ("local-cluster[3,2,3000]", False), ("yarn", False), ("spark://host:7077", False)):
+        session = Of(conf=Of(get=lambda k, d: None), sparkContext=Of(master=master), _tidemark_shared=None)
+        if allowed:
+            assert shared_dir(session).startswith("file://")
+        else:
+            with pytest.raises(ValueError):
+                shared_dir(session)

@@ -11,7 +11,8 @@ wrong is read again, from a newly opened file, RETRIES times at most. Payloads g
 
 Defined results: a null or empty text is 64 zero bytes. Equal texts give equal payloads, images and features. Repeated
 rows and null ids are members of their own. A very long text is one image of as many rows as it needs, held in one
-task's memory. Other columns are not read, whatever their names. An empty table gives no rows.
+task's memory. No ties arise, as nothing is ordered or chosen. Other columns are not read, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

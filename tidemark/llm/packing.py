@@ -174,7 +174,8 @@ def exchange(basis: np.ndarray, inverse: np.ndarray, out: int, pattern: np.ndarr
 
 
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 4000) -> list[tuple[int, np.ndarray]]:
-    """(copies, counts by class) of patterns that together hold the demand exactly."""
+    """(copies, counts by class) of patterns that together hold the demand exactly. After `steps` columns no more are priced:
+    the patterns then hold everything all the same, in as few sequences as the columns so far allow."""
     if not len(sizes):
         return []
     n = len(sizes)

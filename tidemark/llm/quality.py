@@ -13,7 +13,7 @@ Defined results: a null or empty text has difference 0 and gets the curve's valu
 whole, piece by piece, at a cost linear in its length. Equal texts get equal scores, and rows with one id are scored each
 by its own text. If a labelled id has several rows, the largest text counts. Where the labels lack a class, the score is
 the share of good labels, 1 without labels. Extra columns are not read, whatever their names; filtered() keeps them. An
-empty table gives no rows.
+empty table gives no rows. A score of just THRESHOLD is good.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ others; only the table of group parameters goes between steps, and it is broadca
 Defined results: a null text has no words. base_failed texts are not kept. FLOOR bounds the scatter from below where most
 texts agree (no symbols, no repeats), so that texts are not rejected for a trifle. A null language or source is a group
 value like others. Very long texts are counted whole. Repeated rows count each; equal texts of a group are equally far.
-Extra columns are not read, whatever their names. An empty table gives no rows.
+A text at a distance of just CUT is kept. Extra columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
