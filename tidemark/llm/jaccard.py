@@ -134,12 +134,13 @@ def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, shared: frozens
     pairs = written(pairs, "pairs")
     if not (n := pairs.count()):
         return pairs
-    few = F.broadcast if 2 * n <= BROADCAST_ROWS // 4 else lambda df: df  # a pair has two nodes
+    # a pair has two nodes; many pairs can still have few, so these are counted
+    few = (lambda df, label: F.broadcast(df)) if 2 * n <= BROADCAST_ROWS // 4 else lambda df, label: small(written(df, label))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # any document of each node will do
-    ids = made.select("node", "doc_id").join(few(nodes), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("id")).distinct()
+    ids = made.select("node", "doc_id").join(few(nodes, "nodes"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("id")).distinct()
     texts = docs.select("doc_id", "text")
-    texts = texts.join(few(ids), texts["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    texts = texts.join(few(ids, "ids"), texts["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
     def sets(batches):
         for b in batches:
