@@ -452,6 +452,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             if found * PROGRESS < pairs.count():
                 break
             turn += 1
+        # whole components once, so that the trees see no pair within one
+        if not (links := written(links, "links")).isEmpty():
+            groups = written(connected(links), "groups")
+            rows, located = written(moved(rows, groups).select(rows.columns), "members"), moved(located, groups)
         links = links.union(verified(docs, full, candidates(located, rows), shared))
     links = written(links, "links")
     groups = written(connected(links), "groups") if not links.isEmpty() else None
