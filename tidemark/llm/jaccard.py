@@ -129,18 +129,47 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, check long, n long, keys array<long>, prefix binary, counts binary")
 
 
-def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, shared: frozenset[int] = frozenset()) -> DataFrame:
-    """Of the pairs of nodes (a, b), those that reach 80 %. The sets of these nodes are made again from the texts."""
+def bounded_pairs(each: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs of nodes (a, b), those whose group counts allow 80 %. Counts are a small part of a set's size, so that
+    sets are made and sent for few of the pairs that only share a hash or a part of a prefix. each: node, n, counts."""
+    side = lambda k, i: each.select(F.col("node").alias(k), F.col("n").alias(f"n{i}"), F.col("counts").alias(f"c{i}"))
+
+    def run(batches):
+        for b in batches:
+            n, m = (b.column(c).to_numpy() for c in ("n0", "n1"))
+            keep = (5 * n >= 4 * m) & (5 * m >= 4 * n)
+            for i in np.flatnonzero(keep).tolist():
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), "<u2").astype(np.uint32) for c in ("c0", "c1"))
+                keep[i] = allowed(x, y, n[i] + m[i])
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "n0", "n1", "c0", "c1").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, made: DataFrame, pairs: DataFrame, shared: frozenset[int] = frozenset(), bounded: bool = False) -> DataFrame:
+    """Of the pairs of nodes (a, b), those that reach 80 %. Unless they were bounded before, their group counts are compared
+    first. The sets of the nodes that remain are made again from the texts."""
     pairs = written(pairs, "pairs")
     if not (n := pairs.count()):
         return pairs
     # a pair has two nodes; many pairs can still have few, so these are counted
-    few = (lambda df, label: F.broadcast(df)) if 2 * n <= BROADCAST_ROWS // 4 else lambda df, label: small(written(df, label))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    few = lambda df, label, n: F.broadcast(df) if 2 * n <= BROADCAST_ROWS // 4 else small(written(df, label))
+    nodes = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # any document of each node will do
-    ids = made.select("node", "doc_id").join(few(nodes, "nodes"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(few(ids, "ids"), texts["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+    columns = [F.min("doc_id").alias("doc_id"), *([] if bounded else [F.first(c).alias(c) for c in ("n", "counts")])]
+    each = written(made.join(few(nodes(pairs), "nodes", n), "node").groupBy("node").agg(*columns), "each")
+    if not bounded:
+        pairs = written(bounded_pairs(each, pairs), "bounded")
+        if not (n := pairs.count()):
+            return pairs
+        each = each.join(few(nodes(pairs), "nodes", n), "node", "left_semi")
+    # texts are never shuffled for ids that fit a broadcast; null is no key of it, and rows without id are few or all needed
+    ids = written(each.select(F.col("doc_id").alias("id")).distinct(), "ids")
+    known = ids.where("id is not null")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS // 2 else known
+    texts = docs.join(known, docs["doc_id"] == known["id"], "left_semi").select("text")
+    if not ids.where("id is null").isEmpty():
+        texts = texts.union(docs.where("doc_id is null").select("text"))
 
     def sets(batches):
         for b in batches:
@@ -270,6 +299,12 @@ def bounded(p, low, high, q, low_q, high_q, x, y) -> np.ndarray:
     return keep
 
 
+def allowed(x: np.ndarray, y: np.ndarray, sizes: int) -> bool:
+    """The bound in GROUPS groups, which is cheap, then in as many as both sets have."""
+    folded = np.minimum(*(z.reshape(-1, GROUPS).sum(0) for z in (x, y))).sum()
+    return 9 * int(folded) >= 4 * sizes and finer(x, y, sizes)
+
+
 def finer(x: np.ndarray, y: np.ndarray, sizes: int) -> bool:
     """The bound in as many groups as both sets have; the larger one's counts are folded."""
     if len(x) == len(y) == GROUPS:
@@ -355,6 +390,7 @@ def likely(rows: DataFrame, turn: int) -> DataFrame:
     by turn, with others of its buckets, if they share a third of a prefix. At most FIRSTS pairs for each row, and only a
     short cut: what is left out here is found by candidates()."""
     order = lambda k: F.struct(F.xxhash64("node", F.lit(k + turn * FIRSTS)), "node", "component", "n")
+    rows = rows.repartition("key")  # once for both uses: partial minima of FIRSTS structs would be larger than the rows
     first = rows.groupBy("key").agg(F.array_distinct(F.array(*(F.min(order(k)).dropFields("col1") for k in range(FIRSTS)))).alias("f"))
     met = rows.join(first, "key").select("node", "component", "n", F.explode("f").alias("x"))
     met = met.where((F.col("component") != F.col("x.component")) & (5 * F.col("n") >= 4 * F.col("x.n")) & (5 * F.col("x.n") >= 4 * F.col("n")))
@@ -447,7 +483,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             if found:
                 links, names = links.union(more), merged(more, rows)
                 rows = written(renamed(rows, names).select(rows.columns), "members")
-                located = renamed(located, names)
             # each turn joins more of a large group; when few pairs are links, what is left are pairs for the trees
             if found * PROGRESS < pairs.count():
                 break
@@ -455,8 +490,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         # whole components once, so that the trees see no pair within one
         if not (links := written(links, "links")).isEmpty():
             groups = written(connected(links), "groups")
-            rows, located = written(moved(rows, groups).select(rows.columns), "members"), moved(located, groups)
-        links = links.union(verified(docs, full, candidates(located, rows), shared))
+            rows, located = written(moved(rows, groups).select(rows.columns), "members"), moved(full.withColumn("component", F.col("node")), groups)
+        links = links.union(verified(docs, full, candidates(located, rows), shared, bounded=True))
     links = written(links, "links")
     groups = written(connected(links), "groups") if not links.isEmpty() else None
     # every node's component, and the least id of each
