@@ -132,3 +132,17 @@ def test_random_tokens_agree_with_a_reader(spark):
     got = findings(spark, files)
     assert got == expected, (got - expected, expected - got)
     assert len({k[2] for k in got}) == 6 and sum(got.values()) > 200
+
+
+def test_tokens_are_dealt_by_file_only(spark):
+    from tidemark.plans.registry import QUERIES
+
+    plan = QUERIES["q_token_findings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "SortMergeJoin" not in plan
+
+
+def test_an_argument_under_escaping_calls_and_a_file_without_a_path(spark):
+    codes = ["escapeshellarg(exec(escapeshellarg($a) . $b, $c));", "escapeshellarg(exec(escapeshellarg($a), $c));", "` escapeshellarg(escapeshellarg($a)) `;", "` escapeshellarg( ` $a );", "require 'a' . $b", "exec($a"]
+    files = {str(k): [(kind, text) for kind, text in (("", "`") if t == "`" else (kd, t) for c in code.split("`") for kd, t in [*T.sample_tokens(c), ("", "`")])][:-1] for k, code in enumerate(codes)}
+    files[None] = T.sample_tokens("eval($a); exec($b);")
+    assert findings(spark, files) == Counter((p, *f) for p, tokens in files.items() for f in Reader(tokens).found())
