@@ -77,3 +77,17 @@ def test_too_deep_documents_are_limited(spark):
     text = json.dumps({"_kind": "FuncDecl", "Name": {"Value": "f"}, "Pos": {"Line": 1}, "Body": deep})
     (row,) = documents.shell_decisions(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert row.status == "limited" and row.function == "f"
+
+
+def test_documents_are_walked_without_a_shuffle(spark):
+    from tidemark.plans.registry import QUERIES
+
+    plan = QUERIES["q_shell_decisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "UnionLoop" not in plan
+
+
+def test_names_lines_and_conditions_of_other_types(spark):
+    inner = {"_kind": "FuncDecl", "Name": {"Value": "in"}, "Pos": {"Line": "7"}, "Body": {"_kind": 5, "X": {"_kind": "IfClause", "Cond": 0}, "Y": {"_kind": "IfClause", "Cond": "0"}}}
+    cases = [({"_kind": "FuncDecl", "Name": {"Value": 7}, "Pos": {"Line": 2.5}, "B": inner}, {("7", 2, 1), ("7.in", 7, 2)}), ({"_kind": "FuncDecl", "B": [inner]}, {(None, None, 1), ("in", 7, 2)}), ({"_kind": "FuncDecl", "Name": {"Value": True}}, {("true", None, 1)})]
+    rows = documents.shell_decisions(spark.createDataFrame([(k, json.dumps(d)) for k, (d, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.function, r.line, r.cc) for r in rows} == {(k, *f) for k, (_, fs) in enumerate(cases) for f in fs}
