@@ -1,5 +1,8 @@
 """Personal data in forms that the base patterns don't know."""
 
+import hashlib
+import math
+
 import pytest
 
 from tidemark.llm import pii
@@ -34,3 +37,13 @@ def test_other_forms_are_found(spans, name, span):
 @pytest.mark.parametrize("name", ["wrong", "mac", "plain"])
 def test_look_alikes_are_left(spans, name):
     assert spans[name] == ""
+
+
+def test_the_model_learns_from_every_candidate(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PER_GROUP", 5, raising=False)
+    monkeypatch.setattr(pii, "TREES", 2)
+    texts = [f"write to {NAMES[i % 10]}{i}@site{i % 7}.example.com or call +1 (555) {100 + i}-{4000 + i}, card {card(i)}, host 10.{i}.3.{i + 1} end" for i in range(60)]
+    model = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    own = [e for t in texts if hashlib.blake2b(t.encode(), digest_size=1).digest()[0] % 2 == 0 for e in pii.examples(t)]
+    yes, no = (sum(w for _, label, w, _ in own if label == y) for y in (1, 0))
+    assert math.isclose(model.trees.start, math.log((yes + 0.5) / (no + 0.5)), rel_tol=1e-9)

@@ -2,8 +2,8 @@
 
 Base spans follow fixed patterns and validators and always stay. Beside them, high-recall generators propose spans of
 looser form (numbers with any separators, addresses spelt with "at" and "dot", dotted or colon-separated numbers).
-Boosted trees score each candidate by its format and context. They learn from the candidates of all documents, of which
-at most PER_GROUP distinct ones of each half, kind and label are taken.
+Boosted trees score each candidate by its format and context. They learn from the candidates of all documents: a
+level of a tree is split by sums that Spark makes over all of one half's.
 
 The label doesn't depend on the base pattern. Positive are forms of validated values that the base patterns don't know
 (spelt, re-separated, without "+", hexadecimal), put in the value's own place, and candidates of the text whose value
@@ -33,14 +33,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Learning examples for each half, kind and label: those with the smallest hash of their features.
-PER_GROUP = 3000
 PRECISION, TRUE = 0.999, 20
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 CONTEXT = 24
@@ -207,50 +205,72 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
     ]
 
 
+FEATURES = len(describe("1", 0, 0, 1))
+
+
 class Boosted:
     """Boosted regression trees for a yes-no label: full trees of DEPTH levels over binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        self.start = float(np.log(((w * y).sum() + 0.5) / ((w * (1 - y)).sum() + 0.5)))
+    def __init__(self, edges: list[np.ndarray], start: float):
+        self.edges, self.start = edges, start
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        binned, f = self.bins(x), np.full(len(y), self.start)
-        for _ in range(TREES):
-            p = 1 / (1 + np.exp(-f))
-            self.trees.append(self.grow(binned, w * (y - p), w * p * (1 - p)))
-            f += RATE * self.leaf(self.trees[-1], binned)
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)], 1)
 
-    def grow(self, binned: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, feature, cut = np.zeros(len(g), np.int64), np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, BINS)
+    def grow(self, binned: DataFrame) -> None:
+        """One more tree, split level by level by sums over all rows of binned (y, w, bins)."""
+        feature, cut, value = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, BINS), np.zeros(2**DEPTH)
         for level in range(DEPTH):
-            for k in range(2**level):
-                rows, node, best = np.flatnonzero(at == k), 2**level - 1 + k, 1e-6
-                for j in range(binned.shape[1]):
-                    sums = [np.cumsum(np.bincount(binned[rows, j], v[rows], BINS + 1)) for v in (g, h)]
-                    (gl, hl), (gt, ht) = sums, (sums[0][-1], sums[1][-1])
-                    gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
-                    if gain.max() > best:
-                        best, feature[node], cut[node] = gain.max(), j, int(gain.argmax())
-            node = 2**level - 1 + at
-            at = 2 * at + (binned[np.arange(len(g)), feature[node]] > cut[node])
-        value = np.bincount(at, g, 2**DEPTH) / (np.bincount(at, h, 2**DEPTH) + 1)
-        return feature, cut, value
+            for k, (g, h) in enumerate(self.sums(binned, feature, cut, level)):
+                gl, hl, node = np.cumsum(g, 1), np.cumsum(h, 1), 2**level - 1 + k
+                gt, ht = gl[:, -1:], hl[:, -1:]
+                gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                j, c = np.unravel_index(gain.argmax(), gain.shape)
+                if gain[j, c] > 1e-6:
+                    feature[node], cut[node] = j, c
+                j, c = feature[node], cut[node]
+                if level == DEPTH - 1:
+                    value[2 * k : 2 * k + 2] = gl[j, c] / (hl[j, c] + 1), (gt[j, 0] - gl[j, c]) / (ht[j, 0] - hl[j, c] + 1)
+        self.trees.append((feature, cut, value))
+
+    def sums(self, binned: DataFrame, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        """First and second derivatives, added up for each node of the level, feature and bin. They are added as whole
+        numbers, so that the order of rows doesn't matter; a part of the rows gives one row of sums."""
+        shape = (2**level, 2, FEATURES, BINS + 1)
+
+        def run(batches):
+            total = np.zeros(shape, np.int64)
+            for b in batches:
+                rows = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, FEATURES)
+                y, w = (b.column(c).to_numpy() for c in ("y", "w"))
+                p = 1 / (1 + np.exp(-self.binned_score(rows)))
+                at = self.walk(feature, cut, rows, level)
+                cells = ((at[:, None] * FEATURES + np.arange(FEATURES)) * (BINS + 1) + rows).ravel()
+                for i, v in enumerate((w * (y - p), w * p * (1 - p))):
+                    added = np.bincount(cells, np.repeat(np.rint(v * 2**24), FEATURES), 2**level * FEATURES * (BINS + 1))
+                    total[:, i] += added.astype(np.int64).reshape(2**level, FEATURES, BINS + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        parts = binned.mapInArrow(run, "sums binary").collect()
+        return sum(np.frombuffer(r["sums"], np.int64) for r in parts).reshape(shape) / 2**24
 
     @staticmethod
-    def leaf(tree: tuple[np.ndarray, np.ndarray, np.ndarray], binned: np.ndarray) -> np.ndarray:
-        feature, cut, value = tree
+    def walk(feature: np.ndarray, cut: np.ndarray, binned: np.ndarray, levels: int) -> np.ndarray:
         at = np.zeros(len(binned), np.int64)
-        for level in range(DEPTH):
+        for level in range(levels):
             node = 2**level - 1 + at
             at = 2 * at + (binned[np.arange(len(binned)), feature[node]] > cut[node])
-        return value[at]
+        return at
+
+    def binned_score(self, binned: np.ndarray) -> np.ndarray:
+        f = np.full(len(binned), self.start)
+        for feature, cut, value in self.trees:
+            f += RATE * value[self.walk(feature, cut, binned, DEPTH)]
+        return f
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        binned = self.bins(x)
-        return self.start + RATE * sum(self.leaf(t, binned) for t in self.trees)
+        return self.binned_score(self.bins(x))
 
 
 class Model:
@@ -278,8 +298,8 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from the labelled candidates of all documents: of each half, kind and label the PER_GROUP distinct ones with
-    the smallest hash of their features, with the weight of all that are equal."""
+    """Learns from the labelled candidates of all documents. Equal ones are one row with their weight; edges of bins, splits,
+    leaves and thresholds are sums over all rows of a half."""
 
     def describe_all(batches):
         for b in batches:
@@ -295,29 +315,54 @@ def fit(docs: DataFrame) -> Model:
     every = docs.select("text").mapInArrow(describe_all, "half int, kind int, y int, w double, x array<double>")
     # equal candidates stand together with their weight and number
     found = written(every.groupBy("half", "kind", "y", "x").agg(F.sum("w").alias("w"), F.count("*").alias("n")), "candidates")
-    rows = []
-    for half in (0, 1):
-        for k in range(len(KINDS)):
-            for y in (0, 1):
-                own = found.where((F.col("half") == half) & (F.col("kind") == k) & (F.col("y") == y))
-                rows.extend(own.orderBy(F.xxhash64("x"), "x").limit(PER_GROUP).collect())
-    learn, hold = ([r for r in rows if r["half"] == k] for k in (0, 1))
-    if sum(r["y"] * r["n"] for r in learn) < TRUE:
+    true = {(r["half"], r["kind"]): r["n"] for r in found.groupBy("half", "kind").agg(F.sum(F.col("y") * F.col("n")).alias("n")).collect()}
+    if sum(n for (half, _), n in true.items() if half == 0) < TRUE:
         return Model(None, [])
-    trees = Boosted(np.array([r["x"] for r in learn]), np.array([float(r["y"]) for r in learn]), np.array([r["w"] for r in learn]))
-    least = [float("inf")] * len(KINDS)
-    for k in range(len(KINDS)):
-        own = [r for r in hold if r["kind"] == k]
-        if sum(r["y"] * r["n"] for r in own) < TRUE:
-            continue
-        score, y, w = trees.score(np.array([r["x"] for r in own])), np.array([r["y"] for r in own]), np.array([r["w"] for r in own])
-        # equal scores are taken together
-        cuts = np.unique(score)
-        right = np.array([(w * y)[score >= c].sum() / w[score >= c].sum() for c in cuts])
-        good = np.flatnonzero(right >= PRECISION)
-        if len(good):
-            least[k] = float(cuts[max(0, good[0] - 1) : good[0] + 1].mean())
-    return Model(trees, least)
+    trees = learnt(found.where("half = 0"))
+    limits = thresholds(found.where("half = 1"), trees)
+    return Model(trees, [limits.get(k, float("inf")) if true.get((1, k), 0) >= TRUE else float("inf") for k in range(len(KINDS))])
+
+
+def learnt(rows: DataFrame) -> Boosted:
+    """Trees over all rows (y, w, x). Rows that fall into the same bins are one."""
+    steps = ", ".join(str(i / BINS) for i in range(1, BINS))
+    cuts = [F.expr(f"percentile_approx(x[{j}], array({steps}))").alias(f"c{j}") for j in range(FEATURES)]
+    r = rows.agg(*cuts, F.sum(F.col("w") * F.col("y")).alias("yes"), F.sum(F.col("w") * (1 - F.col("y"))).alias("no")).first()
+    trees = Boosted([np.unique(r[f"c{j}"]) for j in range(FEATURES)], float(np.log((r["yes"] + 0.5) / (r["no"] + 0.5))))
+
+    def to_bins(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+                bins = [row.tobytes() for row in trees.bins(x).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([b.column("y"), b.column("w"), pa.array(bins, pa.binary())], ["y", "w", "bins"])
+
+    binned = written(rows.select("y", "w", "x").mapInArrow(to_bins, "y int, w double, bins binary").groupBy("y", "bins").agg(F.sum("w").alias("w")), "binned")
+    for _ in range(TREES):
+        trees.grow(binned)
+    return trees
+
+
+def thresholds(rows: DataFrame, trees: Boosted) -> dict[int, float]:
+    """For each kind the least score at which rows of that score or more keep PRECISION, taken halfway down to the next
+    lower one. Scores are summed from above in narrow ranges, so no kind is one sorted group."""
+
+    def to_scores(batches):
+        for b in batches:
+            if b.num_rows:
+                score = trees.score(b.column("x").flatten().to_numpy().reshape(-1, FEATURES))
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("y"), b.column("w"), pa.array(score, pa.float64())], ["kind", "y", "w", "score"])
+
+    scored = rows.select("kind", "y", "w", "x").mapInArrow(to_scores, "kind int, y int, w double, score double")
+    scored = written(scored.groupBy("kind", F.floor(F.col("score") * 64).alias("range"), "score").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")), "scores")
+    higher = Window.partitionBy("kind").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("kind", "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    above = scored.groupBy("kind", "range").agg(F.sum("w").alias("rw"), F.sum("wy").alias("rwy"))
+    above = above.select("kind", "range", *(F.coalesce(F.sum(c).over(higher), F.lit(0.0)).alias(c) for c in ("rw", "rwy")))
+    right = (F.col("rwy") + F.sum("wy").over(upto)) / (F.col("rw") + F.sum("w").over(upto))
+    least = scored.join(F.broadcast(above), ["kind", "range"]).select("kind", "score", (right >= PRECISION).alias("right")).where("right").groupBy("kind").agg(F.min("score").alias("least"))
+    both = scored.join(F.broadcast(least), "kind").groupBy("kind").agg(F.first("least").alias("least"), F.max(F.expr("case when score < least then score end")).alias("lower"))
+    return {r["kind"]: r["least"] if r["lower"] is None else (r["least"] + r["lower"]) / 2 for r in both.collect()}
 
 
 def written_out(spans: list[tuple[int, int, int]], extra: list[tuple[int, int, int]] = ()) -> str:
