@@ -49,11 +49,15 @@ from (select o_orderkey, {number("o_totalprice / 2000")} as x from {{orders}}) t
 relation("grades", f"select o_orderkey, score, {grade('score')} as grade from (select o_orderkey, case when o_orderkey % 9 = 0 then null else bround(o_totalprice / 4000, 2) end as score from {{orders}}) t", "orders",
          check=f"select o_orderkey, score, {grade('score')} as grade from (select o_orderkey, case when o_orderkey % 9 = 0 then null else round_even(o_totalprice / 4000, 2) end as score from {{orders}}) t")
 
-# A-1: min() skips NULL, so the count of scores guards it.
-relation("category_scores", f"""
+# A-1: min() skips NULL, so the count of scores guards it. Stages are selected in the sums and not before: a filter would
+# go below the scores, which are then dealt apart from those that other relations ask for.
+_CATEGORY_SCORES = """
 select snapshot_id, category, case when count(*) = count(score) then min(score) end as score
-from {{scored_stages}} where {_SELECTED} group by snapshot_id, category
-""", "scored_stages")
+from {{scored_stages}} where {selected} group by snapshot_id, category"""
+relation("category_scores", f"""
+select snapshot_id, category, case when count_if({_SELECTED}) = count(case when {_SELECTED} then score end) then min(case when {_SELECTED} then score end) end as score
+from {{scored_stages}} group by snapshot_id, category having count_if({_SELECTED}) > 0
+""", "scored_stages", check=_CATEGORY_SCORES.format(selected=_SELECTED).strip())
 
 # A-4
 relation("coverage_gaps", f"""
